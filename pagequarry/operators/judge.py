@@ -27,39 +27,40 @@ def no_notes() -> Column:
     return F.array().cast(schemas.NOTES)
 
 
-def attach_final(captures: DataFrame, final: DataFrame) -> DataFrame:
-    """Add ``fin``: the final response of a redirect chain that belongs to an attempt.
+def final_by_url(captures: DataFrame, final: DataFrame) -> DataFrame:
+    """Final responses by the URL of the capture they belong to: ``(url, fins)``.
 
     A response is stored under its URL or under the same URL with or without the trailing
-    slash, and serves one attempt; the exact URL goes first. Matching runs on keys alone, so
-    bodies and pages move once.
+    slash, and serves one attempt; the exact URL goes first. Matching runs on keys alone.
+    ``fins`` holds one entry per attempt.
     """
-    have = schemas.conform(final, schemas.FINAL_RESPONSES)
-    have = have.withColumn("attempt", F.coalesce("attempt", F.lit(1)))
-    stored = have.select(F.col("url").alias("_stored"), "attempt").distinct()
+    have = schemas.conform(final, schemas.FINAL_RESPONSES).selectExpr(
+        "url as _stored", "coalesce(attempt, 1) as attempt", "struct(status, headers, body) as fin"
+    )
     shorter = f"if(endswith(_stored, '/') and not endswith(_stored, '//'), {urls.slash_variant('_stored')}, null)"
-    candidates = stored.selectExpr(
+    candidates = have.selectExpr(
         "_stored",
         "attempt",
         f"inline(array(struct(_stored as u, 0 as r), struct(concat(_stored, '/') as u, 1 as r), struct({shorter} as u, 1 as r))) as (url, _rank)",
     ).where("url is not null")
     wanted = captures.select("url", "attempt").join(candidates, ["url", "attempt"])
-    # Exact matches take their response first; what is left goes to the variants.
-    by_attempt = W.partitionBy("url", "attempt").orderBy("_rank")
-    by_stored = W.partitionBy("_stored", "attempt").orderBy("_rank", "url")
-    chosen = (
-        wanted.withColumn("_a", F.row_number().over(by_attempt))
-        .where("_a = 1")
-        .withColumn("_s", F.row_number().over(by_stored))
-        .where("_s = 1")
-        .select("url", "attempt", "_stored")
+    owner = wanted.groupBy("_stored", "attempt").agg(
+        F.min_by("url", F.struct("_rank", "url")).alias("url"), F.min("_rank").alias("_rank")
     )
-    one = have.dropDuplicates(["url", "attempt"]).select(
-        F.col("url").alias("_stored"), "attempt",
-        F.struct("status", "headers", "body").alias("fin"),
+    matched = owner.join(have, ["_stored", "attempt"])
+    return matched.groupBy("url").agg(
+        F.collect_list(F.struct("attempt", "_rank", "fin")).alias("fins")
     )
-    matched = chosen.join(one, ["_stored", "attempt"]).drop("_stored")
-    return captures.join(matched, ["url", "attempt"], "left")
+
+
+def with_final(captures: DataFrame, fins: DataFrame, keys: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Add ``fin``, the final response of a capture's attempt, from :func:`final_by_url`.
+
+    The join is on the URL alone, the partitioning the fallback window uses as well.
+    """
+    joined = captures.join(fins, list(keys), "left")
+    own = "array_sort(filter(fins, _f -> _f.attempt = attempt), (_x, _y) -> _x._rank - _y._rank)"
+    return joined.selectExpr(*captures.columns, f"get({own}, 0).fin as fin")
 
 
 def effective(captures: DataFrame) -> DataFrame:
@@ -235,8 +236,11 @@ def outcomes(
     keys = ("url", "_part")
     hot = skew.hot_keys(requests, ["url"])
     wanted = skew.salt(requests, hot, ["url"], ["batch_id", "ord"])
-    seen = captures if final is None else attach_final(captures, final)
-    judged = verdict(skew.spread(seen, hot, ["url"]))
+    seen = skew.spread(captures, hot, ["url"])
+    if final is not None:
+        fins = skew.spread(final_by_url(captures, final), hot, ["url"])
+        seen = with_final(seen, fins, keys)
+    judged = verdict(seen)
     chosen = with_fallback(judged, fallback, keys).drop("timeout_s")
     joined = wanted.join(chosen, list(keys), "left")
     if markdown is not None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
 from pagequarry.operators import skew
+from pagequarry.session import written
 
 
 def names(outcomes: DataFrame) -> DataFrame:
@@ -32,8 +33,10 @@ def allocate(
       small replay, never the requests themselves.
     """
     keys = list(keys)
+    # Only keys and names take part; they are read several times, so they are written once.
+    slim = written(df.select(*keys, order, name), "names")
     stem = F.regexp_replace(name, r"(?s)(.)\.[^.]+\z", "$1")
-    rows = df.withColumn("_stem", stem).withColumn(
+    rows = slim.withColumn("_stem", stem).withColumn(
         "_suffix", F.expr(f"substr({name}, length(_stem) + 1)")
     )
     placed = skew.positions(rows, [*keys, name], order, "_place")
@@ -64,12 +67,13 @@ def allocate(
         generated + 1,
         lambda n, s: F.when(s <= n, n + 1).otherwise(n),
     )
-    return joined.withColumn(
+    numbered = joined.withColumn(
         "allocated",
         F.when(generated == 0, F.col(name)).otherwise(
             F.concat("_stem", F.lit("-"), k.cast("string"), "_suffix")
         ),
-    ).drop("_place", "_stem", "_suffix", "_taken", "_skipped")
+    )
+    return df.join(numbered.select(*keys, order, "allocated"), [*keys, order])
 
 
 def _taken_numbers(

@@ -17,6 +17,7 @@ from pagequarry.operators import html as P
 from pagequarry.operators import judge, mainfit, markdown, messages, naming, report
 from pagequarry.plans import derived as D
 from pagequarry.sources import requests as request_source
+from pagequarry.session import written
 from pagequarry.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -181,7 +182,8 @@ def interference(spark, sf):
 
 @query
 def final_response(spark, sf):
-    k = judge.effective(judge.attach_final(D.captures(spark, sf), D.final_responses(spark, sf)))
+    captures = D.captures(spark, sf)
+    k = judge.effective(judge.with_final(captures, judge.final_by_url(captures, D.final_responses(spark, sf))))
     return k.select("url", "attempt", "status", "by_final", F.col("ctype").alias("content_type"))
 
 
@@ -332,11 +334,6 @@ def extensions(spark, sf):
     )
 
 
-def _named(spark: SparkSession, sf: str) -> DataFrame:
-    ok = _all_outcomes(spark, sf).where("ok").select("batch_id", "ord", "url", "extension")
-    return naming.allocate(ok.selectExpr("*", f"{urls.file_name('url', 'extension')} as name"))
-
-
 @query
 def allocated_names(spark, sf):
     """Names of a whole run as one batch, so that equal names meet."""
@@ -357,12 +354,8 @@ def contested_names(spark, sf):
     return naming.allocate(pages)
 
 
-def _download_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return _all_outcomes(spark, sf, with_markdown=True)
-
-
 def _manifest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _download_outcomes(spark, sf)
+    rows = written(_all_outcomes(spark, sf, with_markdown=True), "outcomes")
     named = naming.allocate(naming.names(rows))
     failed = messages.with_error_text(rows.where("not ok"), catalog.frame(spark), rules.http_status(spark))
     write_errors = _first(spark, sf).where(F.col("ord") % 130 == 0).select(
@@ -452,8 +445,12 @@ def repeated_blocks(spark, sf):
 
 
 def _fit(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    marked = mainfit.mark_repeated(P.blocks(D.pages(spark, sf), keep=("url",)))
-    return mainfit.fit(marked)
+    return mainfit.fit(mainfit.mark_repeated(_blocks(spark, sf)))
+
+
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """The block table of the site, which counting, marking and rendering all read."""
+    return written(P.blocks(D.pages(spark, sf), keep=("url",)), "blocks")
 
 
 @query
@@ -509,15 +506,17 @@ def note_lines(spark, sf):
 @query
 def report_lines(spark, sf):
     valid = _valid(spark, sf)
+    outcome_rows = written(_all_outcomes(spark, sf), "outcomes")
     rows = report.report_lines(
-        _all_outcomes(spark, sf), B.first_seen(valid)[1], catalog.frame(spark), rules.http_status(spark)
+        outcome_rows, B.first_seen(valid)[1], catalog.frame(spark), rules.http_status(spark)
     )
     return rows.select("batch_id", "section", "ord", "line")
 
 
 @query
 def page_blocks(spark, sf):
-    rows = report.page_blocks(_all_outcomes(spark, sf, with_markdown=True), catalog.frame(spark), rules.http_status(spark))
+    outcome_rows = written(_all_outcomes(spark, sf, with_markdown=True), "outcomes")
+    rows = report.page_blocks(outcome_rows, catalog.frame(spark), rules.http_status(spark))
     return rows.select("batch_id", "ord", F.col("n").cast("bigint").alias("n"), "type", "text", "mime")
 
 

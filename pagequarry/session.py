@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(name: str = "pagequarry", cores: str = "8", memory: str = "8g") -> SparkSession:
@@ -42,3 +42,14 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = os.path.join(tempfile.gettempdir(), f"pagequarry-{os.getpid()}")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write a table to the shared folder once and read it back.
+
+    For results with several consumers: each reads the columns it needs instead of running
+    the job again, and a lost executor costs no more than reading files.
+    """
+    folder = shared_folder(df.sparkSession, purpose)
+    df.write.mode("overwrite").parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
