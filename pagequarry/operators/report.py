@@ -291,7 +291,7 @@ def page_blocks(
     def text_with_head(body: Column) -> Column:
         return F.array(block("text", F.array_join(F.array_append(head, body), "\n")))
 
-    image = F.array(block("image", F.base64(F.coalesce("data", F.lit(b""))), mime))
+    image = F.array(block("image", F.replace(F.base64(F.coalesce("data", F.lit(b""))), F.lit("\r\n"), F.lit("")), mime))
     made = (
         F.when(~F.col("ok"), text_with_head(F.concat(F.lit(ERROR_PREFIX), F.coalesce("error_text", F.concat(F.lit("fetch failed: "), "url")))))
         .when(F.col("text").isNotNull(), text_with_head(F.col("text")))

@@ -96,7 +96,7 @@ _BODIES = f"""b as (select page_id as batch_id, {D.BODY_SQL} as body from pages)
 j as (select batch_id, body, case when json_valid(body) then json(body) end as d from b),
 p as (select batch_id, d, case when d is null then 'not_json' when json_type(d) <> 'OBJECT' then 'not_object'
     when not json_exists(d, '$.urls') then 'no_urls' when json_type(d, '$.urls') <> 'ARRAY' then 'bad_urls'
-    when len(list_filter(json_extract(d, '$.urls[*]'), x -> json_type(x) <> 'VARCHAR')) > 0 then 'bad_urls' end as reason from j),
+    when len(list_filter(json_extract(d, '$.urls[*]'), lambda x: json_type(x) <> 'VARCHAR')) > 0 then 'bad_urls' end as reason from j),
 u as (select *, case when reason is null then json_extract_string(d, '$.urls[*]') end as urls from p)"""
 ORACLES["q_request_bodies"] = f"""with {_BODIES} select batch_id, reason, len(urls) as n_urls,
   case when urls is not null then coalesce(array_to_string(urls, ' '), '') end as listed from u"""
@@ -122,7 +122,7 @@ k1 as (select *, {_MT} as mt, ({_MT}) not in ('text/html', 'application/xhtml+xm
 ORACLES["q_media_types"] = f"""with {K} select url, attempt, mt as media_type, not coalesce(file_type, false) as may_be_html,
   coalesce(file_type, false) as not_html from k1"""
 ORACLES["q_header_lookup"] = f"""with {K} select url, attempt, ct as content_type, cl as content_length, squid as proxy_error,
-  case when headers_json is not null then array_to_string(list_sort(list_transform(json_keys(headers_json), x -> lower(x))), ',') end as names from k1"""
+  case when headers_json is not null then array_to_string(list_sort(list_transform(json_keys(headers_json), lambda x: lower(x))), ',') end as names from k1"""
 ORACLES["q_body_kept"] = f"""with {K} select url, attempt, coalesce(st between 200 and 299, false) as success,
   coalesce(file_type, false) and coalesce(st between 200 and 299, false)
     and (cl is null or coalesce(try_cast(cl as bigint) <= 67108864, false)) as kept from k1"""
@@ -254,7 +254,7 @@ bl as (select {keys}{extra}, pos, case when closing or tag is null then '' else
     when d_article > 0 then 'article' when d_main > 0 then 'main' else 'body' end as container,
   cast(d_list as int) as list_depth, d_ol > 0 and d_ol = d_list as ordered, inside, {plain('inside')} as txt,
   cast(coalesce(list_sum(list_transform(regexp_extract_all(inside, '(?is)<a\\b[^>]*>(.*?)</a\\s*>', 1),
-    x -> length({squeeze("regexp_replace(x, '</?[A-Za-z][^>]*>', ' ', 'g')")}))), 0) as int) as link_chars
+    lambda x: length({squeeze("regexp_replace(x, '</?[A-Za-z][^>]*>', ' ', 'g')")}))), 0) as int) as link_chars
   from sg4 where {plain('inside')} <> '' or regexp_matches(inside, '(?i)<img\\b'))"""
 
 
@@ -315,7 +315,7 @@ x4 as (select *, row_number() over (partition by page_id order by first_pos) as
 x5 as (select x2.page_id, list(txt || ' [' || number || ']' order by pos) as marks,
   string_agg(case when pos = first_pos then '[' || number || ']: ' || x2.resolved end, chr(10) order by pos) as refs
   from x2 join x4 on x2.page_id = x4.page_id and x2.resolved = x4.resolved group by x2.page_id),
-c as (select x0.page_id, array_to_string(list_transform(range(1, len(pieces) + 1), i -> pieces[i] || coalesce(marks[i], '')), '')
+c as (select x0.page_id, array_to_string(list_transform(range(1, len(pieces) + 1), lambda i: pieces[i] || coalesce(marks[i], '')), '')
    || case when refs is not null then chr(10) || chr(10) || '## References' || chr(10) || chr(10) || refs else '' end as markdown
   from x0 left join x5 on x0.page_id = x5.page_id)"""
 
@@ -409,12 +409,12 @@ ORACLES["q_log_lines"] = f"""with {_O} select batch_id, ord, case when ok then '
 
 def stem(u: str, ext: str) -> str:
     """File stem; escapes of the test URLs are spelled out."""
-    segs = f"list_filter(string_split({path(u)}, '/'), s -> s <> '')"
+    segs = f"list_filter(string_split({path(u)}, '/'), lambda s: s <> '')"
     last = f"list_extract({segs}, -1)"
     cut = f"case when {_q(ext)} <> '' and ends_with({last}, {_q(ext)}) then left({last}, length({last}) - {len(ext)}) else {last} end"
     every = f"case when len({segs}) = 0 then [] else list_append({segs}[:-2], {cut}) end"
     joined = (
-        f"array_to_string(list_filter(list_concat([{host(u)} || coalesce('_' || ({port(u)}), '')], {every}, [{query(u)}]), s -> s <> ''), '_')"
+        f"array_to_string(list_filter(list_concat([{host(u)} || coalesce('_' || ({port(u)}), '')], {every}, [{query(u)}]), lambda s: s <> ''), '_')"
     )
     decoded = f"replace(replace({joined}, '%20', ' '), '%E3%81%82', 'あ')"
     return f"regexp_replace(regexp_replace({decoded}, '[/\\\\:*?\"<>|]', '_', 'g'), '_+', '_', 'g')"

@@ -226,8 +226,10 @@ def _accepted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _outcomes(spark: SparkSession, sf: str, requests: DataFrame, with_markdown: bool = True) -> DataFrame:
+    # The narrow request rows are read three times: to find hot URLs, to spread, to join.
+    chosen = written(B.with_options(requests), "requests")
     return judge.outcomes(
-        B.with_options(requests), D.captures(spark, sf), rules.media_types(spark),
+        chosen, D.captures(spark, sf), rules.media_types(spark),
         final=D.final_responses(spark, sf), markdown=page_markdown if with_markdown else None,
     )
 
@@ -553,9 +555,12 @@ def proxy_check(spark, sf):
     full = rows.selectExpr("page_id", f"{urls.full_proxy('proxy')} as full_url")
     checked = full.selectExpr(
         "page_id", f"{urls.proxy_reason('full_url')} as reason", f"{urls.normal_proxy('full_url')} as normal",
-        f"{urls.redact('full_url')} as shown",
+        "full_url",
+    )
+    return checked.selectExpr(
+        "page_id", "if(reason is null, normal, null) as proxy", "reason",
+        f"{urls.redact('if(reason is null, normal, full_url)')} as shown",
     )
-    return checked.selectExpr("page_id", "if(reason is null, normal, null) as proxy", "reason", "shown")
 
 
 @query
