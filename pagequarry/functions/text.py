@@ -106,18 +106,42 @@ def cut_utf8(c: str, max_bytes: int) -> str:
     return f"if(octet_length({c}) <= {max_bytes}, {c}, coalesce({cuts}, ''))"
 
 
-# One text of lines "name, tab, value", built from the public HTML 5 table of the standard
-# library; searching it keeps plans small where a map literal of this size would not.
-_ENTITY_LINES = "\n" + "".join(
-    f"&{name}\t{value}\n" for name, value in html.entities.html5.items() if "\n" not in value
-)
+def _entity_lines(names) -> str:
+    """One text of lines "name, tab, value"; searching it keeps plans small where a map
+    literal of this size would not."""
+    return "\n" + "".join(f"&{n}\t{html.entities.html5[n]}\n" for n in names if "\n" not in html.entities.html5[n])
+
+
+# Built from the public HTML 5 table of the standard library. Old names also work without a
+# semicolon, and then as a prefix of a longer word.
+_ALL_NAMES = _entity_lines(html.entities.html5)
+_OLD_NAMES = _entity_lines(n for n in html.entities.html5 if not n.endswith(";"))
 # References common enough for a direct answer.
-_COMMON = {"&amp;": "&", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&nbsp;": "\xa0", "&#39;": "'"}
+_COMMON = {
+    "&amp;": "&",
+    "&lt;": "<",
+    "&gt;": ">",
+    "&quot;": '"',
+    "&#39;": "'",
+    "&nbsp;": "\xa0",
+    "&copy;": "\xa9",
+    "&middot;": "\xb7",
+    "&ndash;": "\u2013",
+    "&mdash;": "\u2014",
+    "&hellip;": "\u2026",
+}
+
+
+def _found(key: str, table: str, rest: str) -> str:
+    """Value of ``key`` in a table of lines followed by ``rest``; null when it is not there."""
+    return (
+        f"get(transform(array({lit(table)}), _tab -> get(transform(array(position(concat('\\n', {key}, '\\t'), _tab)), "
+        f"_at -> if(_at > 0, concat(substring_index(substr(_tab, _at + length({key}) + 2, 8), '\\n', 1), {rest}), null)), 0)), 0)"
+    )
 
 
 def _entity_text(token: str) -> str:
-    """Value of one reference. Old names also work without a semicolon, as the longest known
-    prefix of the token; an unknown name stays as it is."""
+    """Value of one reference; an unknown name stays as it is."""
     common = " ".join(f"when {lit(k)} then {lit(v)}" for k, v in _COMMON.items())
     digits, hexits = extract(token, r"^&#([0-9]+)"), extract(token, r"^&#[xX]0*([0-9a-fA-F]*)")
     code = (
@@ -128,13 +152,13 @@ def _entity_text(token: str) -> str:
         f"get(transform(array({code}), _cp -> if(_cp > 0 and _cp < 1114112 and not _cp between 55296 and 57343, "
         f"decode(unhex(lpad(hex(_cp), 8, '0')), 'UTF-32'), {lit(chr(0xFFFD))})), 0)"
     )
-    known = (
-        f"transform(sequence(length({token}), 2, -1), _len -> "
-        f"get(transform(array(struct(position(concat('\\n', substr({token}, 1, _len), '\\t'), _tab) as at)), _hit -> "
-        f"if(_hit.at > 0, concat(substring_index(substr(_tab, _hit.at + _len + 2, 8), '\\n', 1), "
-        f"substr({token}, _len + 1)), null)), 0))"
+    prefixes = (
+        f"transform(sequence(least(length({token}), 8), 2, -1), _len -> "
+        + _found(f"substr({token}, 1, _len)", _OLD_NAMES, f"substr({token}, _len + 1)")
+        + ")"
     )
-    named = f"coalesce(get(array_compact(get(transform(array({lit(_ENTITY_LINES)}), _tab -> {known}), 0)), 0), {token})"
+    exact = _found(token, _ALL_NAMES, "''")
+    named = f"coalesce({exact}, get(array_compact({prefixes}), 0), {token})"
     return f"case {token} {common} else if(startswith({token}, '&#'), {number}, {named}) end"
 
 
@@ -143,7 +167,21 @@ def decode_entities(c: str) -> str:
     pieces = f"split({c}, {lit(_ENTITY)}, -1)"
     decoded = f"transform(regexp_extract_all({c}, {lit(_ENTITY)}, 0), _ent -> {_entity_text('_ent')})"
     joined = f"array_join(zip_with({pieces}, {decoded}, (_pc, _dc) -> concat(_pc, coalesce(_dc, ''))), '')"
-    return f"if(contains({c}, '&'), {joined}, {c})"
+    # With common references only, plain replacing is enough, the ampersand last.
+    simple = c
+    for name, value in sorted(_COMMON.items(), key=lambda item: item[0] == "&amp;"):
+        simple = f"replace({simple}, {lit(name)}, {lit(value)})"
+    rare = matches(c, "&(?!(?:" + "|".join(name[1:] for name in _COMMON) + "))[A-Za-z#]")
+    return f"case when not contains({c}, '&') then {c} when {rare} then {joined} else {simple} end"
+
+
+def keep_if(value: str, name: str, test: str) -> str:
+    """A generator that yields ``value`` as column ``name`` when ``test`` on ``_v`` holds.
+
+    A filter on a computed column is pushed below the projection and computes it twice; this
+    computes it once.
+    """
+    return f"inline(filter(array(struct({value} as v)), _kv -> {test.replace('_v', '_kv.v')})) as ({name})"
 
 
 def fill(template: str, params: str) -> str:

@@ -16,7 +16,7 @@ from pyspark.sql import Window as W
 from pagequarry.functions import urls
 from pagequarry.functions.inline import ANCHOR, attribute, link_text_length, plain_text
 from pagequarry.functions.judging import page_title
-from pagequarry.functions.text import extract, lit, matches, replace_all, strip
+from pagequarry.functions.text import extract, keep_if, lit, matches, replace_all, strip
 
 TOKEN = r"</?[A-Za-z][^>]*>|[^<]+|<"
 # Tags that start or end a block, and the containers that matter for main content.
@@ -130,10 +130,11 @@ def blocks(
         depth("list").cast("int").alias("list_depth"),
         ((depth("ol") > 0) & (depth("ol") == depth("list"))).alias("ordered"),
         "inner",
-        F.expr(plain_text("inner")).alias("txt"),
-        F.expr(link_text_length("inner")).cast("int").alias("link_chars"),
     )
-    return with_text.where((F.col("txt") != "") | F.col("inner").rlike(r"(?i)<img\b"))
+    has_image = matches("inner", r"(?i)<img\b")
+    return with_text.selectExpr(
+        "*", keep_if(plain_text("inner"), "txt", f"_v <> '' or {has_image}")
+    ).selectExpr("*", f"cast({link_text_length('inner')} as int) as link_chars")
 
 
 def links(

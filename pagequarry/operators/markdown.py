@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from pagequarry.functions import urls
 from pagequarry.functions.inline import MD_LINK, markdown_text
-from pagequarry.functions.text import lit
+from pagequarry.functions.text import keep_if, lit
 
 
 def block_lines(blocks: DataFrame, keys: Sequence[str], links: bool, images: bool) -> DataFrame:
@@ -19,9 +19,10 @@ def block_lines(blocks: DataFrame, keys: Sequence[str], links: bool, images: boo
     List items and line breaks stay close to the block before, other blocks do not.
     """
     bodies = blocks.where("container <> 'head'").selectExpr(
-        *keys, "pos", "tag", "list_depth", "ordered", f"{markdown_text('inner', links, images)} as body"
+        *keys, "pos", "tag", "list_depth", "ordered",
+        keep_if(markdown_text("inner", links, images), "body", "_v <> ''"),
     )
-    return bodies.where("body <> ''").selectExpr(
+    return bodies.selectExpr(
         *keys,
         "pos",
         "case tag when 'li' then '\\n' when 'br' then '  \\n' else '\\n\\n' end as sep",
