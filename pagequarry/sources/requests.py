@@ -28,14 +28,17 @@ def read(spark: SparkSession, path: str, fmt: str = "parquet", **options: str) -
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files with one URL per line: each file is a batch, lines keep their order.
 
-    The place of a line comes from its file, split and line position, which Spark provides
-    through the whole-file reader; files are URL lists, so one file fits a task.
+    ``ord`` is put together from the split of the file and the row in the reading task, so a
+    large file is read by many tasks. It grows along the file but is not dense. Splits are
+    larger than a mebibyte, as Spark's defaults make them.
     """
-    files = spark.read.option("wholetext", True).text(path).select(
-        F.xxhash64(F.input_file_name()).alias("batch_id"),
-        F.split("value", r"\r\n|\n|\r").alias("urls"),
+    lines = spark.read.text(path).selectExpr(
+        "xxhash64(_metadata.file_path) as batch_id",
+        "shiftleft(shiftright(_metadata.file_block_start, 20), 33) + "
+        "(monotonically_increasing_id() & 8589934591) as ord",
+        "value as url_raw",
     )
-    return from_lists(files).where(F.trim("url_raw") != "")
+    return schemas.conform(lines.where("trim(url_raw) <> ''"), schemas.REQUESTS)
 
 
 def parse_bodies(df: DataFrame, body: str = "body") -> DataFrame:
@@ -51,18 +54,19 @@ def parse_bodies(df: DataFrame, body: str = "body") -> DataFrame:
     shape = F.schema_of_variant("_v")
     urls = F.try_variant_get("_v", "$.urls", "variant")
     urls_shape = F.schema_of_variant(urls)
+    listed = F.try_variant_get("_v", "$.urls", "array<string>")
+    has_null = F.coalesce(F.exists(listed, lambda x: x.isNull()), F.lit(False))
     reason = (
         F.when(F.col("_v").isNull(), "not_json")
         .when(~shape.startswith("OBJECT"), "not_object")
         .when(urls.isNull(), "no_urls")
-        .when(urls_shape == "ARRAY<STRING>", None)
+        .when((urls_shape == "ARRAY<STRING>") & ~has_null, None)
         .when(F.to_json(urls) == "[]", None)
         .otherwise("bad_urls")
     )
-    good = F.when(
-        reason.isNull(), F.try_variant_get("_v", "$.urls", "array<string>")
+    return parsed.select(
+        *df.columns, reason.alias("reason"), F.when(reason.isNull(), listed).alias("urls")
     )
-    return parsed.select(*df.columns, reason.alias("reason"), good.alias("urls"))
 
 
 def from_bodies(df: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
