@@ -49,22 +49,6 @@ def render(
     )
 
 
-def _link_rows(docs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Links of Markdown texts in order; images keep their place but get no number."""
-
-    parts = [
-        f"regexp_extract_all(markdown, {lit(MD_LINK)}, {i}) as {name}"
-        for i, name in enumerate(("mark", "anchor", "target"), start=1)
-    ]
-    rows = docs.selectExpr(*keys, "base", *parts).selectExpr(
-        *keys, "base", "posexplode(arrays_zip(mark, anchor, target)) as (pos, _l)"
-    )
-    return rows.selectExpr(
-        *keys, "pos", "_l.mark", "_l.anchor", "_l.target",
-        f"if(_l.mark = '', {urls.resolve('base', '_l.target')}, null) as resolved",
-    )
-
-
 def numbers(links: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     """One number per distinct target of a page, in order of first use."""
     first = links.groupBy(*keys, "resolved").agg(F.min("pos").alias("first_pos"))
@@ -73,35 +57,39 @@ def numbers(links: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:
     )
 
 
-def cite(docs: DataFrame, keys: Sequence[str] = ("page_id",), placed: bool = False) -> DataFrame:
-    """Turn links into numbered references listed at the end: ``(keys, markdown)``.
+def cite(docs: DataFrame) -> DataFrame:
+    """Turn links into numbered references listed at the end.
 
-    ``docs`` holds ``(keys, markdown, base)``. Numbers come from the given text, so a
-    filtered page is numbered by what was kept.
+    ``docs`` holds ``markdown`` and ``base`` next to any other columns, which stay. One number
+    per distinct target in order of first use; images keep their form and get no number.
+    Numbers come from the given text, so a filtered page is numbered by what was kept. All of
+    it happens inside the row: no shuffle.
     """
-    source = docs if placed else docs.repartition(*[F.col(k) for k in keys])
-    rows = _link_rows(source, keys)
-    numbered = numbers(rows.where("mark = ''"), keys)
-    merged = rows.join(numbered, [*keys, "resolved"], "left")
-    per_page = merged.groupBy(*keys).agg(
-        F.expr("sort_array(collect_list(struct(pos, mark, anchor, target, resolved, number, first_pos)))").alias("found")
-    )
-    texts = (
-        "transform(found, _l -> if(_l.mark = '', concat(_l.anchor, ' [', _l.number, ']'), "
-        "concat('![', _l.anchor, '](', _l.target, ')')))"
+    rest = [c for c in docs.columns if c not in ("markdown", "base")]
+    found = docs.selectExpr(
+        *rest,
+        "base",
+        f"split(markdown, {lit(MD_LINK)}, -1) as pieces",
+        *[
+            f"regexp_extract_all(markdown, {lit(MD_LINK)}, {i}) as {name}"
+            for i, name in enumerate(("mark", "anchor", "target"), start=1)
+        ],
     )
-    refs = (
-        "transform(filter(found, _l -> _l.pos = _l.first_pos), _l -> concat('[', _l.number, ']: ', _l.resolved))"
+    resolved = found.selectExpr(
+        "*", f"zip_with(mark, target, (_mk, _tg) -> if(_mk = '', {urls.resolve('base', '_tg')}, null)) as resolved"
     )
-    body = (
-        f"array_join(zip_with(split(markdown, {lit(MD_LINK)}, -1), texts, "
-        "(_p, _t) -> concat(_p, coalesce(_t, ''))), '')"
+    listed = resolved.selectExpr("*", "array_distinct(array_compact(resolved)) as refs")
+    texts = listed.selectExpr(
+        *rest,
+        "refs",
+        "pieces",
+        """transform(anchor, (_an, _i) -> if(mark[_i] = '',
+            concat(_an, ' [', array_position(refs, resolved[_i]), ']'),
+            concat('![', _an, '](', target[_i], ')'))) as texts""",
     )
-    joined = source.join(per_page, list(keys), "left")
-    return (
-        joined.selectExpr(*docs.columns, f"coalesce({texts}, array()) as texts", f"coalesce({refs}, array()) as refs")
-        .selectExpr(
-            *[c for c in docs.columns if c != "markdown"],
-            f"if(size(refs) = 0, {body}, concat({body}, '\\n\\n## References\\n\\n', array_join(refs, '\\n'))) as markdown",
-        )
+    return texts.selectExpr(
+        *rest,
+        "concat(array_join(zip_with(pieces, texts, (_p, _t) -> concat(_p, coalesce(_t, ''))), ''), "
+        "if(size(refs) = 0, '', concat('\\n\\n## References\\n\\n', "
+        "array_join(transform(refs, (_r, _i) -> concat('[', _i + 1, ']: ', _r)), '\\n')))) as markdown",
     )

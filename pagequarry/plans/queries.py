@@ -225,9 +225,14 @@ def _accepted(spark: SparkSession, sf: str) -> DataFrame:
     return B.accepted(first, B.gate(requests, strict=False))
 
 
-def _outcomes(spark: SparkSession, sf: str, requests: DataFrame, with_markdown: bool = True) -> DataFrame:
+def _outcomes(
+    spark: SparkSession, sf: str, requests: DataFrame, with_markdown: bool = True, fmt: str | None = None
+) -> DataFrame:
     # The narrow request rows are read three times: to find hot URLs, to spread, to join.
     chosen = written(B.with_options(requests), "requests")
+    if fmt is not None:
+        # A constant format lets the optimizer drop the columns of the other formats.
+        chosen = chosen.withColumn("format", F.lit(fmt))
     return judge.outcomes(
         chosen, D.captures(spark, sf), rules.media_types(spark),
         final=D.final_responses(spark, sf), markdown=page_markdown if with_markdown else None,
@@ -239,7 +244,7 @@ def _all_outcomes(spark: SparkSession, sf: str, with_markdown: bool = False) ->
 
 
 def _loader_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return _outcomes(spark, sf, _accepted(spark, sf).withColumn("format", F.lit("markdown")))
+    return _outcomes(spark, sf, _accepted(spark, sf), fmt="markdown")
 
 
 @query
@@ -438,7 +443,7 @@ def markdown_no_links(spark, sf):
 @query
 def cited_markdown(spark, sf):
     text = markdown.render(P.blocks(D.pages(spark, sf), keep=("url",)), ("page_id", "url"))
-    return markdown.cite(text.withColumnRenamed("url", "base"), ("page_id",), placed=False).drop("base")
+    return markdown.cite(text.withColumnRenamed("url", "base"))
 
 
 @query
@@ -470,7 +475,7 @@ def fit_notes(spark, sf):
 def fit_cited(spark, sf):
     """Main content with citations, numbered on what was kept."""
     text = markdown.render(_fit(spark, sf)[0], ("page_id", "url"))
-    return markdown.cite(text.withColumnRenamed("url", "base"), ("page_id",)).drop("base")
+    return markdown.cite(text.withColumnRenamed("url", "base"))
 
 
 @query
