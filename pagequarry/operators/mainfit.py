@@ -51,14 +51,20 @@ def block_score() -> Column:
 
 
 def mark_repeated(
-    blocks: DataFrame, keys: Sequence[str] = ("page_id",), repeated_on: int = REPEATED_ON
+    blocks: DataFrame,
+    keys: Sequence[str] = ("page_id",),
+    repeated_on: int = REPEATED_ON,
+    page: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``repeated`` to a block table that carries ``url``.
 
+    ``page`` names the columns that make pages different when ``keys`` also tell copies of
+    one page apart.
+
     Only texts that pass the threshold are joined back, on keys and positions; a footer that
     makes up much of the data is a hot key of that join and is spread.
     """
-    counted = repeated_blocks(blocks, keys).where(F.col("pages") >= repeated_on)
+    counted = repeated_blocks(blocks, page or keys).where(F.col("pages") >= repeated_on)
     slim = blocks.select(*keys, "pos", F.expr(urls.host("url")).alias("host"), F.md5("txt").alias("digest"))
     hot = skew.hot_keys(counted, ["host", "digest"], counts="pages")
     hits = skew.lookup(

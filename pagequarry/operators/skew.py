@@ -47,12 +47,14 @@ def hot_keys(
     )
 
 
-def salt(df: DataFrame, hot: DataFrame, keys: Sequence[str], row: Sequence[str]) -> DataFrame:
-    """Add ``_part``: 0 for ordinary keys, a part chosen by the ``row`` columns for hot ones."""
+def salt(
+    df: DataFrame, hot: DataFrame, keys: Sequence[str], row: Sequence[str], name: str = "_part"
+) -> DataFrame:
+    """Add ``name``: 0 for ordinary keys, a part chosen by the ``row`` columns for hot ones."""
     return (
         df.join(F.broadcast(hot), list(keys), "left")
         .withColumn(
-            "_part",
+            name,
             F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(
                 F.pmod(F.xxhash64(*row), F.col("_parts"))
             ).cast("int"),
@@ -61,12 +63,12 @@ def salt(df: DataFrame, hot: DataFrame, keys: Sequence[str], row: Sequence[str])
     )
 
 
-def spread(df: DataFrame, hot: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add ``_part`` to the other side: one copy per part of a hot key, one copy otherwise."""
+def spread(df: DataFrame, hot: DataFrame, keys: Sequence[str], name: str = "_part") -> DataFrame:
+    """Add ``name`` to the other side: one copy per part of a hot key, one copy otherwise."""
     return (
         df.join(F.broadcast(hot), list(keys), "left")
         .withColumn(
-            "_part", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
+            name, F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
         )
         .drop("_parts")
     )
@@ -85,9 +87,9 @@ def lookup(
     ``row`` names columns of ``left`` that differ between the rows of one key.
     """
     hot = hot_keys(left, keys) if hot is None else hot
-    return salt(left, hot, keys, row).join(
-        spread(right, hot, keys), [*keys, "_part"], how
-    ).drop("_part")
+    return salt(left, hot, keys, row, "_salt").join(
+        spread(right, hot, keys, "_salt"), [*keys, "_salt"], how
+    ).drop("_salt")
 
 
 def positions(

@@ -331,6 +331,7 @@ sc as (select bl.*, case when rp.pages >= 3 then 0.0 else
   from bl join rp on rp.host = {host('bl.url')} and rp.digest = md5(txt)),
 pg as (select page_id, bool_or(score >= 0.5) as found from sc group by page_id),
 kept as (select sc.* from sc join pg using (page_id) where not found or score >= 0.5)"""
+_SCORE = _FIT[_FIT.index("sc as (") :]
 ORACLES["q_fit"] = f"with {_FIT}, {md('kept', 'page_id', 'm')} select * from m"
 ORACLES["q_fit_notes"] = f"with {_FIT} select page_id, case when not found then 'filter_kept_nothing' end as note from pg"
 ORACLES["q_fit_cited"] = f"with {_FIT}, {md('kept', 'page_id, url', 'm')}, {cite('m')} select * from c"
@@ -342,9 +343,9 @@ ORACLES["q_page_text"] = """with t as (select conv_id as doc, turn, trim(text, E
 # --- outcomes -------------------------------------------------------------------------------
 
 
-def outcome(rows: str, markdown: bool = True) -> str:
+def outcome(rows: str, markdown: bool = True, text: str | None = None) -> str:
     """CTEs ending in ``o``: outcomes of the request rows ``rows`` (batch_id, ord, url, format, timeout_s)."""
-    text = (
+    text = text or (
         f"{blocks('(select * from ch where verdict = ' + _q('page') + ')', 'url')}, {md('bl', 'url', 'mt')},"
         if markdown
         else "mt as (select cast(null as varchar) as url, cast(null as varchar) as markdown where false),"
@@ -383,6 +384,12 @@ ORACLES["q_outcomes"] = f"""with {_O} select batch_id, ord, url, ok, o_final_url
 ORACLES["q_documents"] = f"""with {_LO} select batch_id, ord, o_text as page_content,
   cast(to_json({{'source': url, 'url': o_final_url, 'title': o_title, 'status_code': o_status, 'content_type': content_type}}) as varchar) as metadata
   from o where ok and trim(o_text) <> ''"""
+_FIT_TEXT = f"""{blocks("(select * exclude (page_id), coalesce(final_url, url) as base, url as page_id from ch where verdict = 'page')", 'url', ', page_id, base')}, {_REPEATED},
+{_SCORE}, {md('kept', 'page_id, base', 'mk')}, mkb as (select page_id, base as url, markdown from mk), {cite('mkb')},
+mt as (select c.page_id as url, c.markdown, pg.found from c join pg using (page_id)),"""
+ORACLES["q_fit_documents"] = f"""with {_LOADER}, {outcome('loads', text=_FIT_TEXT).replace('mt.markdown,', 'mt.markdown, mt.found,')}
+  select batch_id, ord, o_text as page_content, concat_ws(',', note1, note2, case when verdict = 'page' and not found then 'filter_kept_nothing' end) as note_keys
+  from o where ok and trim(o_text) <> ''"""
 ORACLES["q_batch_documents"] = f"""with {_LO}, d as (select batch_id, ord, {{'page_content': o_text, 'metadata':
    {{'source': url, 'url': o_final_url, 'title': o_title, 'status_code': o_status, 'content_type': content_type}}}} as doc from o where ok and trim(o_text) <> '')
   select batch_id, count(*) as n_docs, length(cast(to_json(list(doc order by ord)) as varchar)) as chars from d group by batch_id"""

@@ -13,6 +13,7 @@ from pagequarry.functions import judging as J
 from pagequarry.functions import text as T
 from pagequarry.operators import artifacts as A
 from pagequarry.operators import batches as B
+from pagequarry.operators import content
 from pagequarry.operators import html as P
 from pagequarry.operators import judge, mainfit, markdown, messages, naming, report
 from pagequarry.plans import derived as D
@@ -207,18 +208,6 @@ def fallback(spark, sf):
 # --- outcomes -----------------------------------------------------------------------------
 
 
-def page_markdown(pages: DataFrame, fit: bool = False) -> DataFrame:
-    """Markdown of judged pages ``(url, _part, html)``, which are already placed by URL."""
-    keys = ("url", "_part")
-    blocks = P.blocks(pages, keys, placed=True)
-    return _texts(pages, blocks, keys)
-
-
-def _texts(pages: DataFrame, blocks: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    text = markdown.render(blocks, keys)
-    return text.withColumn("md_notes", judge.no_notes())
-
-
 def _accepted(spark: SparkSession, sf: str) -> DataFrame:
     requests = D.requests(spark, sf)
     first, _ = B.first_seen(B.split_valid(requests)[0])
@@ -226,7 +215,7 @@ def _accepted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _outcomes(
-    spark: SparkSession, sf: str, requests: DataFrame, with_markdown: bool = True, fmt: str | None = None
+    spark: SparkSession, sf: str, requests: DataFrame, with_markdown: bool = True, fmt: str | None = None, **options: bool
 ) -> DataFrame:
     # The narrow request rows are read three times: to find hot URLs, to spread, to join.
     chosen = written(B.with_options(requests), "requests")
@@ -235,7 +224,7 @@ def _outcomes(
         chosen = chosen.withColumn("format", F.lit(fmt))
     return judge.outcomes(
         chosen, D.captures(spark, sf), rules.media_types(spark),
-        final=D.final_responses(spark, sf), markdown=page_markdown if with_markdown else None,
+        final=D.final_responses(spark, sf), markdown=content.page_text(**options) if with_markdown else None,
     )
 
 
@@ -243,8 +232,8 @@ def _all_outcomes(spark: SparkSession, sf: str, with_markdown: bool = False) ->
     return _outcomes(spark, sf, _first(spark, sf), with_markdown)
 
 
-def _loader_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return _outcomes(spark, sf, _accepted(spark, sf), fmt="markdown")
+def _loader_outcomes(spark: SparkSession, sf: str, **options: bool) -> DataFrame:
+    return _outcomes(spark, sf, _accepted(spark, sf), fmt="markdown", **options)
 
 
 @query
@@ -266,6 +255,15 @@ def documents(spark, sf):
     return docs.select("batch_id", "ord", "page_content", F.to_json("metadata", {"ignoreNullFields": "false"}).alias("metadata"))
 
 
+@query
+def fit_documents(spark, sf):
+    """Documents with the main content only, links as citations, and the notes of the filter."""
+    rows = _loader_outcomes(spark, sf, fit=True, citations=True).where(report.has_text())
+    return rows.select(
+        "batch_id", "ord", F.col("text").alias("page_content"), F.array_join(F.transform("notes", lambda n: n["key"]), ",").alias("note_keys")
+    )
+
+
 @query
 def batch_documents(spark, sf):
     """One JSON array per accepted batch (its digest, to keep the comparison small)."""
