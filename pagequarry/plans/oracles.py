@@ -437,6 +437,15 @@ ORACLES["q_extensions"] = f"""with {K} select url, attempt, coalesce(case mt whe
 ORACLES["q_allocated_names"] = f"""with p as (select page_id as ord, {host('url')} || '.md' as name, row_number() over (partition by {host('url')} order by page_id) as n from pages)
   select ord, name, case when n = 1 then name else left(name, length(name) - 3) || '-' || n || '.md' end as allocated from p"""
 
+ORACLES["q_contested_names"] = f"""with recursive p as (select page_id % 7 as batch_id, page_id as ord, {D.CONTESTED_SQL} as name,
+   row_number() over (partition by page_id % 7 order by page_id) as i from pages),
+ st as (select distinct batch_id, cast(0 as bigint) as i, cast([] as varchar[]) as used, cast(null as varchar) as allocated from p
+  union all select batch_id, i, list_append(used, a), a from (
+    select st.batch_id, p.i, used, case when not list_contains(used, name) then name else left(name, length(name) - 3) || '-' ||
+      list_min(list_filter(range(2, p.i + 3), lambda k: not list_contains(used, left(name, length(name) - 3) || '-' || k || '.md'))) || '.md' end as a
+    from st join p on p.batch_id = st.batch_id and p.i = st.i + 1))
+ select p.batch_id, ord, name, allocated from p join st using (batch_id, i)"""
+
 
 def manifest(o: str) -> str:
     """CTEs ending in ``mf``. No two URLs of a batch share a name with numbers in the data."""
