@@ -163,7 +163,7 @@ def verdict(captures: DataFrame) -> DataFrame:
             when rule = 'seen' then if(seen_kind = 'blocked', null, seen_detail)
             when rule = 'load_bad' and dl_error_kind is not null then dl_error_text
             when rule = 'load_bad' then if(dl_kind = 'blocked', null, dl_detail)
-            when rule = 'load_other' then 'browser returned no HTML' end as detail""",
+            when rule = 'load_other' then 'the response has no HTML' end as detail""",
         """case when rule = 'load_bad' then dl_status
             when rule in ('seen', 'http', 'classified', 'load_non_html', 'load_other') then status
             end as judged_status""",
@@ -265,9 +265,9 @@ def assemble(joined: DataFrame, extensions: DataFrame) -> DataFrame:
     typed = files.selectExpr("*", f"{H.media_type('file_type')} as media_type")
     with_ext = typed.join(F.broadcast(extensions), "media_type", "left")
     is_file = "verdict in ('probe', 'kept', 'download')"
-    missing = """case when format = 'mhtml' and mhtml is null then 'the browser did not produce MHTML'
-        when format = 'pdf' and pdf is null then 'the browser did not produce a PDF'
-        when format = 'screenshot' and screenshot is null then 'the browser did not produce a screenshot' end"""
+    missing = """case when format = 'mhtml' and mhtml is null then 'no MHTML was captured'
+        when format = 'pdf' and pdf is null then 'no PDF was captured'
+        when format = 'screenshot' and screenshot is null then 'no screenshot was captured' end"""
     shaped = with_ext.selectExpr(
         "*",
         f"if(verdict = 'page', {missing}, null) as missing",

@@ -168,7 +168,7 @@ def error_lines(outcomes: DataFrame, catalog: DataFrame, reasons: DataFrame, lan
     failed = messages.with_error_text(outcomes.where("not ok"), catalog, reasons, lang)
     return failed.select(
         "batch_id", "ord", "url",
-        F.concat(F.lit(ERROR_PREFIX), F.coalesce("error_text", F.concat(F.lit("fetch failed: "), "url"))).alias("line"),
+        F.concat(F.lit(ERROR_PREFIX), F.coalesce("error_text", F.concat(F.lit("not fetched: "), "url"))).alias("line"),
     )
 
 
@@ -224,7 +224,7 @@ def download_lines(manifest_rows: DataFrame) -> DataFrame:
         F.filter(
             F.array(saved, F.concat(F.lit(FILE_PREFIX), F.col("file_url"))), lambda x: x.isNotNull()
         ),
-    ).otherwise(F.array(F.concat(F.lit(ERROR_PREFIX), with_url(F.coalesce("error", F.lit("fetch failed")), F.col("url")))))
+    ).otherwise(F.array(F.concat(F.lit(ERROR_PREFIX), with_url(F.coalesce("error", F.lit("not fetched")), F.col("url")))))
     return manifest_rows.select("batch_id", "ord", F.posexplode(lines).alias("n", "line"))
 
 
@@ -242,7 +242,7 @@ def log_lines(outcomes: DataFrame) -> DataFrame:
     fetched = F.concat(
         F.lit("fetched: "), "url", F.lit(" (HTTP "), status, F.lit(", "), "content_kind", F.lit(", "), size, F.lit(")")
     )
-    failed = F.concat(F.lit(ERROR_PREFIX), with_url(F.coalesce("error.kind", F.lit("fetch failed")), F.col("url")))
+    failed = F.concat(F.lit(ERROR_PREFIX), with_url(F.coalesce("error.kind", F.lit("not fetched")), F.col("url")))
     return outcomes.select(
         "batch_id", "ord",
         F.when(F.col("ok"), "INFO").otherwise("WARNING").alias("level"),
@@ -293,7 +293,7 @@ def page_blocks(
 
     image = F.array(block("image", F.replace(F.base64(F.coalesce("data", F.lit(b""))), F.lit("\r\n"), F.lit("")), mime))
     made = (
-        F.when(~F.col("ok"), text_with_head(F.concat(F.lit(ERROR_PREFIX), F.coalesce("error_text", F.concat(F.lit("fetch failed: "), "url")))))
+        F.when(~F.col("ok"), text_with_head(F.concat(F.lit(ERROR_PREFIX), F.coalesce("error_text", F.concat(F.lit("not fetched: "), "url")))))
         .when(F.col("text").isNotNull(), text_with_head(F.col("text")))
         .when(
             mime.isNotNull(),

@@ -81,8 +81,8 @@ def test_files_from_every_source(spark):
     assert [n.key for n in out["download"].notes] == ["not_a_page_unknown"]
     assert {u: out[u].error.kind for u in ("lost", "blank", "tls", "odd", "proxied")} == {
         "lost": "non_html", "blank": "other", "tls": "tls", "odd": "other", "proxied": "other"}
-    assert out["blank"].error.detail == "browser returned no HTML" and out["proxied"].status_code == 503
-    assert out["textual"].error.detail == "the browser did not produce a screenshot"
+    assert out["blank"].error.detail == "the response has no HTML" and out["proxied"].status_code == 503
+    assert out["textual"].error.detail == "no screenshot was captured"
 
 
 @pytest.mark.parametrize("fmt,field,value,want", [
