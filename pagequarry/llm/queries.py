@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import simhash
+from pagequarry.llm import mixing, secrets, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,21 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.digest(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = F.sha2(secrets.listed("spans", base=True).cast("binary"), 256)
+    return secrets.scan(documents(spark, sf_dir)).select(
+        "doc_id", *[secrets.count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
+        base.alias("base_sha256"), secrets.listed("spans").alias("spans"),
+    )
+
+
+def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.planned(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scan": secret_scan,
     "op7_simhash_near_dedup": simhash_near_dedup,
+    "op8_mix_sources": mix_sources,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_mix_sources": mixing.ORACLE}
