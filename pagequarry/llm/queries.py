@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import mixing, secrets, simhash
+from pagequarry.llm import bpe, langid, mixing, secrets, simhash
+
+
+BPE_FILE = "word_bpe_49k.json"
+
+
+def sha256(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,13 +26,36 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
+def bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BPE_FILE)
+    ids = bpe.encode(documents(spark, sf_dir), path)
+    digests = ids.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.array_join("ids", " ")).alias("ids_sha256"))
+    decoded = bpe.decode(digests, path, keep_ids=False)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", sha256(F.col("decoded")).alias("decoded_sha256"))
+
+
+def held_out(doc_id: str | Column = "doc_id") -> Column:
+    """Whether a document is kept from training; one without an id is not (nor does it teach)."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def language_model(spark: SparkSession, docs: DataFrame) -> langid.Model:
+    return langid.train(docs.where(F.col("doc_id").isNotNull() & ~held_out()).select("lang", "text"))
+
+
+def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, language_model(spark, docs))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(documents(spark, sf_dir))
     return found.select("doc_id", simhash.digest(F.col("bits")).alias("fingerprint"), "component_id")
 
 
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = F.sha2(secrets.listed("spans", base=True).cast("binary"), 256)
+    base = sha256(secrets.listed("spans", base=True))
     return secrets.scan(documents(spark, sf_dir)).select(
         "doc_id", *[secrets.count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
         base.alias("base_sha256"), secrets.listed("spans").alias("spans"),
@@ -37,6 +68,8 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": secret_scan,
+    "op3_bpe_encoding": bpe_encoding,
+    "op4_language_id": language_id,
     "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_mix_sources": mix_sources,
 }
