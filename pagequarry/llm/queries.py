@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import bpe, langid, mixing, secrets, simhash
+from pagequarry.llm import ann, bpe, langid, mixing, secretscan, simhash, veclinks
 
 
 BPE_FILE = "word_bpe_49k.json"
@@ -54,11 +54,19 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.digest(F.col("bits")).alias("fingerprint"), "component_id")
 
 
+def vector_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veclinks.near_vectors(embeddings(spark, sf_dir))
+
+
+def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(embeddings(spark, sf_dir), "key % 50 = 0")
+
+
 def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = sha256(secrets.listed("spans", base=True))
-    return secrets.scan(documents(spark, sf_dir)).select(
-        "doc_id", *[secrets.count(kind).alias(f"n_{kind}") for kind in secrets.KINDS],
-        base.alias("base_sha256"), secrets.listed("spans").alias("spans"),
+    base = sha256(secretscan.listed("spans", base=True))
+    return secretscan.scan(documents(spark, sf_dir)).select(
+        "doc_id", *[secretscan.count(kind).alias(f"n_{kind}") for kind in secretscan.KINDS],
+        base.alias("base_sha256"), secretscan.listed("spans").alias("spans"),
     )
 
 
@@ -67,9 +75,11 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vector_near_dedup": vector_near_dedup,
     "op2_secret_scan": secret_scan,
     "op3_bpe_encoding": bpe_encoding,
     "op4_language_id": language_id,
+    "op6_nearest_neighbours": nearest_neighbours,
     "op7_simhash_near_dedup": simhash_near_dedup,
     "op8_mix_sources": mix_sources,
 }
