@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import ann, bpe, langid, mixing, secretscan, simhash, veclinks
+from pagequarry.llm import ann, bpe, langid, mixing, repeats, secretscan, simhash, veclinks
 
 
 BPE_FILE = "word_bpe_49k.json"
@@ -74,6 +74,14 @@ def mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.planned(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["stop"] - s["start"])
+    return repeats.cut_repeats(documents(spark, sf_dir)).select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"),
+        F.coalesce(F.sha2("kept", 256), "whole_sha256").alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_near_dedup": vector_near_dedup,
     "op2_secret_scan": secret_scan,
@@ -81,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": language_id,
     "op6_nearest_neighbours": nearest_neighbours,
     "op7_simhash_near_dedup": simhash_near_dedup,
+    "op10_substring_dedup": substring_dedup,
     "op8_mix_sources": mix_sources,
 }
 ORACLES: dict[str, str] = {"op8_mix_sources": mixing.ORACLE}
