@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagequarry.llm.fields import with_fields
+
 CHUNK = 1 << 24  # characters whose words are learnt together
 PIECE = 1 << 20  # characters of a long text split at once
 TOKENS = 1 << 19  # words put together, or tokens decoded, at once
@@ -297,7 +299,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             yield from done()
 
     rows = docs.select(F.col(key), F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, `{ids}` array<int>")
+    return rows.mapInArrow(run, with_fields(rows.schema[key], **{ids: "array<int>"}))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -325,8 +327,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in kept), texts], names=[*kept, text])
                 start += len(part)
 
-    schema = [f"`{n}` {tokens.schema[n].dataType.simpleString()}" for n in kept]
-    return tokens.mapInArrow(run, ", ".join([*schema, f"`{text}` string"]))
+    return tokens.mapInArrow(run, with_fields(*(tokens.schema[n] for n in kept), **{text: "string"}))
 
 
 def joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:

@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagequarry.llm.fields import with_fields
+
 UNKNOWN = "und"
 SAMPLE = 4000  # texts per language
 GRAMS = 30_000  # trigrams per language
@@ -281,5 +283,4 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, key: str = "
                     labeller.forget()
 
     rows = docs.select(F.col(key), F.col(text).cast("string"))
-    kind = docs.schema[key].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{key}` {kind}, lang_pred string, score double, spans {SPANS}")
+    return rows.mapInArrow(run, with_fields(rows.schema[key], lang_pred="string", score="double", spans=SPANS))

@@ -26,14 +26,18 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
-def bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BPE_FILE)
-    ids = bpe.encode(documents(spark, sf_dir), path)
+def token_digests(ids: DataFrame, path: str) -> DataFrame:
+    """Of ``(doc_id, ids)``: the number of tokens, the digest of the ids, and that of the decoded text."""
     digests = ids.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.array_join("ids", " ")).alias("ids_sha256"))
     decoded = bpe.decode(digests, path, keep_ids=False)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", sha256(F.col("decoded")).alias("decoded_sha256"))
 
 
+def bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path(BPE_FILE)
+    return token_digests(bpe.encode(documents(spark, sf_dir), path), path)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """Whether a document is kept from training; one without an id is not (nor does it teach)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.llm.components import components
+from pagequarry.llm.fields import with_fields
 from pagequarry.llm.forest import Forest
 from pagequarry.session import written
 
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, words: int = 4, seed: int = 42, key: str = "do
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=[key, "bits"])
 
     rows = docs.select(F.col(key), F.col(text).cast("string"))
-    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, bits bigint")
+    return rows.mapInArrow(run, with_fields(rows.schema[key], bits="bigint"))
 
 
 def _stripes(bits: DataFrame) -> tuple[DataFrame, list[int]]:
