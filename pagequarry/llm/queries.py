@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import ann, bpe, langid, mixing, repeats, secretscan, simhash, veclinks
+from pagequarry.llm import ann, bpe, langid, mixing, packing, repeats, secretscan, simhash, veclinks
 
 
 BPE_FILE = "word_bpe_49k.json"
+RANK_FILE = "byte_bpe_50k.tiktoken"
 
 
 def sha256(text: Column) -> Column:
@@ -86,6 +87,14 @@ def substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = packing.packed(documents(spark, sf_dir), public_tokenizers.path(RANK_FILE), public_tokenizers.PATTERN)
+    return rows.select(
+        "row_id", F.col("keys").alias("doc_ids"), "offsets", "cumulative", "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("positions", 256).alias("positions_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_near_dedup": vector_near_dedup,
     "op2_secret_scan": secret_scan,
@@ -93,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_language_id": language_id,
     "op6_nearest_neighbours": nearest_neighbours,
     "op7_simhash_near_dedup": simhash_near_dedup,
+    "op9_packed_tokens": packed_tokens,
     "op10_substring_dedup": substring_dedup,
     "op8_mix_sources": mix_sources,
 }
