@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import ann, bpe, langid, mixing, packing, repeats, secretscan, simhash, veclinks
+from pagequarry.llm import ann, bpe, langid, mixing, packing, passages, repeats, secretscan, simhash, veclinks
 
 
 BPE_FILE = "word_bpe_49k.json"
@@ -95,11 +95,18 @@ def packed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.near_passages(documents(spark, sf_dir))
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["stop"])), ",")
+    return found.select("doc_id", "n_words", F.size("spans").alias("n_spans"), listed.alias("spans"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_near_dedup": vector_near_dedup,
     "op2_secret_scan": secret_scan,
     "op3_bpe_encoding": bpe_encoding,
     "op4_language_id": language_id,
+    "op5_near_passages": near_passages,
     "op6_nearest_neighbours": nearest_neighbours,
     "op7_simhash_near_dedup": simhash_near_dedup,
     "op9_packed_tokens": packed_tokens,
