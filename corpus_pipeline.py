@@ -50,8 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BPE_FILE)
-    return token_digests(bpe.encode(docs, path), path)
+    return token_digests(bpe.encode(docs, public_tokenizers.path(BPE_FILE), decoded="decoded"))
 
 
 STAGES = [

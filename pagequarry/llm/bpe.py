@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from pagequarry.llm.fields import with_fields
 
-CHUNK = 1 << 24  # characters whose words are learnt together
+CHUNK = 1 << 22  # characters whose words are learnt together
 PIECE = 1 << 20  # characters of a long text split at once
-TOKENS = 1 << 19  # words put together, or tokens decoded, at once
-KNOWN_WORDS = 1 << 19  # words a task remembers before it starts anew
+TOKENS = 1 << 17  # words put together, or tokens decoded, at once
+KNOWN_WORDS = 1 << 18  # words a task remembers before it starts anew
 
 # Fixed values. The patterns are read with the letters and numbers of Unicode 16, the case of
 # Unicode 17; the libraries at hand have other versions. These code points differ.
@@ -250,16 +250,23 @@ def pieces(text: str, limit: int = PIECE) -> Iterator[str]:
     yield text[start:]
 
 
-def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ids: str = "ids", decoded: str | None = None
+) -> DataFrame:
     """``(key, ids array<int>)``: one row per row of ``docs``.
 
+    ``decoded`` names a further column with what :func:`decode` makes of the ids, in the same
+    task.
+
     A null or empty text has no ids; repeated rows come out repeated; an empty table gives an
     empty table; other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vars(load(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(**shared.value))
+        vocabulary = Vocabulary(**shared.value)
+        encoder = Encoder(vocabulary)
+        table = pa.array(names_of(vocabulary), pa.string())
         keys: list[pa.Array] = []
         numbers: list[np.ndarray] = []  # of each waiting text
         size = 0
@@ -276,7 +283,10 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                 upto = np.concatenate([[0], np.cumsum(counts)])
                 offsets = upto[np.concatenate([[0], np.cumsum([len(x) for x in numbers[start:end]])])]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([all_keys.slice(start, end - start), lists], names=[key, ids])
+                columns = {key: all_keys.slice(start, end - start), ids: lists}
+                if decoded:
+                    columns[decoded] = joined(lists, table)
+                yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
                 start = end
             keys.clear()
             numbers.clear()
@@ -299,7 +309,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
             yield from done()
 
     rows = docs.select(F.col(key), F.col(text).cast("string"))
-    return rows.mapInArrow(run, with_fields(rows.schema[key], **{ids: "array<int>"}))
+    return rows.mapInArrow(run, with_fields(rows.schema[key], **{ids: "array<int>"}, **({decoded: "string"} if decoded else {})))
 
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded", keep_ids: bool = True) -> DataFrame:
@@ -308,11 +318,7 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     Null ids give null, no ids an empty text; an id that the vocabulary lacks adds nothing. The
     other columns stay, and the ids unless they are not to be kept.
     """
-    vocabulary = load(path)
-    names: list[str | None] = [None] * (1 + max([*vocabulary.ids.values(), *vocabulary.special.values()]))
-    for name, number in (vocabulary.ids | vocabulary.special).items():
-        names[number] = name
-    shared = tokens.sparkSession.sparkContext.broadcast(names)
+    shared = tokens.sparkSession.sparkContext.broadcast(names_of(load(path)))
     kept = [n for n in tokens.columns if n != text and (keep_ids or n != ids)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,6 +336,14 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", text: str = "decoded"
     return tokens.mapInArrow(run, with_fields(*(tokens.schema[n] for n in kept), **{text: "string"}))
 
 
+def names_of(vocabulary: Vocabulary) -> list[str | None]:
+    """The symbol of each id; None where an id is not used."""
+    names: list[str | None] = [None] * (1 + max([*vocabulary.ids.values(), *vocabulary.special.values()]))
+    for name, number in (vocabulary.ids | vocabulary.special).items():
+        names[number] = name
+    return names
+
+
 def joined(lists: pa.ListArray, table: pa.Array) -> pa.Array:
     """The strings that the ids in each list stand for, joined by spaces."""
     flat = lists.flatten()

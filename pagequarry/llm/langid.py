@@ -31,8 +31,8 @@ SAMPLE = 4000  # texts per language
 GRAMS = 30_000  # trigrams per language
 SWITCH = 12.0  # log-likelihood that a switch of language costs
 WORST = 8.0  # at most this much does one word speak against a language
-CHUNK = 1 << 22  # characters labelled side by side
-KNOWN_WORDS = 1 << 19  # words a task remembers before it starts anew
+CHUNK = 1 << 21  # characters labelled side by side
+KNOWN_WORDS = 1 << 18  # words a task remembers before it starts anew
 WORDS = regex.compile(r"[\p{L}\p{M}]+")
 
 # Where scripts begin; a script goes on to the next entry.

@@ -27,16 +27,16 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
-def token_digests(ids: DataFrame, path: str) -> DataFrame:
-    """Of ``(doc_id, ids)``: the number of tokens, the digest of the ids, and that of the decoded text."""
-    digests = ids.select("doc_id", "ids", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.array_join("ids", " ")).alias("ids_sha256"))
-    decoded = bpe.decode(digests, path, keep_ids=False)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", sha256(F.col("decoded")).alias("decoded_sha256"))
+def token_digests(ids: DataFrame) -> DataFrame:
+    """The number of tokens, the digest of the ids, and that of the decoded text."""
+    return ids.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), sha256(F.array_join("ids", " ")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+    )
 
 
 def bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = public_tokenizers.path(BPE_FILE)
-    return token_digests(bpe.encode(documents(spark, sf_dir), path), path)
+    return token_digests(bpe.encode(documents(spark, sf_dir), public_tokenizers.path(BPE_FILE), decoded="decoded"))
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

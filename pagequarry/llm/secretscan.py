@@ -215,17 +215,14 @@ def redact(docs: DataFrame, mark: str = "<secret>", rate: float = 0.01, text: st
     The columns stay. Only the thresholds of the false-discovery rule go between rows, so whole
     texts are read twice and never shuffled.
     """
-    source = docs.select(F.col(text).cast("string").alias("_text"))
-    limits = thresholds(written(candidates(source).select("_candidates"), "secrets"), rate)
-    rows = candidates(docs.withColumn("_text", F.col(text).cast("string")))
+    rows = docs.select(F.struct(*docs.columns).alias("_doc"), F.col(text).cast("string").alias("_text"))
+    limits = thresholds(written(candidates(rows.select("_text")).select("_candidates"), "secrets"), rate)
     # The end of the text before a span, so that overlapping spans are cut once.
     ends = (
         "aggregate(_spans, struct(0L as at, cast(array() as array<string>) as parts), (a, s) -> if(s.end <= a.at, a, struct("
         "s.end as at, concat(a.parts, array(substring(_text, cast(a.at + 1 as int), cast(greatest(s.start - a.at, 0L) as int)),"
         f" if(s.start < a.at, '', '{mark}'))) as parts)), a -> concat_ws('', a.parts, substring(_text, cast(a.at + 1 as int))))"
     )
-    return (
-        rows.withColumn("_spans", _all_spans(limits))
-        .withColumn(text, F.when(F.size("_spans") > 0, F.expr(ends)).otherwise(F.col(text)))
-        .select(*docs.columns)
-    )
+    found = candidates(rows).withColumn("_spans", _all_spans(limits))
+    cut = F.when(F.size("_spans") > 0, F.expr(ends)).otherwise(F.col("_doc")[text])
+    return found.select(*(cut.alias(c) if c == text else F.col("_doc")[c].alias(c) for c in docs.columns))
