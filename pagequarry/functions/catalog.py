@@ -1,12 +1,14 @@
 """Message templates by key and language.
 
-A job can pass its own frame of the same shape; languages without a template fall back to
-English.
+A job can bring its own templates; keys without one fall back to English. Templates are a few
+dozen short texts: they travel inside the plan, and no join is needed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import SparkSession
 
 ENGLISH = {
     "http_status": "the server answered {status_code} ({reason}): {url}",
@@ -40,6 +42,9 @@ ENGLISH = {
     "summary_fetched": "{succeeded} fetched, {failed} not",
     "summary_saved": "{succeeded} saved, {failed} not",
     "no_text": "nothing to read: {url}",
+    "not_fetched": "not fetched: {url}",
+    "none_saved": "none of {failed} could be saved",
+    "bad_port": "the port of the address is left out of the file name: {url}",
     "invalid_url": "not a web address: {url}",
 }
 
@@ -63,23 +68,24 @@ JAPANESE = {
     "duplicate_url": "同じアドレスが前にあります: {url}",
     "summary_fetched": "取得 {succeeded} 件、失敗 {failed} 件",
     "summary_saved": "保存 {succeeded} 件、失敗 {failed} 件",
+    "long_timeout": "タイムアウト {timeout_s} 秒は既定値 {default} 秒の {factor} 倍を超えています",
+    "write_failed": "{path} に書き込めません: {reason}",
+    "not_fetched": "取得していません: {url}",
+    "none_saved": "{failed} 件のどれも保存できません",
 }
 
 LANGUAGES = ("en", "ja")
 LOCALE_VARIABLES = ("LANGUAGE", "LC_ALL", "LC_MESSAGES", "LANG")
 
 
-def rows() -> list[tuple[str, str, str]]:
-    return [("en", k, t) for k, t in ENGLISH.items()] + [("ja", k, t) for k, t in JAPANESE.items()]
-
-
-def frame(spark: SparkSession) -> DataFrame:
-    """Dimension ``(lang, key, template)``: some dozens of rows, safe to broadcast."""
-    return spark.createDataFrame(rows(), "lang string, key string, template string")
+def texts(lang: str = "en", own: Mapping[str, str] | None = None) -> dict[str, str]:
+    """Templates by key: English, then those of the language, then the job's ``own``."""
+    return ENGLISH | (JAPANESE if lang == "ja" else {}) | dict(own or {})
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """A catalog from CSV files with the columns lang, key and template."""
-    return spark.read.schema("lang string, key string, template string").option(
-        "header", "true"
-    ).csv(path)
+def read(spark: SparkSession, path: str, lang: str) -> dict[str, str]:
+    """Own templates of a language from CSV files with the columns lang, key and template."""
+    table = spark.read.schema("lang string, key string, template string").option("header", "true").csv(path)
+    # A hand-written catalog; what has no place in the built-in one is not a message.
+    known = table.where(table.lang.eqNullSafe(lang) & table.key.isin(*ENGLISH)).dropDuplicates(["key"])
+    return {row["key"]: row["template"] for row in known.collect()}

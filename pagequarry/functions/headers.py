@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pagequarry.functions.text import extract, listed, lit, null_if_empty, strip
 
-# Media types that count as a web page, and the largest body that is kept.
+# Media types that count as a web page, and the longest body a browser keeps.
 HTML_TYPES = ("text/html", "application/xhtml+xml")
 KEPT_BODY_BYTES = 64 * 1024 * 1024
 
@@ -53,16 +53,17 @@ def is_success(status: str) -> str:
     return f"coalesce({status} between 200 and 299, false)"
 
 
-def keeps_body(status: str, headers: str) -> str:
-    """True when the body of a final response is kept: a file, 2xx, and not too long.
+def keeps_body(status: str, headers: str, limit: int | None = None) -> str:
+    """True when the body of a final response is one to keep: a file, 2xx.
 
-    A missing length is fine; a length that cannot be read is not.
+    ``limit`` is for whoever still has to receive the body: the length header must be missing
+    or name at most so many bytes. A body that is stored already needs no limit.
     """
+    kept = f"{is_not_html(header(headers, 'content-type'))} and {is_success(status)}"
+    if limit is None:
+        return f"({kept})"
     length = header(headers, "content-length")
-    fits = (
-        f"({length} is null or coalesce(try_cast({strip(length)} as bigint) <= {KEPT_BODY_BYTES}, false))"
-    )
-    return f"({is_not_html(header(headers, 'content-type'))} and {is_success(status)} and {fits})"
+    return f"({kept} and ({length} is null or coalesce(try_cast({strip(length)} as bigint) <= {limit}, false)))"
 
 
 def probe_ok(status: str, error_kind: str, skipped: str = "false") -> str:

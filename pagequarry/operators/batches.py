@@ -28,19 +28,13 @@ def split_valid(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
 def first_seen(valid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """First occurrence of each URL of a batch, and the rows that repeat one.
 
-    Firsts come from a minimum with partial aggregation, so a URL repeated very often is
-    reduced before the shuffle. Repeats are found by row number, which no key dominates.
+    The first place of a URL is a minimum of a number: a hash aggregate with partial
+    aggregation, so a URL repeated very often is reduced before the shuffle. Both results are
+    then found by row number, which no key dominates.
     """
-    rest = [c for c in valid.columns if c not in ("batch_id", "url", "ord")]
-    first = (
-        valid.groupBy("batch_id", "url")
-        .agg(F.min(F.struct("ord", *rest)).alias("_first"))
-        .select("batch_id", "url", "_first.*")
-        .select(*valid.columns)
-    )
-    seen = valid.groupBy("batch_id", "url").agg(F.min("ord").alias("ord")).select("batch_id", "ord")
-    repeated = valid.join(seen, ["batch_id", "ord"], "left_anti")
-    return first, repeated
+    places = valid.groupBy("batch_id", "url").agg(F.min("ord").alias("ord")).select("batch_id", "ord")
+    at = ["batch_id", "ord"]
+    return valid.join(places, at, "left_semi"), valid.join(places, at, "left_anti")
 
 
 def repeat_counts(valid: DataFrame) -> DataFrame:
@@ -95,12 +89,8 @@ def accepted(rows: DataFrame, gated: DataFrame) -> DataFrame:
     Batch sizes are known from the gate, so refused giants are filtered by the broadcast of
     their few keys before anything is shuffled; the rest is an ordinary semi join.
     """
-    refused_large = (
-        gated.where(F.col("reason").isNotNull() & (F.col("n_urls") > skew.HOT_ROWS))
-        .orderBy(F.desc("n_urls"))
-        .limit(skew.HOT_KEYS)
-        .select("batch_id")
-    )
+    refused = gated.where(F.col("reason").isNotNull())
+    refused_large = skew.hot_keys(refused, ["batch_id"], counts="n_urls").select("batch_id")
     passed = gated.where(F.col("reason").isNull())
     small = rows.join(F.broadcast(refused_large), "batch_id", "left_anti")
     hot = skew.hot_keys(passed, ["batch_id"], counts="n_urls")
@@ -111,10 +101,13 @@ def accepted(rows: DataFrame, gated: DataFrame) -> DataFrame:
     )
 
 
-def invalid_lists(requests: DataFrame) -> DataFrame:
-    """Invalid URLs per batch, in order, as given, joined by a comma and a blank."""
+def invalid_lists(requests: DataFrame, piece: int = skew.LIST_PIECE) -> DataFrame:
+    """Invalid URLs per batch, in order, as given, joined by a comma and a blank.
+
+    A batch with more than ``piece`` of them has several rows, numbered by ``piece``.
+    """
     _, rejected = split_valid(requests)
-    pieces = skew.listed(rejected, ["batch_id"], "ord", "url_raw", "urls")
+    pieces = skew.listed(rejected, ["batch_id"], "ord", "url_raw", "urls", piece)
     return pieces.select(
         "batch_id", "piece", F.size("urls").cast("bigint").alias("n"),
         F.array_join("urls", ", ").alias("invalid_urls"),
@@ -124,7 +117,10 @@ def invalid_lists(requests: DataFrame) -> DataFrame:
 def with_options(
     requests: DataFrame, default_timeout_s: float = rules.DEFAULT_TIMEOUT_S
 ) -> DataFrame:
-    """Resolve options per row: ``timeout``, ``timeout_reason`` and ``long_timeout``."""
+    """Resolve options per row: ``timeout``, ``timeout_reason`` and ``long_timeout``.
+
+    A row with a ``timeout_reason`` cannot be run: ``judge.outcomes`` gives it that error.
+    """
     resolved = F.coalesce(F.col("timeout_s"), F.lit(default_timeout_s))
     return requests.select(
         "*",

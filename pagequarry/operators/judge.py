@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,6 +79,7 @@ def effective(captures: DataFrame) -> DataFrame:
     return chosen.selectExpr(
         *[x for x in chosen.columns if x not in ("fin", "received")],
         f"{H.header('hdr', 'content-type')} as ctype",
+        # The body is here already, whatever its length header says.
         f"if({H.keeps_body('status', 'hdr')}, received, null) as kept",
     )
 
@@ -117,23 +118,30 @@ def _rule() -> str:
         else 'page' end"""
 
 
-def verdict(captures: DataFrame) -> DataFrame:
+def verdict(
+    captures: DataFrame, signs: rules.Signs = rules.SIGNS, error_rules: Iterable[tuple[int, str, str]] = (),
+    scan: int = rules.SCAN_LENGTH,
+) -> DataFrame:
     """Add ``verdict``, ``kind``, ``refused``, ``detail``, ``judged_status`` and ``retriable``.
 
+    A job can bring its own ``signs`` of interference and its own ``error_rules``
+    ``(priority, fragment, kind)``; ``scan`` is how far into a page signs are looked for.
+
     Verdicts: ``page``, ``probe`` / ``kept`` / ``download`` (a file, from the named source)
     or ``failed``. Projections over the scan: nothing moves between tasks. A proxy failure of
     an attempt that used no proxy, and a failure to start the browser, have no proxy to name
     and become ``other``.
     """
     df = effective(captures)
-    dl_head = lossy_text(f"substring(dl_body, 1, {rules.SCAN_LENGTH})")
+    dl_head = lossy_text(f"substring(dl_body, 1, {scan})")
+    error_rules = list(error_rules)
     dl_html = f"if({H.may_be_html('dl_type')} and dl_body is not null, {dl_head}, null)"
-    seen = J.add_interference(df, "hdr", "html", "status", "seen")
-    seen = J.add_interference(seen, "dl_headers", dl_html, "dl_status", "dl")
+    seen = J.add_interference(df, "hdr", "html", "status", "seen", signs, scan)
+    seen = J.add_interference(seen, "dl_headers", dl_html, "dl_status", "dl", signs, scan)
     facts = seen.selectExpr(
         "*",
         f"{J.interference_kind('seen_sign', 'proxy', 'status')} as seen_kind",
-        f"if(error_text is null, 'other', {J.error_kind('error_text')}) as text_kind",
+        f"if(error_text is null, 'other', {J.error_kind('error_text', error_rules)}) as text_kind",
         f"coalesce(if(dl_error_kind in {listed(rules.DOWNLOAD_PATH_KINDS)}, dl_error_kind, null), "
         f"{J.interference_kind('dl_sign', 'proxy', 'dl_status')}) as dl_kind",
         f"({H.probe_ok('dl_status', 'dl_error_kind')} and dl_body is not null) as dl_ok",
@@ -146,7 +154,7 @@ def verdict(captures: DataFrame) -> DataFrame:
                 when dl_ok then 'download' else first_rule end as rule""",
     )
     kind = f"""case when rule = 'refused' then 'proxy'
-        when rule = 'start' then {J.error_kind('start_error')}
+        when rule = 'start' then {J.error_kind('start_error', error_rules)}
         when rule in ('raised', 'classified') then text_kind
         when rule = 'seen' then seen_kind
         when rule = 'http' then 'http_status'
@@ -223,15 +231,18 @@ def outcomes(
     markdown: Callable[[DataFrame], DataFrame] | None = None,
     pdf_pages: DataFrame | None = None,
     fallback: bool = True,
+    signs: rules.Signs = rules.SIGNS,
+    error_rules: Iterable[tuple[int, str, str]] = (),
 ) -> DataFrame:
     """The outcome of every request row, in the schema ``OUTCOMES``.
 
     ``requests`` holds first-seen rows ``(batch_id, ord, url, format, timeout)``. Captures are
     judged where they are read, spread over the parts of often-requested URLs, reduced to the
-    deciding attempt and joined, all on one partitioning by URL. ``markdown`` turns rows
-    ``(url, _part, html)`` into ``(url, _part, markdown, md_notes)``; without it Markdown
-    outcomes have no text. ``pdf_pages`` holds converted documents ``(url, pdf_text,
-    pdf_error)``.
+    deciding attempt and joined, all on one partitioning by URL: a page is read once and moves
+    once. ``markdown`` adds ``markdown`` and ``md_notes`` to the deciding attempts where they
+    are; without it Markdown outcomes have no text. ``pdf_pages`` holds converted documents
+    ``(url, pdf_text, pdf_error)``; of several for one URL any one counts. A request whose
+    ``timeout_reason`` says that it cannot be run fails with it, whatever was captured.
     """
     keys = ("url", "_part")
     hot = skew.hot_keys(requests, ["url"])
@@ -240,16 +251,18 @@ def outcomes(
     if final is not None:
         fins = skew.spread(final_by_url(captures, final), hot, ["url"])
         seen = with_final(seen, fins, keys)
-    judged = verdict(seen)
+    judged = verdict(seen, signs, error_rules)
     chosen = with_fallback(judged, fallback, keys).drop("timeout_s")
-    joined = wanted.join(chosen, list(keys), "left")
     if markdown is not None:
-        pages = chosen.where("verdict = 'page'").selectExpr(*keys, "html", "coalesce(nullif(final_url, ''), url) as base")
-        joined = joined.join(markdown(pages), list(keys), "left")
+        chosen = markdown(chosen)
     else:
-        joined = joined.withColumn("markdown", F.lit(None).cast("string")).withColumn("md_notes", no_notes())
+        chosen = chosen.withColumn("markdown", F.lit(None).cast("string")).withColumn("md_notes", no_notes())
+    if "timeout_reason" not in wanted.columns:
+        wanted = wanted.withColumn("timeout_reason", F.lit(None).cast("string"))
+    joined = wanted.join(chosen, list(keys), "left")
     if pdf_pages is not None:
-        joined = skew.lookup(joined.drop("_part"), pdf_pages, ["url"], ["batch_id", "ord"])
+        once = pdf_pages.select("url", "pdf_text", "pdf_error").dropDuplicates(["url"])
+        joined = skew.lookup(joined.drop("_part"), once, ["url"], ["batch_id", "ord"])
     else:
         joined = joined.withColumn("pdf_text", F.lit(None).cast("string")).withColumn("pdf_error", F.lit(None).cast("string"))
     return assemble(joined, extensions)
@@ -257,17 +270,28 @@ def outcomes(
 
 def assemble(joined: DataFrame, extensions: DataFrame) -> DataFrame:
     """Project judged requests to outcomes, by verdict and requested format."""
+    unusable = F.col("timeout_reason").isNotNull()
+    joined = (
+        joined.withColumn("_captured", F.col("verdict").isNotNull())
+        .withColumn("verdict", F.when(unusable, "unusable").otherwise(F.col("verdict")))
+        .withColumn("proxy_error", F.when(~unusable, F.col("proxy_error")))
+        .withColumn("retry_missing", F.col("retry_missing") & ~unusable)
+        # One picture that cannot be read is one failure, not the end of the job.
+        .withColumn("shot", F.expr("try_to_binary(screenshot, 'base64')"))
+    )
     sources = [
         f"case verdict when 'probe' then {p} when 'kept' then {k} when 'download' then {d} end as {name}"
         for name, (p, k, d) in _FILE.items()
     ]
     files = joined.selectExpr("*", *sources, f"{J.format_extension('format')} as format_ext")
     typed = files.selectExpr("*", f"{H.media_type('file_type')} as media_type")
-    with_ext = typed.join(F.broadcast(extensions), "media_type", "left")
+    # A table of the caller; Spark broadcasts it if its size allows.
+    with_ext = typed.join(extensions, "media_type", "left")
     is_file = "verdict in ('probe', 'kept', 'download')"
     missing = """case when format = 'mhtml' and mhtml is null then 'no MHTML was captured'
         when format = 'pdf' and pdf is null then 'no PDF was captured'
-        when format = 'screenshot' and screenshot is null then 'no screenshot was captured' end"""
+        when format = 'screenshot' and screenshot is null then 'no screenshot was captured'
+        when format = 'screenshot' and shot is null then 'the screenshot cannot be read' end"""
     shaped = with_ext.selectExpr(
         "*",
         f"if(verdict = 'page', {missing}, null) as missing",
@@ -279,22 +303,23 @@ def assemble(joined: DataFrame, extensions: DataFrame) -> DataFrame:
         "*",
         "coalesce(is_file or (verdict = 'page' and missing is null), false) as ok",
         "if(is_file and is_pdf and format = 'markdown', pdf_text, null) as converted",
+        "if(verdict = 'unusable', null, refused) as refused_by_proxy",
         "case when verdict = 'failed' then kind else 'other' end as error_kind",
-        "case when verdict = 'failed' then judged_status else status end as error_status",
-        "case when verdict = 'failed' then detail when verdict is null then 'no capture for this URL' "
-        "else missing end as error_detail",
+        "case verdict when 'failed' then judged_status when 'unusable' then null else status end as error_status",
+        "case verdict when 'failed' then detail when 'unusable' then timeout_reason "
+        "else if(verdict is null, 'no capture for this URL', missing) end as error_detail",
     )
     page_text = "case format when 'markdown' then markdown when 'html' then coalesce(html, '') when 'mhtml' then mhtml end"
     page_data = (
-        "case format when 'pdf' then pdf when 'screenshot' then unbase64(screenshot) "
+        "case format when 'pdf' then pdf when 'screenshot' then shot "
         "when 'raw' then encode(coalesce(html, ''), 'UTF-8') end"
     )
     raw_ext = f"coalesce(guessed_extension, {urls.path_suffix('resource_url')}, '.bin')"
     # Only some kinds carry a status, a timeout or a proxy in their error.
-    error = f"""struct(error_kind as kind, coalesce(refused, false) as refused,
+    error = f"""struct(error_kind as kind, coalesce(refused_by_proxy, false) as refused,
         if(error_kind in ('http_status', 'blocked'), null, error_detail) as detail,
         case when error_kind in ('http_status', 'blocked') then error_status
-             when refused then proxy_status end as status_code,
+             when refused_by_proxy then proxy_status end as status_code,
         if(error_kind = 'timeout', if(retriable, timeout, {rules.DEFAULT_TIMEOUT_S}), null) as timeout_s,
         if(error_kind = 'proxy', {urls.redact('proxy')}, null) as proxy)"""
     c = F.col
@@ -350,7 +375,7 @@ def assemble(joined: DataFrame, extensions: DataFrame) -> DataFrame:
         notes.alias("notes"),
         F.coalesce("retry_missing", F.lit(False)).alias("retry_missing"),
         "timeout",
-        c("verdict").isNotNull().alias("captured"),
+        c("_captured").alias("captured"),
     )
 
 

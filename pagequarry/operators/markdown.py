@@ -10,43 +10,41 @@ from pyspark.sql import Window as W
 
 from pagequarry.functions import urls
 from pagequarry.functions.inline import MD_LINK, markdown_text
-from pagequarry.functions.text import keep_if, lit
+from pagequarry.functions.text import lit
+from pagequarry.operators import html as pages_html
 
 
-def block_lines(blocks: DataFrame, keys: Sequence[str], links: bool, images: bool) -> DataFrame:
-    """Markdown of each block and what stands before it: ``(keys, pos, sep, md)``.
+def with_markdown(
+    df: DataFrame, blocks: str = "blocks", name: str = "markdown", links: bool = True, images: bool = True
+) -> DataFrame:
+    """Add the Markdown of a column of blocks; null without any text. Lines are never wrapped.
 
     List items and line breaks stay close to the block before, other blocks do not.
     """
-    bodies = blocks.where("container <> 'head'").selectExpr(
-        *keys, "pos", "tag", "list_depth", "ordered",
-        keep_if(markdown_text("inner", links, images), "body", "_v <> ''"),
+    bodies = (
+        f"transform(filter({blocks}, _b -> _b.container <> 'head'), _b -> struct(_b.tag as tag, _b.list_depth as list_depth, "
+        f"_b.ordered as ordered, {markdown_text('_b.inner', links, images)} as body))"
     )
-    return bodies.selectExpr(
-        *keys,
-        "pos",
-        "case tag when 'li' then '\\n' when 'br' then '  \\n' else '\\n\\n' end as sep",
-        """case when tag rlike '^h[1-6]$' then concat(repeat('#', cast(substring(tag, 2, 1) as int)), ' ', body)
-            when tag = 'li' then concat(repeat('  ', greatest(list_depth - 1, 0)), if(ordered, '1. ', '- '), body)
-            when tag = 'blockquote' then concat('> ', body)
-            else body end as md""",
+    lines = """transform(filter(_bodies, _l -> _l.body <> ''), _l -> concat(
+        case _l.tag when 'li' then '\\n' when 'br' then '  \\n' else '\\n\\n' end,
+        case when _l.tag rlike '^h[1-6]$' then concat(repeat('#', cast(substring(_l.tag, 2, 1) as int)), ' ', _l.body)
+            when _l.tag = 'li' then concat(repeat('  ', greatest(_l.list_depth - 1, 0)), if(_l.ordered, '1. ', '- '), _l.body)
+            when _l.tag = 'blockquote' then concat('> ', _l.body)
+            else _l.body end))"""
+    return (
+        df.withColumn("_bodies", F.expr(bodies))
+        .withColumn("_lines", F.expr(lines))
+        .withColumn(name, F.expr("if(size(_lines) > 0, regexp_replace(array_join(_lines, ''), '^\\\\s+', ''), null)"))
+        .drop("_bodies", "_lines")
     )
 
 
 def render(
-    blocks: DataFrame, keys: Sequence[str] = ("page_id",), links: bool = True, images: bool = True
+    pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html", links: bool = True, images: bool = True
 ) -> DataFrame:
-    """One Markdown text per page: ``(keys, markdown)``; lines are never wrapped.
-
-    The blocks of a page are parts of one input row, so collecting them is bounded by it.
-    """
-    lines = block_lines(blocks, keys, links, images)
-    return lines.groupBy(*keys).agg(
-        F.expr("sort_array(collect_list(struct(pos, sep, md)))").alias("lines")
-    ).selectExpr(
-        *keys,
-        "regexp_replace(array_join(transform(lines, _l -> concat(_l.sep, _l.md)), ''), '^\\\\s+', '') as markdown",
-    )
+    """One Markdown text per page that has any: ``(keys, markdown)``."""
+    made = with_markdown(pages_html.with_blocks(pages, html, "_blocks"), "_blocks", "markdown", links, images)
+    return made.where("markdown is not null").select(*keys, "markdown")
 
 
 def numbers(links: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:

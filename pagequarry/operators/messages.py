@@ -1,93 +1,81 @@
-"""Message texts: keys and parameters of errors and notes, joined with a catalog."""
+"""Message texts: keys and parameters of errors and notes, filled in where they are."""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import catalog as C
-from pagequarry.functions.text import extract, fill, listed, null_if_empty, short_number, summary
+from pagequarry.functions import rules
+from pagequarry.functions.inline import let
+from pagequarry.functions.text import extract, fill, listed, lit, null_if_empty, short_number, summary
 
 
-def templates(catalog: DataFrame, lang: str) -> DataFrame:
-    """One template per key in ``lang``, English where it is missing."""
-    english = catalog.where(F.col("lang") == "en").select("key", F.col("template").alias("_en"))
-    wanted = catalog.where(F.col("lang") == lang).select("key", F.col("template").alias("_own"))
-    return english.join(F.broadcast(wanted), "key", "left").select(
-        "key", F.coalesce("_own", "_en").alias("template")
-    )
+def template(texts: Mapping[str, str], key: str) -> str:
+    """The template of a key; the key itself when there is none."""
+    return f"case {key} " + " ".join(f"when {lit(k)} then {lit(v)}" for k, v in texts.items()) + f" else {key} end"
+
 
+def reason(status: str) -> str:
+    """The reason phrase of an HTTP status; null when it has none."""
+    return f"case {status} " + " ".join(f"when {code} then {lit(text)}" for code, text in rules.reason_rows()) + " end"
 
-def error_key(error: str, reason: str) -> str:
+
+def error_key(error: str) -> str:
     """Message key of an error struct."""
     return (
-        f"case when {error}.kind = 'http_status' and {reason} is null then 'http_status_bare' "
+        f"case when {error}.kind = 'http_status' and {reason(error + '.status_code')} is null then 'http_status_bare' "
         f"when {error}.kind = 'proxy' and {error}.refused then 'proxy_refused' "
         f"when {error}.kind in ('tls', 'other') and coalesce({summary(error + '.detail')}, '') = '' "
         f"then concat({error}.kind, '_bare') else {error}.kind end"
     )
 
 
-def error_params(error: str, reason: str, url: str) -> str:
-    return (
-        f"map('url', {url}, 'status_code', cast({error}.status_code as string), 'reason', {reason}, "
-        f"'timeout_s', {short_number(error + '.timeout_s')}, 'proxy', {error}.proxy, "
-        f"'summary', {summary(error + '.detail')})"
+def error_text(error: str, url: str, texts: Mapping[str, str]) -> str:
+    """The message of an error struct; null where there is no error."""
+    params = (
+        f"map('url', {url}, 'status_code', cast({error}.status_code as string), "
+        f"'reason', if({error}.kind = 'http_status', {reason(error + '.status_code')}, null), "
+        f"'timeout_s', {short_number(error + '.timeout_s')}, 'proxy', {error}.proxy, 'summary', {summary(error + '.detail')})"
     )
+    return f"if({error} is null, null, {let(error_key(error), '_ky', fill(template(texts, '_ky'), params))})"
+
+
+def message(texts: Mapping[str, str], key: str, **params: str) -> str:
+    """A message with a fixed key and parameters given as SQL text."""
+    pairs = ", ".join(f"{lit(name)}, {value}" for name, value in params.items())
+    return fill(lit(texts.get(key, key)), f"map({pairs})") if pairs else lit(texts.get(key, key))
 
 
 def with_error_text(
-    rows: DataFrame, catalog: DataFrame, reasons: DataFrame, lang: str = "en",
-    error: str = "error", url: str = "url", name: str = "error_text",
+    rows: DataFrame, texts: Mapping[str, str], error: str = "error", url: str = "url", name: str = "error_text"
 ) -> DataFrame:
-    """Add the rendered message of an error column; null where there is no error.
-
-    Both lookups are broadcasts of fixed small tables.
-    """
-    reason_dim = reasons.selectExpr("status_code as _status", "reason as _reason")
-    template_dim = templates(catalog, lang).selectExpr("key as _key", "template as _template")
-    shown = (
-        rows.selectExpr("*", f"if({error}.kind = 'http_status', {error}.status_code, null) as _status")
-        .join(F.broadcast(reason_dim), "_status", "left")
-        .selectExpr("*", f"if({error} is null, null, {error_key(error, '_reason')}) as _key")
-        .join(F.broadcast(template_dim), "_key", "left")
-    )
-    text = fill("_template", error_params(error, "_reason", url))
-    return shown.selectExpr("*", f"if({error} is null, null, {text}) as {name}").drop(
-        "_status", "_reason", "_key", "_template"
-    )
+    """Add the rendered message of an error column; null where there is no error."""
+    return rows.withColumn(name, F.expr(error_text(error, url, texts)))
 
 
-def note_rows(
-    outcomes: DataFrame, catalog: DataFrame, reasons: DataFrame, lang: str = "en",
-    keep: tuple[str, ...] = ("batch_id", "ord", "url"),
-) -> DataFrame:
-    """One row per note with its text: ``(keep, n, key, note)``.
+def note_texts(texts: Mapping[str, str], notes: str = "notes", url: str = "url") -> str:
+    """The texts of an array of notes, in order.
 
     The retry note quotes an earlier error, which is rendered first in the same language.
     """
-    rows = outcomes.selectExpr(*keep, "posexplode(notes) as (n, _note)").selectExpr(
-        *keep,
-        "n",
-        "_note.key",
-        "_note.params",
-        """if(_note.key = 'retried_direct', struct(_note.params['kind'] as kind, false as refused,
-            _note.params['detail'] as detail, try_cast(_note.params['status_code'] as int) as status_code,
-            try_cast(_note.params['timeout_s'] as double) as timeout_s, _note.params['proxy'] as proxy), null)
-            as _quoted""",
-    )
-    with_quote = with_error_text(rows, catalog, reasons, lang, "_quoted", "url", "_error_text")
-    params = "if(_error_text is null, params, map('error', _error_text))"
-    return with_quote.join(F.broadcast(templates(catalog, lang)), "key", "left").selectExpr(
-        *keep, "n", "key", f"{fill('coalesce(template, key)', params)} as note"
+    quoted = (
+        "if(_nt.key = 'retried_direct', struct(_nt.params['kind'] as kind, false as refused, _nt.params['detail'] as detail, "
+        "try_cast(_nt.params['status_code'] as int) as status_code, try_cast(_nt.params['timeout_s'] as double) as timeout_s, "
+        "_nt.params['proxy'] as proxy), null)"
     )
+    params = let(quoted, "_qt", f"if(_qt is null, _nt.params, map('error', {error_text('_qt', url, texts)}))")
+    return f"transform({notes}, _nt -> {let(params, '_np', fill(template(texts, '_nt.key'), '_np'))})"
 
 
-def render(rows: DataFrame, catalog: DataFrame, lang: str = "en", name: str = "message") -> DataFrame:
-    """Fill the templates of rows ``(key, params)``."""
-    return rows.join(F.broadcast(templates(catalog, lang)), "key", "left").selectExpr(
-        *rows.columns, f"{fill('coalesce(template, key)', 'params')} as {name}"
-    )
+def note_rows(
+    outcomes: DataFrame, texts: Mapping[str, str], keep: tuple[str, ...] = ("batch_id", "ord", "url")
+) -> DataFrame:
+    """One row per note with its text: ``(keep, n, key, note)``."""
+    both = f"zip_with(notes, {note_texts(texts)}, (_nz, _tz) -> struct(_nz.key as key, _tz as note))"
+    return outcomes.selectExpr(*keep, f"posexplode({both}) as (n, _z)").select(*keep, "n", "_z.key", "_z.note")
 
 
 def locale_language(columns: dict[str, str]) -> str:

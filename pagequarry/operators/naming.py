@@ -10,12 +10,34 @@ from pyspark.sql import functions as F
 
 from pagequarry.functions import urls
 from pagequarry.operators import skew
+from pagequarry.operators.judge import note
+from pagequarry.operators.report import payload_size
 from pagequarry.session import written
 
 
 def names(outcomes: DataFrame) -> DataFrame:
-    """Add the ``name`` a successful outcome asks for."""
-    return outcomes.where("ok").withColumn("name", F.expr(urls.file_name("url", "extension")))
+    """Add the ``name`` a successful outcome asks for; null for the others.
+
+    A port that is not a number leaves no trace in the name, which a note says.
+    """
+    bad = F.col("ok") & F.expr(urls.bad_port("url"))
+    return outcomes.withColumn("name", F.when(F.col("ok"), F.expr(urls.file_name("url", "extension")))).withColumn(
+        "notes", F.when(bad, F.array_append("notes", note("bad_port", url=F.col("url")))).otherwise(F.col("notes"))
+    )
+
+
+def named_records(outcomes: DataFrame) -> DataFrame:
+    """Outcomes without their payloads, with ``size`` and ``allocated``, for a manifest.
+
+    Sizes are taken where the payload is, and only narrow rows go on to the names.
+    """
+    narrow = names(outcomes).select(
+        "batch_id", "ord", "url", "ok", "name", payload_size().alias("size"),
+        "content_kind", "content_type", "status_code", "error", "notes",
+    )
+    rows = written(narrow, "records")
+    given = allocate(rows.where("ok").select("batch_id", "ord", "name")).drop("name")
+    return rows.drop("name").join(given, ["batch_id", "ord"], "left")
 
 
 def allocate(
@@ -41,8 +63,10 @@ def allocate(
     )
     placed = skew.positions(rows, [*keys, name], order, "_place")
 
-    distinct = rows.groupBy(*keys, name, "_stem", "_suffix").agg(
-        F.count("*").alias("_n"), F.min(order).alias("_first")
+    # One row per distinct name, which most of what follows starts from.
+    distinct = written(
+        rows.groupBy(*keys, name, "_stem", "_suffix").agg(F.count("*").alias("_n"), F.min(order).alias("_first")),
+        "distinct-names",
     )
     # A sibling's number: at least 2, written without leading zeros.
     number = F.regexp_extract("_stem", r"(?s)^.*-([1-9][0-9]{0,17})\z", 1).try_cast("bigint")

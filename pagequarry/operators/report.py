@@ -1,13 +1,18 @@
-"""Reports over outcomes: documents, records, manifests, summaries and text lines."""
+"""Reports over outcomes: documents, records, manifests, summaries and text lines.
+
+Messages come from ``texts``, a catalog for one language (:mod:`pagequarry.functions.catalog`).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagequarry.functions import judging as J
 from pagequarry.functions import rules, urls
-from pagequarry.functions.text import blank, fill, short_number, strip
+from pagequarry.functions.text import blank, lossy_text, short_number, strip
 from pagequarry.operators import messages, skew
 
 # Prefixes that stay the same in every language, so tools can match them.
@@ -86,34 +91,68 @@ def page_records(outcomes: DataFrame, notes: bool = True) -> DataFrame:
 
 
 def manifest(
-    named: DataFrame, failed: DataFrame, root: str, write_errors: DataFrame | None = None,
-    base: str | None = None,
-) -> DataFrame:
-    """Download records of all outcomes.
-
-    ``named`` are successful outcomes with an allocated name, ``failed`` the others with
-    their ``error_text``.
-    ``write_errors`` ``(batch_id, ord, reason)`` turn a success into a failure and go before
-    any fetch error. Sizes are only given for what was saved.
+    rows: DataFrame, texts: Mapping[str, str], root: str, write_errors: DataFrame | None = None,
+    base: str | None = None, token: str | None = None,
+) -> DataFrame:
+    """Download records of all outcomes, with the texts of their notes.
+
+    ``rows`` are outcomes with ``allocated``, the name of a successful one, and ``size``, the
+    bytes of its payload; the payload itself is not needed. ``write_errors`` ``(batch_id, ord,
+    reason)`` turn a success into a failure and go before any fetch error. Sizes are only given
+    for what was saved. With ``base`` and ``token``, a column of the caller's that nobody can
+    guess, records have an address.
     """
-    sized = named.select("*", payload_size().alias("_size"))
-    rows = sized.unionByName(failed, allowMissingColumns=True)
-    if write_errors is not None:
-        rows = rows.join(
-            write_errors.select("batch_id", "ord", F.col("reason").alias("write_error")), ["batch_id", "ord"], "left"
-        )
-    else:
-        rows = rows.withColumn("write_error", F.lit(None).cast("string"))
-    saved = F.col("ok") & F.col("write_error").isNull()
-    path = F.when(saved, F.concat_ws("/", F.lit(root), "allocated"))
-    token = F.substring(F.sha2(F.concat_ws("/", F.col("batch_id").cast("string"), "allocated"), 256), 1, 43)
-    return rows.select(
-        "batch_id", "ord", "url", saved.alias("ok"), path.alias("path"),
-        F.when(saved, F.col("_size")).alias("bytes"),
+    reasons = (
+        rows.select("batch_id", "ord", F.lit(None).cast("string").alias("write_error")).limit(0)
+        if write_errors is None
+        else write_errors.select("batch_id", "ord", F.col("reason").alias("write_error"))
+    )
+    noted = rows.withColumn("_notes", F.expr(messages.note_texts(texts))).withColumn("_error", F.expr(messages.error_text("error", "url", texts)))
+    joined = noted.join(reasons, ["batch_id", "ord"], "left")
+    unwritten = F.col("ok") & F.col("write_error").isNotNull()
+    saved = F.col("ok") & ~unwritten
+    target = F.concat_ws("/", F.lit(root), "allocated")
+    failure = F.expr(messages.message(texts, "write_failed", path="_target", reason="write_error"))
+    address = F.concat(F.lit(base), F.lit("/files/"), F.col(token)) if base and token else F.lit(None).cast("string")
+    return joined.withColumn("_target", target).select(
+        "batch_id", "ord", "url", saved.alias("ok"),
+        F.when(saved, target).alias("path"),
+        F.when(saved, F.col("size")).alias("bytes"),
         "content_kind", "content_type", "status_code",
-        F.coalesce("write_error", "error_text").alias("error"),
-        F.when(saved, F.concat(F.lit(base), F.lit("/files/"), token)).alias("file_url"),
+        F.when(unwritten, failure).otherwise(F.col("_error")).alias("error"),
+        F.col("_notes").alias("notes"),
+        F.when(saved, address).alias("file_url"),
+        unwritten.alias("unwritten"),
+    )
+
+
+def saved_summary(records: DataFrame) -> DataFrame:
+    """Counts and verdicts per batch of download records; a write that failed counts as failed."""
+    return records.groupBy("batch_id").agg(
+        F.count_if("ok").alias("saved"),
+        F.count_if(~F.col("ok")).alias("failed"),
+        F.max(F.when(F.col("ok"), 0).otherwise(1)).cast("bigint").alias("exit_code"),
+        (~F.bool_or("ok")).alias("none_saved"),
+    )
+
+
+def saved_lines(records: DataFrame, texts: Mapping[str, str]) -> DataFrame:
+    """The report of a download run as rows ``(batch_id, section, ord, n, line)``, to be sorted by them.
+
+    Sections: 1 the lines of each record, 2 counts, and a line more when nothing was saved,
+    3 failed URLs. Nothing is gathered per batch.
+    """
+    lines = download_lines(records, texts).select("batch_id", F.lit(1).alias("section"), "ord", "n", "line")
+    counts = saved_summary(records).withColumn("lines", F.expr(
+        "filter(array("
+        + f"concat('{DONE_PREFIX}', " + messages.message(texts, "summary_saved", succeeded="string(saved)", failed="string(failed)") + "), "
+        + f"if(none_saved, concat('{ERROR_PREFIX}', " + messages.message(texts, "none_saved", failed="string(failed)") + "), null)), _l -> _l is not null)"
+    ))
+    done = counts.select("batch_id", F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("ord"), F.posexplode("lines").alias("n", "line"))
+    failed = records.where("not ok").select(
+        "batch_id", F.lit(3).alias("section"), "ord", F.lit(0).alias("n"), F.concat(F.lit(FAILED_PREFIX), "url").alias("line")
     )
+    return lines.unionByName(done).unionByName(failed)
 
 
 def batch_summary(outcomes: DataFrame) -> DataFrame:
@@ -126,9 +165,12 @@ def batch_summary(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def failed_lists(outcomes: DataFrame) -> DataFrame:
-    """Failed URLs of each batch in order, in pieces of bounded length."""
-    return skew.listed(outcomes.where("not ok"), ["batch_id"], "ord", "url", "failed_urls")
+def failed_lists(outcomes: DataFrame, piece: int = skew.LIST_PIECE) -> DataFrame:
+    """Failed URLs of each batch in order: of outcomes, or of download records.
+
+    A batch with more than ``piece`` of them has several rows, numbered by ``piece``.
+    """
+    return skew.listed(outcomes.where("not ok"), ["batch_id"], "ord", "url", "failed_urls", piece)
 
 
 def rollup(outcomes: DataFrame) -> DataFrame:
@@ -163,51 +205,38 @@ def progress(finished: DataFrame, order: str = "ord", at: str = "finished_at", c
     return skew.lookup(done, totals, ["batch_id"], [order], "inner", hot)
 
 
-def error_lines(outcomes: DataFrame, catalog: DataFrame, reasons: DataFrame, lang: str = "en") -> DataFrame:
+def error_lines(outcomes: DataFrame, texts: Mapping[str, str]) -> DataFrame:
     """One error line per failed request; a general text when there is no error."""
-    failed = messages.with_error_text(outcomes.where("not ok"), catalog, reasons, lang)
-    return failed.select(
-        "batch_id", "ord", "url",
-        F.concat(F.lit(ERROR_PREFIX), F.coalesce("error_text", F.concat(F.lit("not fetched: "), "url"))).alias("line"),
-    )
+    text = f"coalesce({messages.error_text('error', 'url', texts)}, {messages.message(texts, 'not_fetched', url='url')})"
+    return outcomes.where("not ok").select("batch_id", "ord", "url", F.concat(F.lit(ERROR_PREFIX), F.expr(text)).alias("line"))
 
 
-def note_lines(outcomes: DataFrame, catalog: DataFrame, reasons: DataFrame, lang: str = "en") -> DataFrame:
-    notes = messages.note_rows(outcomes, catalog, reasons, lang)
+def note_lines(outcomes: DataFrame, texts: Mapping[str, str]) -> DataFrame:
+    notes = messages.note_rows(outcomes, texts)
     return notes.select(
         "batch_id", "ord", "url", "n",
         F.concat(F.lit(NOTE_PREFIX), "url", F.lit(": "), "note").alias("line"),
     )
 
 
-def report_lines(
-    outcomes: DataFrame, duplicates: DataFrame, catalog: DataFrame, reasons: DataFrame, lang: str = "en"
-) -> DataFrame:
+def report_lines(outcomes: DataFrame, duplicates: DataFrame, texts: Mapping[str, str]) -> DataFrame:
     """The report of a run as rows ``(batch_id, section, ord, n, line)``, to be sorted by them.
 
     Sections: 0 duplicates, 1 notes and errors per request, 2 counts, 3 failed URLs. Nothing
     is gathered per batch.
     """
-    tpl = messages.templates(catalog, lang)
-
-    def templated(rows: DataFrame, key: str) -> DataFrame:
-        return rows.withColumn("key", F.lit(key)).join(F.broadcast(tpl), "key", "left").drop("key")
-
-    dup = templated(duplicates, "duplicate_url").select(
+    dup = duplicates.select(
         "batch_id", F.lit(0).alias("section"), "ord", F.lit(0).alias("n"),
-        F.concat(F.lit(NOTE_PREFIX), F.expr(fill("template", "map('url', url)"))).alias("line"),
+        F.concat(F.lit(NOTE_PREFIX), F.expr(messages.message(texts, "duplicate_url", url="url"))).alias("line"),
     )
-    notes = note_lines(outcomes, catalog, reasons, lang).select("batch_id", F.lit(1).alias("section"), "ord", "n", "line")
-    errors = error_lines(outcomes, catalog, reasons, lang).select(
+    notes = note_lines(outcomes, texts).select("batch_id", F.lit(1).alias("section"), "ord", "n", "line")
+    errors = error_lines(outcomes, texts).select(
         "batch_id", F.lit(1).alias("section"), "ord", F.lit(1_000_000).alias("n"), "line"
     )
-    counts = batch_summary(outcomes)
-    done = templated(counts, "summary_fetched").select(
+    counted = messages.message(texts, "summary_fetched", succeeded="string(succeeded)", failed="string(failed)")
+    done = batch_summary(outcomes).select(
         "batch_id", F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("n"),
-        F.concat(
-            F.lit(DONE_PREFIX),
-            F.expr(fill("template", "map('succeeded', string(succeeded), 'failed', string(failed))")),
-        ).alias("line"),
+        F.concat(F.lit(DONE_PREFIX), F.expr(counted)).alias("line"),
     )
     failed = outcomes.where("not ok").select(
         "batch_id", F.lit(3).alias("section"), "ord", F.lit(0).alias("n"),
@@ -216,16 +245,16 @@ def report_lines(
     return dup.unionByName(notes).unionByName(errors).unionByName(done).unionByName(failed)
 
 
-def download_lines(manifest_rows: DataFrame) -> DataFrame:
-    """Lines of download records: saved files, their addresses, and errors."""
-    saved = F.concat(F.lit(SAVED_PREFIX), "url", F.lit(" -> "), "path", F.lit(" ("), F.col("bytes").cast("string"), F.lit(" bytes)"))
+def download_lines(records: DataFrame, texts: Mapping[str, str]) -> DataFrame:
+    """Lines of download records: notes, saved files, their addresses, and errors."""
+    saved = F.concat(F.lit(SAVED_PREFIX), F.expr(messages.message(texts, "saved", url="url", path="path", size="string(bytes)")))
+    notes = F.transform("notes", lambda x: F.concat(F.lit(NOTE_PREFIX), "url", F.lit(": "), x))
+    failure = F.coalesce("error", F.expr(messages.message(texts, "not_fetched", url="url")))
     lines = F.when(
         F.col("ok"),
-        F.filter(
-            F.array(saved, F.concat(F.lit(FILE_PREFIX), F.col("file_url"))), lambda x: x.isNotNull()
-        ),
-    ).otherwise(F.array(F.concat(F.lit(ERROR_PREFIX), with_url(F.coalesce("error", F.lit("not fetched")), F.col("url")))))
-    return manifest_rows.select("batch_id", "ord", F.posexplode(lines).alias("n", "line"))
+        F.filter(F.array(saved, F.concat(F.lit(FILE_PREFIX), F.col("file_url"))), lambda x: x.isNotNull()),
+    ).otherwise(F.array(F.concat(F.lit(ERROR_PREFIX), with_url(failure, F.col("url")))))
+    return records.select("batch_id", "ord", F.posexplode(F.concat(notes, lines)).alias("n", "line"))
 
 
 def with_url(message: Column, url: Column) -> Column:
@@ -233,8 +262,12 @@ def with_url(message: Column, url: Column) -> Column:
     return F.when(F.contains(message, url), message).otherwise(F.concat(message, F.lit(": "), url))
 
 
-def log_lines(outcomes: DataFrame) -> DataFrame:
-    """One log line per outcome."""
+def log_lines(outcomes: DataFrame, texts: Mapping[str, str], records: DataFrame | None = None) -> DataFrame:
+    """Log lines ``(batch_id, ord, n, level, line)``: what came, its notes, and what was saved.
+
+    A failed request is logged with its whole message. ``records`` are download records, whose
+    saved files and write failures follow the lines of the fetch.
+    """
     status = F.coalesce(F.col("status_code").cast("string"), F.lit("-"))
     size = F.when(
         F.col("text").isNotNull(), F.concat(F.length("text").cast("string"), F.lit(" chars"))
@@ -242,45 +275,56 @@ def log_lines(outcomes: DataFrame) -> DataFrame:
     fetched = F.concat(
         F.lit("fetched: "), "url", F.lit(" (HTTP "), status, F.lit(", "), "content_kind", F.lit(", "), size, F.lit(")")
     )
-    failed = F.concat(F.lit(ERROR_PREFIX), with_url(F.coalesce("error.kind", F.lit("not fetched")), F.col("url")))
-    return outcomes.select(
-        "batch_id", "ord",
-        F.when(F.col("ok"), "INFO").otherwise("WARNING").alias("level"),
-        F.when(F.col("ok"), fetched).otherwise(failed).alias("line"),
+    text = f"coalesce({messages.error_text('error', 'url', texts)}, {messages.message(texts, 'not_fetched', url='url')})"
+    failed = F.concat(F.lit(ERROR_PREFIX), with_url(F.expr(text), F.col("url")))
+    notes = F.transform(
+        F.expr(messages.note_texts(texts)), lambda x: _logged("INFO", F.concat(F.lit(NOTE_PREFIX), "url", F.lit(": "), x))
     )
+    first = F.when(F.col("ok"), _logged("INFO", fetched)).otherwise(_logged("WARNING", failed))
+    lines = outcomes.select("batch_id", "ord", F.posexplode(F.concat(F.array(first), notes)).alias("n", "_l"))
+    if records is not None:
+        saved = F.concat(F.lit(SAVED_PREFIX), F.expr(messages.message(texts, "saved", url="url", path="path", size="string(bytes)")))
+        unsaved = F.concat(F.lit(ERROR_PREFIX), with_url(F.col("error"), F.col("url")))
+        # Those that failed before are logged already: they have no name.
+        lines = lines.unionByName(
+            records.where("ok or unwritten").select(
+                "batch_id", "ord", F.lit(1_000_000).alias("n"),
+                F.when(F.col("ok"), _logged("INFO", saved)).otherwise(_logged("WARNING", unsaved)).alias("_l"),
+            )
+        )
+    return lines.select("batch_id", "ord", "n", "_l.level", "_l.line")
 
 
-def page_blocks(
-    outcomes: DataFrame, catalog: DataFrame, reasons: DataFrame, lang: str = "en"
-) -> DataFrame:
+def _logged(level: str, line: Column) -> Column:
+    return F.struct(F.lit(level).alias("level"), line.alias("line"))
+
+
+def page_blocks(outcomes: DataFrame, sizes: DataFrame, texts: Mapping[str, str]) -> DataFrame:
     """What a reader is shown per request: ``(batch_id, ord, n, type, text, mime)`` rows.
 
-    A header comment is added when the batch has several requests; note comments come next.
+    ``sizes`` ``(batch_id, n_urls)`` is what the gate has counted. A header comment is added
+    when the batch has several requests; note comments come next. Everything but that one
+    number is in the row, and batches too large for a broadcast are few: only their rows would
+    have to be shuffled.
     """
-    sizes = outcomes.groupBy("batch_id").agg(F.count("*").alias("_requests"))
-    hot = skew.hot_keys(sizes, ["batch_id"], counts="_requests")
-    rows = skew.lookup(outcomes, sizes, ["batch_id"], ["ord"], "inner", hot)
-    notes = messages.note_rows(outcomes, catalog, reasons, lang).groupBy("batch_id", "ord").agg(
-        # An outcome has a handful of notes.
-        F.sort_array(F.collect_list(F.struct("n", "note"))).alias("_notes")
-    )
-    rows = messages.with_error_text(rows.join(notes, ["batch_id", "ord"], "left"), catalog, reasons, lang)
+    rows = outcomes.join(sizes.select("batch_id", F.col("n_urls").alias("_requests")), "batch_id", "left")
     status = F.coalesce(F.col("status_code").cast("string"), F.lit("-"))
     first = F.when(
         F.col("_requests") > 1,
         F.array(F.concat(F.lit(f"<!-- {HEADER_NAME}: url="), "url", F.lit(" status="), status, F.lit(" -->"))),
     ).otherwise(F.array().cast("array<string>"))
     comments = F.transform(
-        F.coalesce("_notes", F.array().cast("array<struct<n:int,note:string>>")),
-        lambda x: F.concat(F.lit(f"<!-- {NOTE_PREFIX}"), x["note"], F.lit(" -->")),
+        F.expr(messages.note_texts(texts)), lambda x: F.concat(F.lit(f"<!-- {NOTE_PREFIX}"), x, F.lit(" -->"))
+    )
+    rows = rows.withColumn("_head", F.concat(first, comments)).withColumn(
+        "_mime", F.expr(J.image_mime("content_kind", "content_type", "extension"))
+    )
+    head, mime = F.col("_head"), F.col("_mime")
+    fields = {"size": "string(coalesce(octet_length(data), 0))", "content_type": "content_type", "url": "url"}
+    message = F.when(F.col("content_type").isNotNull(), F.expr(messages.message(texts, "binary", **fields))).otherwise(
+        F.expr(messages.message(texts, "binary_unknown", **fields))
     )
-    head = F.concat(first, comments)
-    mime = F.expr(J.image_mime("content_kind", "content_type", "data"))
-    tpl = messages.templates(catalog, lang).where(F.col("key").isin("binary", "binary_unknown"))
-    binary_key = F.when(F.col("content_type").isNotNull(), "binary").otherwise("binary_unknown")
-    rows = rows.withColumn("key", binary_key).join(F.broadcast(tpl), "key", "left")
-    fields = "map('size', string(coalesce(octet_length(data), 0)), 'content_type', content_type, 'url', url)"
-    message = F.expr(fill("template", fields))
+    failure = F.coalesce(F.expr(messages.error_text("error", "url", texts)), F.expr(messages.message(texts, "not_fetched", url="url")))
 
     def block(kind: str, text: Column, mime_: Column | None = None) -> Column:
         return F.struct(
@@ -292,9 +336,12 @@ def page_blocks(
         return F.array(block("text", F.array_join(F.array_append(head, body), "\n")))
 
     image = F.array(block("image", F.replace(F.base64(F.coalesce("data", F.lit(b""))), F.lit("\r\n"), F.lit("")), mime))
+    # The source of a page, asked for as it is, is text.
+    source = (F.col("content_kind") == "html") & (F.col("extension") == ".html") & F.col("data").isNotNull()
     made = (
-        F.when(~F.col("ok"), text_with_head(F.concat(F.lit(ERROR_PREFIX), F.coalesce("error_text", F.concat(F.lit("not fetched: "), "url")))))
+        F.when(~F.col("ok"), text_with_head(F.concat(F.lit(ERROR_PREFIX), failure)))
         .when(F.col("text").isNotNull(), text_with_head(F.col("text")))
+        .when(source, text_with_head(F.expr(lossy_text("data"))))
         .when(
             mime.isNotNull(),
             F.when(F.size(head) > 0, F.concat(F.array(block("text", F.array_join(head, "\n"))), image)).otherwise(image),
@@ -304,30 +351,35 @@ def page_blocks(
     return rows.select("batch_id", "ord", F.posexplode(made).alias("n", "_b")).select("batch_id", "ord", "n", "_b.*")
 
 
-def long_timeout_lines(requests: DataFrame, default_timeout_s: float = rules.DEFAULT_TIMEOUT_S) -> DataFrame:
+def long_timeout_lines(
+    requests: DataFrame, texts: Mapping[str, str], default_timeout_s: float = rules.DEFAULT_TIMEOUT_S
+) -> DataFrame:
     """A note per request whose timeout is far above the default."""
-    return requests.where("long_timeout").select(
-        "batch_id", "ord",
-        F.concat(
-            F.lit(NOTE_PREFIX + "a timeout of "), F.expr(short_number("timeout_s")),
-            F.lit(f"s is over {rules.LONG_TIMEOUT_FACTOR} times the default of {default_timeout_s:g}s"),
-        ).alias("line"),
-    )
+    fields = {"timeout_s": short_number("timeout_s"), "factor": f"'{rules.LONG_TIMEOUT_FACTOR}'", "default": f"'{default_timeout_s:g}'"}
+    line = F.concat(F.lit(NOTE_PREFIX), F.expr(messages.message(texts, "long_timeout", **fields)))
+    return requests.where("long_timeout").select("batch_id", "ord", line.alias("line"))
 
 
 def page_text(pages: DataFrame, doc: str = "doc", page_no: str = "page_no", text: str = "text") -> DataFrame:
-    """Text of a document from the texts of its pages: trimmed, blank ones left out.
+    """Text of a document from the texts of its pages: ``(doc, text)``, trimmed, blank ones left out.
 
-    ``(doc, piece, text)``: a document of very many pages continues in further pieces. One
-    without any text stays, empty.
+    A document comes from the body of one row, so its text fits a row again. One without any
+    text stays, empty.
     """
-    rows = pages.selectExpr(doc, page_no, f"{strip(text)} as _t")
-    pieces = skew.listed(rows.where(F.col("_t") != ""), [doc], page_no, "_t", "_texts")
-    filled = pieces.select(doc, "piece", F.array_join("_texts", "\n\n").alias("text"))
-    empty = (
-        rows.groupBy(doc)
-        .agg(F.max(F.col("_t") != "").alias("_any"))
-        .where(~F.coalesce("_any", F.lit(False)))
-        .select(doc, F.lit(0).cast("bigint").alias("piece"), F.lit("").alias("text"))
-    )
-    return filled.unionByName(empty)
+    rows = pages.selectExpr(doc, page_no, f"nullif({strip(text)}, '') as _t")
+    entries = F.collect_list(F.when(F.col("_t").isNotNull(), F.struct(page_no, "_t")))
+    texts = F.transform(F.sort_array(entries), lambda x: x["_t"])
+    return rows.groupBy(doc).agg(F.array_join(texts, "\n\n").alias("text"))
+
+
+def pdf_texts(pages: DataFrame, url: str = "url", page_no: str = "page_no", text: str = "text", error: str | None = None) -> DataFrame:
+    """The ``pdf_pages`` argument of ``judge.outcomes`` from a table with a row per PDF page.
+
+    ``error`` names a column with the reason why a document could not be converted; it then has
+    no text.
+    """
+    made = page_text(pages, url, page_no, text).toDF("url", "pdf_text")
+    if error is None:
+        return made.withColumn("pdf_error", F.lit(None).cast("string"))
+    reasons = pages.groupBy(F.col(url).alias("url")).agg(F.min(error).alias("pdf_error"))
+    return made.join(reasons, "url").select("url", F.when(F.col("pdf_error").isNull(), F.col("pdf_text")).alias("pdf_text"), "pdf_error")

@@ -17,20 +17,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 HOT_ROWS = 100_000  # a key with more rows than this is spread
-HOT_KEYS = 1024  # how many keys are spread at most; this bounds the broadcast
+HOT_KEYS = 1024  # a key with more than one such part of all rows is spread; this bounds the broadcast
 MOST_PARTS = 4096
 RANGE = 65_536  # rows of one numbering range
-LIST_PIECE = 1000  # entries of one list piece
+LIST_PIECE = 1000  # entries of one list piece, unless the caller says otherwise
 
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], floor: int | None = None, counts: str | None = None
 ) -> DataFrame:
-    """The most frequent keys and the number of parts each is spread over.
+    """The frequent keys and the number of parts each is spread over.
 
-    At most ``HOT_KEYS`` rows, so the result can be broadcast whatever the size of ``df``.
-    ``counts`` names a column that already holds row counts per key; otherwise they are
-    computed from the key columns alone, with partial aggregation before the shuffle.
+    Frequent is a key with more than ``floor`` rows and more than one ``HOT_KEYS``-th of all
+    rows. Fewer than ``HOT_KEYS`` keys can have that many, so the result can be broadcast
+    whatever the size of ``df``, and no frequent key is left out. ``counts`` names a column that
+    already holds row counts per key; otherwise they are computed from the key columns alone,
+    with partial aggregation before the shuffle.
     """
     floor = HOT_ROWS if floor is None else floor
     known = [F.col(k).isNotNull() for k in keys]
@@ -39,11 +41,12 @@ def hot_keys(
         .groupBy(*keys)
         .agg((F.sum(counts) if counts else F.count("*")).alias("_n"))
     )
+    least = per_key.agg(F.greatest(F.lit(float(floor)), F.coalesce(F.sum("_n") / HOT_KEYS, F.lit(0.0)))).scalar()
     return (
-        per_key.where(F.col("_n") > floor)
-        .orderBy(F.desc("_n"), *keys)
-        .limit(HOT_KEYS)
-        .select(*keys, F.least(F.ceil(F.col("_n") / floor), F.lit(MOST_PARTS)).cast("int").alias("_parts"))
+        per_key.where(F.col("_n") > floor)  # most keys go here, before the scalar is needed
+        .withColumn("_floor", least)
+        .where(F.col("_n") > F.col("_floor"))
+        .select(*keys, F.least(F.ceil(F.col("_n") / F.col("_floor")), F.lit(MOST_PARTS)).cast("int").alias("_parts"))
     )
 
 

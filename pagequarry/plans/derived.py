@@ -61,7 +61,8 @@ select page_id, url, attempt, proxy, sc,
        when sc = 21 then 'Blocked by anti-bot protection: near-empty' end as error_text,
   case when sc = 15 then '<html><head><title>ERROR: The requested URL could not be retrieved</title></head><body id=ERR_CONNECT_FAIL></body></html>'
        when sc in (12, 13, 14, 17, 18, 21, 22) then '' else html end as html,
-  case when sc in (17, 18, 21) then concat('body-', page_id) end as body_text,
+  case when sc in (17, 21) or sc = 18 and page_id % 4 > 1 then concat('body-', page_id) end as body_text,
+  case when sc = 18 and page_id % 2 = 0 then concat('fetched-', page_id) end as dl_text,
   case when sc = 18 and page_id % 2 = 0 then 200 end as dl_status,
   case when sc = 18 and page_id % 2 <> 0 then 'tls' end as dl_error_kind
 from attempts
@@ -93,8 +94,7 @@ def raw_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The capture schema over the derived table.
 
-    A body belongs to the browser's response; where a download was made, it is what the
-    download returned.
+    A body belongs to the browser's response; a download has its own.
     """
     raw = raw_captures(spark, sf_dir)
     headers = F.from_json("headers_json", "map<string,string>")
@@ -106,7 +106,7 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
             "dl_status", "dl_error_kind",
             F.when(F.col("dl_status").isNotNull(), headers).alias("dl_headers"),
             F.when(F.col("dl_status").isNotNull(), F.try_element_at(headers, F.lit("content-type"))).alias("dl_type"),
-            F.when(F.col("dl_status").isNotNull(), body).alias("dl_body"),
+            F.encode("dl_text", "UTF-8").alias("dl_body"),
         )
     )
 
@@ -118,6 +118,29 @@ def final_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return raw.select("url", "status", F.from_json("headers_json", "map<string,string>").alias("headers"))
 
+
+# A row per page of the PDF files: several hundred each, every seventh blank; some files could not
+# be converted.
+PDF_PAGES_SQL = """
+select url, cast(n as bigint) as page_no, case when n % 7 = 0 then ' ' else concat(' page ', n, ' of ', page_id, ' ') end as text,
+  case when page_id % 5 = 4 then 'damaged' end as error
+from (select url, page_id, explode(sequence(1, case when page_id % 2 = 0 then 1500 else 20 end)) as n from pages where page_id % 23 = 17)
+"""
+
+# Captures that are decided before or beside the browser.
+PRECHECK_SQL = """
+select url, 1 as attempt, case when page_id % 2 = 0 then 'http://u:p@proxy.example:1' end as proxy,
+  case when page_id % 7 in (0, 1) then 200 when page_id % 7 = 2 then 404 end as probe_status,
+  case when page_id % 7 = 0 then 'application/zip' when page_id % 7 in (1, 2) then 'text/html' end as probe_type,
+  case when page_id % 7 in (0, 1, 2) then concat('probe ', page_id) end as probe_text,
+  page_id % 14 = 0 as probe_skipped,
+  case when page_id % 7 = 3 then 'Executable doesn''t exist at /x' when page_id % 7 = 4 then 'net::ERR_PROXY_CONNECTION_FAILED' end as start_error,
+  page_id % 7 = 5 as raised, case when page_id % 7 = 5 then 'net::ERR_TIMED_OUT' end as error_text,
+  case when page_id % 7 = 6 then 403 end as proxy_status,
+  200 as first_status, html
+from pages
+"""
+
 # Portable expressions over ``pages`` and ``documents`` rows that reach the branches the plain
 # test URLs do not.
 BODY_SQL = """case page_id % 9 when 0 then 'not json' when 1 then '[1,2]' when 2 then '{"other":1}'
@@ -167,3 +190,22 @@ PROXY_SQL = """case page_id % 9
 
 DIRECTORY_SQL = """case page_id % 8 when 0 then '' when 1 then 'a/b' when 2 then '/abs' when 3 then '../x'
   when 4 then 'a/../b' when 5 then 'a/../../b' when 6 then './a//..' else concat('d', page_id, '/../../..') end"""
+
+FORMAT_SQL = """case doc_id % 6 when 0 then 'pdf' when 1 then 'screenshot' when 2 then 'mhtml' when 3 then 'raw'
+  when 4 then 'html' else 'screenshot' end"""
+
+TIMEOUT_SQL = "case when page_id % 8 = 3 then -1 when page_id % 8 = 5 then 0 end"
+
+# Pictures as they were stored: some missing, some that cannot be read.
+PICTURES_SQL = {
+    "pdf": "case when page_id % 4 <> 0 then concat('pdf ', page_id) end",
+    "screenshot": "case when page_id % 5 = 1 then 'a' when page_id % 5 <> 2 then 'iVBORw0KGgo=' end",
+    "mhtml": "case when page_id % 3 <> 1 then concat('mhtml ', page_id) end",
+}
+
+ERROR_CLASS_SQL = "case page_id % 4 when 0 then 'proxy' when 1 then 'timeout' when 2 then 'connect' else 'read' end"
+
+TOKEN_SQL = "concat('t-', batch_id, '-', ord)"
+
+IMAGES_SQL = """concat('<h2>Pictures ', page_id, '</h2><p>before <img class="x" alt="A" src="/i/', page_id,
+  '.png"> after</p><p><img src=''b.png'' alt=''B c''><img alt="no source">end</p>')"""

@@ -138,7 +138,7 @@ _KIND = f"""case when contains({_LOW}, 'playwright install') then 'browser_not_i
 _SUMMARY = "case when regexp_matches({d}, 'net::ERR_[A-Z0-9_]+') then regexp_extract({d}, 'net::ERR_[A-Z0-9_]+') else trim({d}) end"
 ORACLES["q_error_kinds"] = f"""with {K} select url, attempt, {_KIND} as kind, {_SUMMARY.format(d='error_text')} as summary,
   regexp_matches({_LOW}, 'net::err_(cert|ssl)_') as tls,
-  case when regexp_matches({_LOW}, 'net::err_(cert|ssl)_') then 'tls' else 'other' end as plain_kind,
+  case when page_id % 4 = 0 then 'proxy' when page_id % 4 = 1 then 'timeout' when regexp_matches({_LOW}, 'net::err_(cert|ssl)_') then 'tls' else 'other' end as plain_kind,
   nullif(case when {_KIND} = 'timeout' then 'other' else {_KIND} end, 'other') as rule_kind,
   cast(page_id % 700 + 100 as int) as connect_status from k1 where error_text is not null"""
 
@@ -153,7 +153,7 @@ k3 as (select *, case when sign = 'proxy_page' then coalesce(squid, upper(regexp
     when sign = 'challenge' then 'challenge' end as sign_detail,
   case when sign = 'proxy_page' then case when proxy is null then 'other' else 'proxy' end
        when sign = 'challenge' and proxy is not null and st is not null then 'blocked' end as sign_kind,
-  file_type and st between 200 and 299 and (cl is null or try_cast(cl as bigint) <= 67108864) and body_text is not null as kept,
+  file_type and st between 200 and 299 and body_text is not null as kept,
   coalesce(starts_with(error_text, 'Blocked by anti-bot protection'), false) as anti_bot from k2),
 k4 as (select *, case when proxy is not null and proxy_status = 403 then 'refused'
     when sign_kind is not null then 'seen'
@@ -335,10 +335,8 @@ _SCORE = _FIT[_FIT.index("sc as (") :]
 ORACLES["q_fit"] = f"with {_FIT}, {md('kept', 'page_id', 'm')} select * from m"
 ORACLES["q_fit_notes"] = f"with {_FIT} select page_id, case when not found then 'filter_kept_nothing' end as note from pg"
 ORACLES["q_fit_cited"] = f"with {_FIT}, {md('kept', 'page_id, url', 'm')}, {cite('m')} select * from c"
-ORACLES["q_page_text"] = """with t as (select conv_id as doc, turn, trim(text, E' \\n\\t\\r') as tx from conversations),
-  p as (select *, (row_number() over (partition by doc order by turn) - 1) // 1000 as piece from t where tx <> '')
-  select doc, piece, string_agg(tx, chr(10) || chr(10) order by turn) as text from p group by doc, piece
-  union all select doc, 0, '' from t group by doc having max(tx) = ''"""
+ORACLES["q_page_text"] = """with t as (select conv_id as doc, turn, trim(text, E' \\n\\t\\r') as tx from conversations)
+  select doc, coalesce(string_agg(case when tx <> '' then tx end, chr(10) || chr(10) order by turn), '') as text from t group by doc"""
 
 # --- outcomes -------------------------------------------------------------------------------
 
@@ -360,7 +358,7 @@ o as (select *, case when not ok then null when is_file and verdict = 'kept' the
    case when ok and is_file then case when is_pdf then 'pdf' else 'binary' end else 'html' end as content_kind,
    case when ok then ct end as content_type,
    case when ok and not is_file then case format when 'markdown' then markdown when 'html' then html end end as o_text,
-   case when ok and is_file then body_text when ok and format = 'raw' then html end as o_data,
+   case when ok and verdict = 'download' then dl_text when ok and is_file then body_text when ok and format = 'raw' then html end as o_data,
    case when ok and is_file then case mt when 'application/pdf' then '.pdf' when 'image/jpeg' then '.jpg' when 'image/png' then '.png' end
         when format = 'markdown' then '.md' when format = 'html' then '.html' when ok then '.html' else '.bin' end as extension,
    case when verdict = 'page' then {title('raw_title')} end as o_title,
@@ -392,25 +390,22 @@ ORACLES["q_fit_documents"] = f"""with {_LOADER}, {outcome('loads', text=_FIT_TEX
   from o where ok and trim(o_text) <> ''"""
 ORACLES["q_batch_documents"] = f"""with {_LO}, d as (select batch_id, ord, {{'page_content': o_text, 'metadata':
    {{'source': url, 'url': o_final_url, 'title': o_title, 'status_code': o_status, 'content_type': content_type}}}} as doc from o where ok and trim(o_text) <> '')
-  select batch_id, count(*) as n_docs, length(cast(to_json(list(doc order by ord)) as varchar)) as chars from d group by batch_id"""
+  select batch_id, count(*) as n_docs, length(cast(to_json(list(doc order by ord)) as varchar)) as chars,
+    md5(string_agg(md5(doc.page_content) || '|' || doc.metadata.source || '|' || doc.metadata.url, ' ' order by ord)) as digest from d group by batch_id"""
 ORACLES["q_skipped"] = f"""with {_LO} select batch_id, ord, url, case when ok then 'no_text' else kind end as reason from o
   where not (ok and coalesce(trim(o_text) <> '', false))"""
 ORACLES["q_batch_summary"] = f"""with {_OF} select batch_id, count_if(ok) as succeeded, count_if(not ok) as failed,
   cast(max(case when ok then 0 else 1 end) as bigint) as exit_code, not bool_or(ok) as all_failed from o group by batch_id"""
 ORACLES["q_failed_lists"] = f"""with {_OF}, p as (select *, (row_number() over (partition by batch_id order by ord) - 1) // 1000 as piece from o where not ok)
   select batch_id, piece, string_agg(url, ' ' order by ord) as failed_urls from p group by batch_id, piece"""
-ORACLES["q_outcome_rollup"] = f"""with {_OF}, p as (select {host('url')} as host, case when ok then content_kind else kind end as kind,
-  note1 is not null as retried, strlen(coalesce(o_data, o_text, '')) as b from o)
-  select host, kind, retried, count(*) as n, cast(sum(b) as bigint) as bytes, grouping(host, kind, retried) as grouping from p group by rollup (host, kind, retried)"""
+ORACLES["q_outcome_rollup"] = f"""with {_O}, p as (select {host('url')} as host, case when ok then content_kind else kind end as kind,
+  note1 is not null as retried, strlen(coalesce(o_data, o_text, '')) as b, length(o_text) as c from o)
+  select host, kind, retried, count(*) as n, cast(coalesce(sum(c), 0) as bigint) as chars, cast(sum(b) as bigint) as bytes, grouping(host, kind, retried) as grouping from p group by rollup (host, kind, retried)"""
 ORACLES["q_progress"] = f"""with {REQ}, f as (select batch_id, ord, url, {D.FINISHED_SQL} as finished_at from firsts where rn = 1)
   select *, row_number() over (partition by batch_id order by finished_at, ord) as done, count(*) over (partition by batch_id) as total from f"""
-ORACLES["q_page_records"] = f"""with {_OF} select batch_id, ord, url, o_final_url as final_url, o_title as title, ok,
-  cast(o_status as int) as status_code, content_kind, strlen(o_data) as bytes from o"""
-ORACLES["q_log_lines"] = f"""with {_O} select batch_id, ord, case when ok then 'INFO' else 'WARNING' end as level,
-  case when ok then 'fetched: ' || url || ' (HTTP ' || coalesce(cast(o_status as varchar), '-') || ', ' || content_kind || ', ' ||
-    case when o_text is not null then length(o_text) || ' chars' else strlen(coalesce(o_data, '')) || ' bytes' end || ')'
-  else 'error: ' || kind || ': ' || url end as line from o"""
-
+ORACLES["q_page_records"] = f"""with {_O} select batch_id, ord, url, o_final_url as final_url, o_title as title, ok,
+  cast(o_status as int) as status_code, content_kind, content_type, strlen(o_data) as bytes, length(o_text) as chars, md5(o_text) as text_md5,
+  case when not ok then kind end as error_kind, error_detail, concat_ws(',', note1, note2) as note_keys from o"""
 # --- names ----------------------------------------------------------------------------------
 
 
@@ -457,9 +452,12 @@ def manifest(o: str) -> str:
 n0 as (select *, {name} as stem0 from texts),
 n1 as (select *, row_number() over (partition by batch_id, ok, stem0, extension order by ord) as nth from n0),
 n2 as (select *, ord % 130 = 0 as unwritten, stem0 || case when nth > 1 then '-' || nth else '' end || extension as allocated from n1),
+mf0 as (select *, {note_text('note1')} as text1, {note_text('note2')} as text2 from n2),
 mf as (select batch_id, ord, url, ok and not unwritten as ok, case when ok and not unwritten then 'downloads/' || allocated end as path,
   case when ok and not unwritten then strlen(coalesce(o_data, o_text, '')) end as bytes, content_kind, content_type, cast(o_status as int) as status_code,
-  case when unwritten then 'disk full' else message end as error from n2)"""
+  case when ok and unwritten then 'could not be written to downloads/' || allocated || ': disk full' else message end as error,
+  concat_ws(' | ', text1, text2) as notes, case when ok and not unwritten then 'https://files.example/files/t-' || batch_id || '-' || ord end as file_url,
+  text1, text2, ok and unwritten as unwritten from mf0)"""
 
 
 def messages(o: str, lang: str = "en") -> str:
@@ -499,9 +497,71 @@ def note_text(key: str) -> str:
 _NOTES = f"""ns as (select *, {note_text('note1')} as text1, {note_text('note2')} as text2 from texts),
 nt as (select *, 0 as n, text1 as note from ns where text1 is not null
   union all select *, case when text1 is null then 0 else 1 end, text2 from ns where text2 is not null)"""
-ORACLES["q_manifest"] = f"with {manifest(_O)} select * from mf"
-ORACLES["q_download_lines"] = f"""with {manifest(_O)} select batch_id, ord, 0 as n, case when ok then 'saved: ' || url || ' -> ' || path || ' (' || bytes || ' bytes)'
-  when contains(error, url) then 'error: ' || error else 'error: ' || error || ': ' || url end as line from mf"""
+_MF = manifest(_O)
+ORACLES["q_manifest"] = f"with {_MF} select * exclude (text1, text2, unwritten) from mf"
+_ERROR_LINE = "case when contains({e}, url) then 'error: ' || {e} else 'error: ' || {e} || ': ' || url end"
+ORACLES["q_download_lines"] = f"""with {_MF}, ln as (select batch_id, ord, list_filter([
+    'note: ' || url || ': ' || text1, 'note: ' || url || ': ' || text2,
+    case when ok then 'saved: ' || url || ' -> ' || path || ' (' || bytes || ' bytes)' else {_ERROR_LINE.format(e='error')} end,
+    case when ok then 'file: ' || file_url end], lambda x: x is not null) as lines from mf)
+  select batch_id, ord, unnest(range(0, len(lines))) as n, unnest(lines) as line from ln"""
+ORACLES["q_log_lines"] = f"""with {_MF}, ln as (select n2.batch_id, n2.ord, list_filter([
+    case when n2.ok then 'fetched: ' || n2.url || ' (HTTP ' || coalesce(cast(o_status as varchar), '-') || ', ' || n2.content_kind || ', ' ||
+      case when o_text is not null then length(o_text) || ' chars' else strlen(coalesce(o_data, '')) || ' bytes' end || ')'
+    when contains(message, n2.url) then 'error: ' || message else 'error: ' || message || ': ' || n2.url end,
+    'note: ' || n2.url || ': ' || text1, 'note: ' || n2.url || ': ' || text2], lambda x: x is not null) as lines, n2.ok
+  from n2 join mf using (batch_id, ord))
+  select batch_id, ord, unnest(range(0, len(lines))) as n, unnest(list_transform(range(0, len(lines)), lambda i: case when i = 0 and not ok then 'WARNING' else 'INFO' end)) as level,
+    unnest(lines) as line from ln
+  union all select batch_id, ord, 1000000, case when ok then 'INFO' else 'WARNING' end,
+    case when ok then 'saved: ' || url || ' -> ' || path || ' (' || bytes || ' bytes)' else {_ERROR_LINE.format(e='error')} end from mf where ok or unwritten"""
+ORACLES["q_saved_summary"] = f"""with {_MF} select batch_id, count_if(ok) as saved, count_if(not ok) as failed,
+  cast(max(case when ok then 0 else 1 end) as bigint) as exit_code, not bool_or(ok) as none_saved from mf group by batch_id"""
+ORACLES["q_saved_lines"] = f"""with {_MF}, c as (select batch_id, count_if(ok) as s, count_if(not ok) as f from mf group by batch_id)
+  select batch_id, 2 as section, 0 as ord, 0 as n, 'done: 保存 ' || s || ' 件、失敗 ' || f || ' 件' as line from c
+  union all select batch_id, 2, 0, 1, 'error: ' || f || ' 件のどれも保存できません' from c where s = 0
+  union all select batch_id, 3, ord, 0, '  failed: ' || url from mf where not ok"""
+ORACLES["q_unsaved_lists"] = f"""with {_MF}, p as (select *, (row_number() over (partition by batch_id order by ord) - 1) // 1000 as piece from mf where not ok)
+  select batch_id, piece, string_agg(url, ' ' order by ord) as failed_urls from p group by batch_id, piece"""
+ORACLES["q_large_bodies"] = f"""with {_OF} select batch_id, ord, url, ok, strlen(o_data) as bytes, content_type from o where content_kind = 'binary'"""
+ORACLES["q_pdf_documents"] = f"""with {_ALL}, pt as (select url, string_agg('page ' || n || ' of ' || page_id, chr(10) || chr(10) order by n) as pdf_text
+    from (select url, page_id, unnest(range(1, case when page_id % 2 = 0 then 1501 else 21 end)) as n from pages where page_id % 23 = 17) where n % 7 <> 0 group by url)
+  select a.batch_id, a.ord, a.url, case when ch.page_id % 5 = 4 then '.pdf' else '.md' end as extension,
+    case when ch.page_id % 5 <> 4 then md5(pdf_text) end as text_md5, case when ch.page_id % 5 <> 4 then length(pdf_text) end as chars,
+    case when ch.page_id % 5 = 4 then strlen(body_text) end as bytes, case when ch.page_id % 5 = 4 then 'pdf_not_converted' else '' end as note_keys
+  from alls a join ch on ch.url = a.url and verdict = 'kept' and mt = 'application/pdf' left join pt on pt.url = a.url"""
+_FMT = D.FORMAT_SQL.replace("doc_id", "page_id")
+_PIC = ", ".join(f"{sql} as {name}" for name, sql in D.PICTURES_SQL.items())
+ORACLES["q_format_outcomes"] = f"""with {CH}, q as (select page_id as ord, url, {_FMT} as format, {D.TIMEOUT_SQL} as tmo, {_PIC} from pages),
+ x as (select q.ord // 40 as batch_id, q.ord, q.format, q.tmo is not null as unusable, q.pdf, q.screenshot, q.mhtml, ch.* exclude (page_id) from q join ch on ch.url = q.url),
+ y as (select *, case when verdict = 'page' and format = 'pdf' and pdf is null then 'no PDF was captured'
+    when verdict = 'page' and format = 'mhtml' and mhtml is null then 'no MHTML was captured'
+    when verdict = 'page' and format = 'screenshot' and screenshot is null then 'no screenshot was captured'
+    when verdict = 'page' and format = 'screenshot' and screenshot = 'a' then 'the screenshot cannot be read' end as missing,
+    verdict in ('kept', 'download') as is_file from x),
+ z as (select *, not unusable and verdict <> 'failed' and missing is null as ok,
+    case format when 'raw' then null when 'screenshot' then '.png' else '.' || format end as ext from y)
+ select batch_id, ord, ok, case when ok and is_file then case when mt = 'application/pdf' then 'pdf' else 'binary' end else 'html' end as content_kind,
+   case when ok and is_file then case mt when 'application/pdf' then '.pdf' when 'image/jpeg' then '.jpg' else '.png' end
+     when ok then coalesce(ext, '.html') else coalesce(ext, '.bin') end as extension,
+   case when not ok then null when verdict = 'download' then md5(dl_text) when is_file then md5(body_text) when format = 'pdf' then md5(pdf)
+     when format = 'screenshot' then md5(from_base64(screenshot)) when format = 'raw' then md5(html) end as data_md5,
+   case when ok and not is_file and format = 'html' then md5(html) when ok and not is_file and format = 'mhtml' then md5(mhtml) end as text_md5,
+   case when ok then null when unusable or verdict <> 'failed' then 'other' else kind end as error_kind,
+   case when ok then null when unusable then 'timeout_not_positive' when missing is not null then missing
+     when kind in ('http_status', 'blocked') then null else detail end as error_detail from z"""
+ORACLES["q_prechecks"] = """select url, case when page_id % 14 = 7 then 'probe' when page_id % 7 in (3, 4, 5) or page_id % 14 = 6 then 'failed' else 'page' end as verdict,
+  case page_id % 7 when 3 then 'browser_not_installed' when 4 then 'other' when 5 then 'timeout' when 6 then case when page_id % 2 = 0 then 'proxy' end end as kind,
+  page_id % 14 = 6 as refused, case page_id % 7 when 3 then 'Executable doesn''t exist at /x' when 4 then 'net::ERR_PROXY_CONNECTION_FAILED' when 5 then 'net::ERR_TIMED_OUT' end as detail,
+  not (page_id % 7 in (3, 4) or page_id % 14 = 6) as retriable from pages"""
+_OWN = (
+    J.replace("when lower(mitigated) = 'challenge' then 'challenge' end as sign", "when lower(mitigated) = 'challenge' then 'challenge' when ct = 'image/png' then 'own' end as sign")
+    .replace("when sign = 'challenge' then 'challenge' end as sign_detail", "when sign = 'challenge' then 'challenge' when sign = 'own' then ct end as sign_detail")
+    .replace("when sign = 'challenge' and proxy", "when sign in ('challenge', 'own') and proxy")
+    .replace(f"{_KIND} as text_kind", f"case when contains({_LOW}, 'timeout 30000ms') then 'connection_refused' else {_KIND} end as text_kind")
+)
+ORACLES["q_custom_rules"] = f"with {_OWN} select url, attempt, verdict, kind, detail from ver"
+ORACLES["q_unpaired"] = f"with {REQ} select distinct url from firsts where rn = 1 and length(url) % 5 = 0"
 ORACLES["q_payloads"] = f"""with {_O} select batch_id, ord, extension, strlen(coalesce(o_data, o_text, '')) as bytes,
   md5(coalesce(o_data, o_text, '')) as digest from o where ok"""
 ORACLES["q_error_messages"] = f"with {_OF}, {messages('o')} select batch_id, ord, message from texts where not ok"
@@ -516,11 +576,19 @@ ORACLES["q_report_lines"] = f"""with {_OF}, {messages('o')}, {_NOTES}
 ORACLES["q_page_blocks"] = f"""with {_O}, {messages('o')}, {_NOTES},
  hd as (select *, '<!-- page: url=' || url || ' status=' || coalesce(cast(o_status as varchar), '-') || ' -->'
    || coalesce(chr(10) || '<!-- note: ' || text1 || ' -->', '') || coalesce(chr(10) || '<!-- note: ' || text2 || ' -->', '') as head,
-   case when ok and content_kind = 'html' and o_data is not null then 'image/png' when ok and starts_with(mt, 'image/') then mt end as mime from ns)
+   case when ok and starts_with(mt, 'image/') then mt end as mime from ns)
  select batch_id, ord, cast(0 as bigint) as n, 'text' as type, head || case when not ok then chr(10) || 'error: ' || message when o_text is not null then chr(10) || o_text
+   when content_kind = 'html' then chr(10) || o_data
    when mime is null then chr(10) || replace(replace(replace((select template from tpl where key = 'binary'), '{{size}}', cast(strlen(o_data) as varchar)), '{{content_type}}', ct), '{{url}}', url)
    else '' end as text, cast(null as varchar) as mime from hd
  union all select batch_id, ord, 1, 'image', to_base64(encode(o_data)), mime from hd where ok and o_text is null and mime is not null"""
+ORACLES["q_text_helpers"] = """select doc_id, nullif(split_part(text, chr(10), 1), '') as first,
+  md5(case when ends_with(text, chr(10)) then text else text || chr(10) end) as file_md5, doc_id % 6 in (2, 4) as is_text from documents"""
+ORACLES["q_markdown_images"] = """select page_id, '## Pictures ' || page_id || chr(10) || chr(10) || 'before ![A](/i/' || page_id || '.png) after' || chr(10) || chr(10) || '![B c](b.png)end' as markdown,
+  '## Pictures ' || page_id || chr(10) || chr(10) || 'before after' || chr(10) || chr(10) || 'end' as without from pages"""
+ORACLES["q_fit_scored"] = f"""with {blocks()}, pg as (select page_id, bool_or(length(txt) / 60.0 >= 1) as found from bl group by page_id),
+ kept as (select bl.* from bl join pg using (page_id) where not found or length(txt) / 60.0 >= 1), {md('kept', 'page_id', 'm')}
+ select pg.page_id, markdown, case when not found then 'filter_kept_nothing' end as note from pg left join m on m.page_id = pg.page_id"""
 
 # --- settings, languages, artifacts, streams ------------------------------------------------
 
@@ -547,8 +615,9 @@ dv as (select distinct 't' || (event_id - 3) as token from events where event_ty
 ORACLES["q_newest_artifacts"] = f"with {_ART} select * from rg order by seq desc limit 100"
 ORACLES["q_live_artifacts"] = f"""with {_ART} select path, token, seq from rg where token not in (select token from dv)
   and path in (select 'out/' || user_id from events where event_type = 'purchase')"""
-ORACLES["q_stream_intake"] = f"""with b as (select page_id // 10 as batch_id, url, page_id % 9 as c from pages where page_id % 9 in (7, 8))
-  select distinct batch_id, unnest([url, url || '?p=1']) as url from b"""
+ORACLES["q_stream_intake"] = """select page_id as batch_id, unnest([0, 2]) as ord, unnest([url, url || '?p=1']) as url from pages where page_id % 9 in (7, 8)"""
+ORACLES["q_stream_rejects"] = f"""with {_BODIES} select batch_id, cast(null as bigint) as ord, cast(null as varchar) as url_raw, reason from p where reason is not null
+  union all select page_id, 3, 'mailto:x', 'invalid_url' from pages where page_id % 9 in (7, 8)"""
 ORACLES["q_stream_counts"] = """select strftime(time_bucket(interval '5 minutes', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type as kind, count(*) as n
   from events group by all"""
 ORACLES["q_stream_progress"] = "select page_id // 20 as batch_id, count(*) as done, cast(20 as bigint) as total from pages group by all"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,9 @@ from pagequarry.operators import content
 from pagequarry.operators import html as P
 from pagequarry.operators import judge, mainfit, markdown, messages, naming, report
 from pagequarry.plans import derived as D
+from pagequarry.session import shared_folder, written
+from pagequarry.sources import captures as capture_source
 from pagequarry.sources import requests as request_source
-from pagequarry.session import written
 from pagequarry.streaming import intake
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -100,7 +102,7 @@ def timeout_resolution(spark, sf):
 
 @query
 def long_timeout_lines(spark, sf):
-    return report.long_timeout_lines(B.with_options(D.requests(spark, sf)))
+    return report.long_timeout_lines(B.with_options(D.requests(spark, sf)), catalog.texts())
 
 
 def _bodies(pages: DataFrame) -> DataFrame:
@@ -156,7 +158,7 @@ def header_lookup(spark, sf):
 @query
 def body_kept(spark, sf):
     return _headers(spark, sf).selectExpr(
-        "url", "attempt", f"{H.is_success('status')} as success", f"{H.keeps_body('status', 'h')} as kept"
+        "url", "attempt", f"{H.is_success('status')} as success", f"{H.keeps_body('status', 'h', H.KEPT_BODY_BYTES)} as kept"
     )
 
 
@@ -165,7 +167,7 @@ def error_kinds(spark, sf):
     text = "error_text"
     return D.raw_captures(spark, sf).where("error_text is not null").selectExpr(
         "url", "attempt", f"{J.error_kind(text)} as kind", f"{T.summary(text)} as summary",
-        f"{J.is_tls_text(text)} as tls", f"""{J.transport_kind("'connect'", text)} as plain_kind""",
+        f"{J.is_tls_text(text)} as tls", f"""{J.transport_kind(D.ERROR_CLASS_SQL, text)} as plain_kind""",
         f"{J.kind_by_rules(text, rules.error_rule_rows())} as rule_kind",
         f"""{J.connect_status("concat(page_id % 700 + 100, ' ', error_text)")} as connect_status""",
     )
@@ -266,9 +268,13 @@ def fit_documents(spark, sf):
 
 @query
 def batch_documents(spark, sf):
-    """One JSON array per accepted batch (its digest, to keep the comparison small)."""
+    """One JSON array per accepted batch: its length, and the digest of its documents in order."""
     arrays = report.batch_documents(report.documents(_loader_outcomes(spark, sf)))
-    return arrays.select("batch_id", "n_docs", F.length("documents").cast("bigint").alias("chars"))
+    entries = F.from_json("documents", "array<struct<page_content:string,metadata:struct<source:string,url:string>>>")
+    marks = F.transform(entries, lambda d: F.concat_ws("|", F.md5(d["page_content"]), d["metadata"]["source"], d["metadata"]["url"]))
+    return arrays.select(
+        "batch_id", "n_docs", F.length("documents").cast("bigint").alias("chars"), F.md5(F.array_join(marks, " ")).alias("digest")
+    )
 
 
 @query
@@ -290,7 +296,7 @@ def failed_lists(spark, sf):
 
 @query
 def outcome_rollup(spark, sf):
-    return report.rollup(_all_outcomes(spark, sf)).drop("chars")
+    return report.rollup(_all_outcomes(spark, sf, with_markdown=True))
 
 
 @query
@@ -302,13 +308,87 @@ def progress(spark, sf):
 
 @query
 def page_records(spark, sf):
-    records = report.page_records(_all_outcomes(spark, sf), notes=False)
-    return records.select("batch_id", "ord", "url", "final_url", "title", "ok", "status_code", "content_kind", "bytes")
+    records = report.page_records(_all_outcomes(spark, sf, with_markdown=True))
+    return records.select(
+        "batch_id", "ord", "url", "final_url", "title", "ok", "status_code", "content_kind", "content_type", "bytes", "chars",
+        F.md5("text").alias("text_md5"), F.col("error.kind").alias("error_kind"), F.col("error.detail").alias("error_detail"),
+        F.array_join(F.transform("notes", lambda n: n["key"]), ",").alias("note_keys"),
+    )
 
 
 @query
 def log_lines(spark, sf):
-    return report.log_lines(_all_outcomes(spark, sf, with_markdown=True))
+    """What was fetched or failed, notes, and what was saved."""
+    rows = written(_all_outcomes(spark, sf, with_markdown=True), "outcomes")
+    lines = report.log_lines(rows, catalog.texts(), _records(spark, sf, rows))
+    return lines.select("batch_id", "ord", F.col("n").cast("bigint").alias("n"), "level", "line")
+
+
+@query
+def large_bodies(spark, sf):
+    """Files of any length: a stored body is used, whatever its length header says."""
+    rows = _all_outcomes(spark, sf).where("content_kind = 'binary'")
+    return rows.select("batch_id", "ord", "url", "ok", F.octet_length("data").cast("bigint").alias("bytes"), "content_type")
+
+
+@query
+def pdf_documents(spark, sf):
+    """PDF files as Markdown, from tables with hundreds of page texts each."""
+    pages = spark.sql(D.PDF_PAGES_SQL.replace("from pages", "from {p}"), p=D.pages(spark, sf))
+    requests = written(B.with_options(_first(spark, sf)).withColumn("format", F.lit("markdown")), "requests")
+    rows = judge.outcomes(requests, D.captures(spark, sf), rules.media_types(spark), pdf_pages=report.pdf_texts(pages, error="error"))
+    return rows.where("content_kind = 'pdf'").select(
+        "batch_id", "ord", "url", "extension", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("chars"),
+        F.octet_length("data").cast("bigint").alias("bytes"), F.array_join(F.transform("notes", lambda n: n["key"]), ",").alias("note_keys"),
+    )
+
+
+def _format_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of pages asked for as pictures, PDF and archives, some missing or damaged."""
+    pages = D.pages(spark, sf)
+    requests = pages.selectExpr(
+        "cast(floor(page_id / 40) as bigint) as batch_id", "page_id as ord", "url", f"{D.FORMAT_SQL.replace('doc_id', 'page_id')} as format",
+        f"cast({D.TIMEOUT_SQL} as double) as timeout_s",
+    )
+    shots = pages.selectExpr("url", *[f"{sql} as {name}" for name, sql in D.PICTURES_SQL.items()])
+    captures = D.captures(spark, sf).drop("pdf", "screenshot", "mhtml").join(shots, "url").withColumn("pdf", F.encode("pdf", "UTF-8"))
+    return judge.outcomes(
+        written(B.with_options(requests), "requests"), capture_source.normalise(captures), rules.media_types(spark)
+    )
+
+
+@query
+def format_outcomes(spark, sf):
+    return _format_rows(spark, sf).select(
+        "batch_id", "ord", "ok", "content_kind", "extension", F.md5("data").alias("data_md5"), F.md5("text").alias("text_md5"),
+        F.col("error.kind").alias("error_kind"), F.col("error.detail").alias("error_detail"),
+    )
+
+
+@query
+def prechecks(spark, sf):
+    """Decisions before and beside the browser: probes, start failures, raised errors."""
+    rows = spark.sql(D.PRECHECK_SQL.replace("from pages", "from {p}"), p=D.pages(spark, sf))
+    made = capture_source.normalise(rows.withColumn("probe_body", F.encode("probe_text", "UTF-8")).drop("probe_text"))
+    return judge.verdict(made).select("url", "verdict", "kind", "refused", "detail", "retriable")
+
+
+@query
+def custom_rules(spark, sf):
+    """Verdicts with a proxy product, a challenge and an error text of the job's own."""
+    signs = replace(
+        rules.SIGNS, challenges=(*rules.SIGNS.challenges, ("Content-Type", "image/png")),
+        proxy_titles=(*rules.SIGNS.proxy_titles, "Gateway down"), proxy_headers=(*rules.SIGNS.proxy_headers, "x-own-proxy"),
+    )
+    rows = judge.verdict(D.captures(spark, sf), signs, [(0, "timeout 30000ms", "connection_refused")])
+    return rows.select("url", "attempt", "verdict", "kind", "detail")
+
+
+@query
+def unpaired(spark, sf):
+    """Requested URLs that nothing was captured for."""
+    seen = D.captures(spark, sf).where(F.length("url") % 5 != 0)
+    return judge.unpaired(_first(spark, sf), seen)
 
 
 # --- names and files ----------------------------------------------------------------------
@@ -359,24 +439,46 @@ def contested_names(spark, sf):
     return naming.allocate(pages)
 
 
-def _manifest(spark: SparkSession, sf: str) -> DataFrame:
-    rows = written(_all_outcomes(spark, sf, with_markdown=True), "outcomes")
-    named = naming.allocate(naming.names(rows))
-    failed = messages.with_error_text(rows.where("not ok"), catalog.frame(spark), rules.http_status(spark))
+def _records(spark: SparkSession, sf: str, rows: DataFrame, lang: str = "en") -> DataFrame:
+    """Download records; some files could not be written, and tokens come from the caller."""
+    named = naming.named_records(rows).withColumn("token", F.expr(D.TOKEN_SQL))
     write_errors = _first(spark, sf).where(F.col("ord") % 130 == 0).select(
         "batch_id", "ord", F.lit("disk full").alias("reason")
     )
-    return report.manifest(named, failed, "downloads", write_errors, "https://files.example")
+    return report.manifest(named, catalog.texts(lang), "downloads", write_errors, "https://files.example", "token")
+
+
+def _manifest(spark: SparkSession, sf: str, lang: str = "en") -> DataFrame:
+    return _records(spark, sf, _all_outcomes(spark, sf, with_markdown=True), lang)
 
 
 @query
 def manifest(spark, sf):
-    return _manifest(spark, sf).drop("file_url")
+    return _manifest(spark, sf).withColumn("notes", F.array_join("notes", " | ")).drop("unwritten")
 
 
 @query
 def download_lines(spark, sf):
-    return report.download_lines(_manifest(spark, sf).withColumn("file_url", F.lit(None).cast("string")))
+    lines = report.download_lines(_manifest(spark, sf), catalog.texts())
+    return lines.select("batch_id", "ord", F.col("n").cast("bigint").alias("n"), "line")
+
+
+@query
+def saved_summary(spark, sf):
+    """Saved and failed files per batch; a failed write is a failure."""
+    return report.saved_summary(_manifest(spark, sf))
+
+
+@query
+def saved_lines(spark, sf):
+    lines = report.saved_lines(_manifest(spark, sf, "ja"), catalog.texts("ja")).where("section > 1")
+    return lines.select("batch_id", "section", "ord", F.col("n").cast("bigint").alias("n"), "line")
+
+
+@query
+def unsaved_lists(spark, sf):
+    """URLs without a file, write failures included."""
+    return report.failed_lists(_manifest(spark, sf)).select("batch_id", "piece", F.array_join("failed_urls", " ").alias("failed_urls"))
 
 
 @query
@@ -430,50 +532,67 @@ def citation_numbers(spark, sf):
 
 @query
 def markdown_full(spark, sf):
-    return markdown.render(P.blocks(D.pages(spark, sf)))
+    return markdown.render(D.pages(spark, sf))
 
 
 @query
 def markdown_no_links(spark, sf):
-    return markdown.render(P.blocks(D.pages(spark, sf)), links=False, images=False)
+    return markdown.render(D.pages(spark, sf), links=False, images=False)
+
+
+@query
+def markdown_images(spark, sf):
+    """Pages with pictures, with and without them."""
+    rows = D.pages(spark, sf).withColumn("html", F.expr(D.IMAGES_SQL))
+    plain = markdown.render(rows, images=False).withColumnRenamed("markdown", "without")
+    return markdown.render(rows).join(plain, "page_id")
 
 
 @query
 def cited_markdown(spark, sf):
-    text = markdown.render(P.blocks(D.pages(spark, sf), keep=("url",)), ("page_id", "url"))
+    text = markdown.render(D.pages(spark, sf), ("page_id", "url"))
     return markdown.cite(text.withColumnRenamed("url", "base"))
 
 
-@query
-def repeated_blocks(spark, sf):
-    return mainfit.repeated_blocks(P.blocks(D.pages(spark, sf), keep=("url",)))
+def _blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages with their blocks, which counting and marking both read."""
+    pages = P.with_blocks(D.pages(spark, sf)).select("page_id", "url", "blocks")
+    return written(pages.where(F.size("blocks") > 0), "blocks")
 
 
-def _fit(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return mainfit.fit(mainfit.mark_repeated(_blocks(spark, sf)))
+@query
+def repeated_blocks(spark, sf):
+    return mainfit.repeated_blocks(P.with_blocks(D.pages(spark, sf)))
 
 
-def _blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """The block table of the site, which counting, marking and rendering all read."""
-    return written(P.blocks(D.pages(spark, sf), keep=("url",)), "blocks")
+def _fit(spark: SparkSession, sf: str, **options) -> DataFrame:
+    fitted = mainfit.fit(mainfit.mark_repeated(_blocks(spark, sf)), **options)
+    return markdown.with_markdown(fitted)
 
 
 @query
 def fit(spark, sf):
     """Markdown of the main content."""
-    return markdown.render(_fit(spark, sf)[0])
+    return _fit(spark, sf).where("markdown is not null").select("page_id", "markdown")
+
+
+@query
+def fit_scored(spark, sf):
+    """Main content by a score of the caller: the length of a block."""
+    rows = _fit(spark, sf, score=lambda b: F.length(b["txt"]) / 60.0, keep=1.0)
+    return rows.select("page_id", "markdown", F.get("md_notes", 0)["key"].alias("note"))
 
 
 @query
 def fit_notes(spark, sf):
-    return _fit(spark, sf)[1].select("page_id", F.get("md_notes", 0)["key"].alias("note"))
+    return _fit(spark, sf).select("page_id", F.get("md_notes", 0)["key"].alias("note"))
 
 
 @query
 def fit_cited(spark, sf):
     """Main content with citations, numbered on what was kept."""
-    text = markdown.render(_fit(spark, sf)[0], ("page_id", "url"))
-    return markdown.cite(text.withColumnRenamed("url", "base"))
+    rows = _fit(spark, sf).where("markdown is not null").select("page_id", F.col("url").alias("base"), "markdown")
+    return markdown.cite(rows)
 
 
 @query
@@ -488,8 +607,7 @@ def page_text(spark, sf):
 
 
 def _messages(spark: SparkSession, sf: str, lang: str) -> DataFrame:
-    rows = _all_outcomes(spark, sf).where("not ok")
-    return messages.with_error_text(rows, catalog.frame(spark), rules.http_status(spark), lang)
+    return messages.with_error_text(_all_outcomes(spark, sf).where("not ok"), catalog.texts(lang))
 
 
 @query
@@ -504,7 +622,7 @@ def error_messages_ja(spark, sf):
 
 @query
 def note_lines(spark, sf):
-    rows = report.note_lines(_all_outcomes(spark, sf), catalog.frame(spark), rules.http_status(spark))
+    rows = report.note_lines(_all_outcomes(spark, sf), catalog.texts())
     return rows.select("batch_id", "ord", F.col("n").cast("bigint").alias("n"), "line")
 
 
@@ -512,19 +630,27 @@ def note_lines(spark, sf):
 def report_lines(spark, sf):
     valid = _valid(spark, sf)
     outcome_rows = written(_all_outcomes(spark, sf), "outcomes")
-    rows = report.report_lines(
-        outcome_rows, B.first_seen(valid)[1], catalog.frame(spark), rules.http_status(spark)
-    )
+    rows = report.report_lines(outcome_rows, B.first_seen(valid)[1], catalog.texts())
     return rows.select("batch_id", "section", "ord", "line")
 
 
 @query
 def page_blocks(spark, sf):
-    outcome_rows = written(_all_outcomes(spark, sf, with_markdown=True), "outcomes")
-    rows = report.page_blocks(outcome_rows, catalog.frame(spark), rules.http_status(spark))
+    sizes = B.gate(D.requests(spark, sf), strict=False)
+    rows = report.page_blocks(_all_outcomes(spark, sf, with_markdown=True), sizes, catalog.texts())
     return rows.select("batch_id", "ord", F.col("n").cast("bigint").alias("n"), "type", "text", "mime")
 
 
+@query
+def text_helpers(spark, sf):
+    """First lines, final newlines, and which formats give text."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    return df.selectExpr(
+        "doc_id", f"{T.first_line('text')} as first", f"md5({T.one_newline('text')}) as file_md5",
+        f"{J.is_text_format(D.FORMAT_SQL)} as is_text",
+    )
+
+
 @query
 def languages(spark, sf):
     """Message language from an explicit choice, a setting and locale variables."""
@@ -613,21 +739,26 @@ _PAGES = "page_id bigint, url string, html string"
 _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def _stream_bodies(spark: SparkSession, sf: str) -> DataFrame:
+    stream = intake.read_files(spark, sf, _PAGES, "pages.parquet")
+    return stream.select(F.col("page_id").alias("batch_id"), F.expr(D.BODY_SQL).alias("body"))
+
+
 @query
 def stream_intake(spark, sf):
-    stream = intake.read_files(spark, sf, _PAGES, "pages.parquet")
-    bodies = stream.select(
-        F.floor(F.col("page_id") / 10).cast("bigint").alias("batch_id"), F.expr(D.BODY_SQL).alias("body"),
-        F.timestamp_seconds(F.col("page_id") + 1_700_000_000).alias("received_at"),
-    )
-    return intake.run_append(spark, intake.intake(bodies).select("batch_id", "url"), "stream-intake")
+    return intake.run_append(spark, intake.intake(_stream_bodies(spark, sf)), shared_folder(spark, "stream-intake"))
+
+
+@query
+def stream_rejects(spark, sf):
+    return intake.run_append(spark, intake.rejects(_stream_bodies(spark, sf)), shared_folder(spark, "stream-rejects"))
 
 
 @query
 def stream_counts(spark, sf):
     stream = intake.read_files(spark, sf, _EVENTS, "events.parquet")
     counted = intake.counts(stream, F.col("event_type"), F.col("ts"))
-    out = intake.run_update(spark, counted, ["window_start", "kind"], "stream-counts")
+    out = intake.run_sums(spark, counted, ["window_start", "kind"], shared_folder(spark, "stream-counts"))
     return out.withColumn("window_start", F.col("window_start").cast("string"))
 
 
@@ -635,10 +766,15 @@ def stream_counts(spark, sf):
 def stream_progress(spark, sf):
     stream = intake.read_files(spark, sf, _PAGES, "pages.parquet")
     finished = stream.select(F.floor(F.col("page_id") / 20).cast("bigint").alias("batch_id"), F.lit(20).cast("bigint").alias("total"))
-    return intake.run_update(spark, intake.progress(finished), ["batch_id"], "stream-progress")
+    out = intake.run_sums(spark, finished, ["batch_id"], shared_folder(spark, "stream-progress"), ("total",))
+    return out.withColumnRenamed("n", "done")
 
 
 @query
 def stream_retention(spark, sf):
-    stream = _registrations(intake.read_files(spark, sf, _EVENTS, "events.parquet"))
-    return intake.retention(spark, stream, lambda: _deliveries(_events(spark, sf)), "stream-retention", n=500)
+    events = intake.read_files(spark, sf, _EVENTS, "events.parquet")
+    sent = _deliveries(events).where((F.col("method") == "GET") & ~F.col("ranged") & F.col("complete"))
+    stream = _registrations(events).withColumn("delivered", F.lit(False)).unionByName(
+        sent.select("token", F.lit(True).alias("delivered")), allowMissingColumns=True
+    )
+    return intake.retention(spark, stream, shared_folder(spark, "stream-retention"), n=500)

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own_folders: set[str] = set()
+
+
 def local_session(name: str = "pagequarry", cores: str = "8", memory: str = "8g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     return (
@@ -29,7 +34,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder name under the cluster's shared checkpoint directory.
 
     The directory is what ``spark.checkpoint.dir`` says. Only a local session without that
-    setting gets a temporary folder of this machine.
+    setting gets a temporary folder of this machine, which goes with the process.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -41,6 +46,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         root = os.path.join(tempfile.gettempdir(), f"pagequarry-{os.getpid()}")
+        if root not in _own_folders:
+            _own_folders.add(root)
+            atexit.register(shutil.rmtree, root, ignore_errors=True)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -28,19 +28,3 @@ def normalise(df: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     return normalise(spark.read.format(fmt).load(path))
-
-
-def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Saved files as ``(path, length, body)``; the file name is not interpreted."""
-    return (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select("path", "length", F.col("content").alias("body"))
-    )
-
-
-def write_bucketed(df: DataFrame, table: str, buckets: int) -> None:
-    """Store captures bucketed by URL, so later joins and windows on the URL do not shuffle."""
-    normalise(df).write.mode("overwrite").bucketBy(buckets, "url").sortBy("url", "attempt").saveAsTable(table)

@@ -8,15 +8,6 @@ from pyspark.sql import functions as F
 from pagequarry.operators import report
 
 
-def write_documents(docs: DataFrame, path: str) -> None:
-    """One JSON document per line; order is kept by ``batch_id`` and ``ord`` in the rows."""
-    docs.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-
-
-def write_pages(outcomes: DataFrame, path: str) -> None:
-    report.page_records(outcomes).write.mode("overwrite").parquet(path)
-
-
 def write_payloads(named: DataFrame, path: str) -> None:
     """Payloads as rows ``(batch_id, name, payload)``, one folder per extension.
 
@@ -32,10 +23,6 @@ def write_payloads(named: DataFrame, path: str) -> None:
     ).parquet(path)
 
 
-def write_manifest(manifest: DataFrame, path: str) -> None:
-    manifest.write.mode("overwrite").parquet(path)
-
-
 def write_lines(lines: DataFrame, path: str) -> None:
     """Report lines as text files, sorted by a range shuffle, never in one task."""
     lines.orderBy("batch_id", "section", "ord", "n").select("line").write.mode("overwrite").text(path)

@@ -1,4 +1,10 @@
-"""Continuous versions: request intake, outcome counts, progress and artifact retention."""
+"""Continuous versions: request intake, outcome counts, progress and artifact retention.
+
+None of these keeps state between micro-batches in memory or drops a late row: what a call holds
+is settled inside its row, sums are written per micro-batch and added up when read, and the only
+table that is carried on is bounded. Every runner takes the folder to work in; called again with
+the same folder it goes on where it stopped.
+"""
 
 from __future__ import annotations
 
@@ -9,9 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagequarry.functions import rules, urls
+from pagequarry.functions.inline import let
 from pagequarry.functions.text import strip
-from pagequarry.operators import artifacts as A
-from pagequarry.session import shared_folder
 from pagequarry.sources.requests import parse_bodies
 
 
@@ -25,41 +30,44 @@ def read_files(spark: SparkSession, folder: str, schema: str, pattern: str, fmt:
     )
 
 
-def intake(bodies: DataFrame, at: str = "received_at", late: str = "10 minutes") -> DataFrame:
-    """Valid request rows of a stream ``(batch_id, body, received_at)``, once per batch and URL.
+def _listed(bodies: DataFrame) -> DataFrame:
+    """URLs of accepted bodies with their place: ``(batch_id, ord, url_raw, url, valid, first)``.
 
-    The watermark bounds the state: a repeat is recognised within ``late`` of the first.
+    ``first`` is false for a URL the same body has named before. A call is one body, so it is
+    settled inside the row: no state, and nothing is too late.
     """
     parsed = parse_bodies(bodies).where(F.col("reason").isNull())
-    rows = parsed.select("batch_id", at, F.explode("urls").alias("url_raw"))
-    valid = rows.selectExpr("batch_id", at, f"{strip('url_raw')} as url").where(urls.is_web_url("url"))
-    return valid.withWatermark(at, late).dropDuplicatesWithinWatermark(["batch_id", "url"])
+    rows = f"transform(urls, (_ur, _or) -> struct({strip('_ur')} as url, cast(_or as bigint) as ord, _ur as url_raw))"
+    # Equal URLs lie together, in order, once sorted.
+    marked = "transform(_so, (_en, _ix) -> struct(_en.url as url, _en.ord as ord, _en.url_raw as url_raw, " \
+        "_ix = 0 or _so[greatest(_ix - 1, 0)].url <> _en.url as first))"
+    exploded = parsed.selectExpr("batch_id", f"inline({let(f'array_sort({rows})', '_so', marked)})")
+    return exploded.selectExpr("*", f"{urls.is_web_url('url')} as valid")
 
 
-def rejects(bodies: DataFrame) -> DataFrame:
-    """Rejected bodies of the same stream, with the reason; no state."""
-    return parse_bodies(bodies).where(F.col("reason").isNotNull()).drop("urls")
+def intake(bodies: DataFrame) -> DataFrame:
+    """Valid request rows ``(batch_id, ord, url)`` of a stream ``(batch_id, body)``, once per body and URL."""
+    return _listed(bodies).where("valid and first").select("batch_id", "ord", "url")
 
 
-def counts(rows: DataFrame, kind: Column, at: Column, width: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """Running counts per kind and tumbling window."""
-    return (
-        rows.select(kind.alias("kind"), at.cast("timestamp").alias("_at"))
-        .withWatermark("_at", late)
-        .groupBy(F.window("_at", width).alias("w"), "kind")
-        .agg(F.count("*").alias("n"))
-        .select(F.col("w.start").alias("window_start"), "kind", "n")
+def rejects(bodies: DataFrame) -> DataFrame:
+    """What the intake does not take, ``(batch_id, ord, url_raw, reason)``: bodies (without place) and invalid URLs."""
+    none = F.lit(None)
+    whole = parse_bodies(bodies).where(F.col("reason").isNotNull()).select(
+        "batch_id", none.cast("bigint").alias("ord"), none.cast("string").alias("url_raw"), "reason"
     )
+    single = _listed(bodies).where("not valid").select("batch_id", "ord", "url_raw", F.lit("invalid_url").alias("reason"))
+    return whole.unionByName(single)
 
 
-def progress(finished: DataFrame) -> DataFrame:
-    """Done-of-total per batch from a stream ``(batch_id, total)`` of finished requests."""
-    return finished.groupBy("batch_id").agg(F.count("*").alias("done"), F.max("total").alias("total"))
+def counts(rows: DataFrame, kind: Column, at: Column, width: str = "5 minutes") -> DataFrame:
+    """Rows to be counted per kind and tumbling window, for :func:`run_sums`."""
+    window = F.window(at.cast("timestamp"), width)
+    return rows.select(window["start"].alias("window_start"), kind.alias("kind"))
 
 
-def run_append(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFrame:
-    """Process what is there, append to a table in the shared folder, and read it back."""
-    folder = shared_folder(spark, purpose)
+def run_append(spark: SparkSession, stream: DataFrame, folder: str) -> DataFrame:
+    """Process what is new, append to a table in ``folder``, and read the table back."""
     query = (
         stream.writeStream.format("parquet")
         .option("checkpointLocation", f"{folder}/checkpoint")
@@ -72,65 +80,59 @@ def run_append(spark: SparkSession, stream: DataFrame, purpose: str) -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{folder}/table")
 
 
-def run_update(spark: SparkSession, stream: DataFrame, keys: list[str], purpose: str) -> DataFrame:
-    """Process what is there in update mode; the newest row of each key is the result.
+def run_sums(spark: SparkSession, stream: DataFrame, keys: list[str], folder: str, largest: tuple[str, ...] = ()) -> DataFrame:
+    """Count the rows of a stream per key: ``(keys, n, largest)``; ``largest`` columns are maxima.
 
-    Every micro-batch overwrites a folder named after it, so a repeated one changes nothing.
+    A micro-batch writes its own counts to a folder named after it, so a repeated one changes
+    nothing and no row can come too late; they are added up when read.
     """
-    folder = shared_folder(spark, purpose)
-
     def write(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/table/epoch={epoch}")
+        sums = batch.groupBy(*keys).agg(F.count("*").alias("n"), *(F.max(c).alias(c) for c in largest))
+        sums.write.mode("overwrite").parquet(f"{folder}/table/epoch={epoch}")
 
-    _run_each(stream, write, folder, "update")
-    rest = [c for c in stream.columns if c not in keys]
-    return (
-        spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())]))
-        .parquet(f"{folder}/table")
-        .groupBy(*keys)
-        .agg(F.max_by(F.struct(*rest), "epoch").alias("_v"))
-        .select(*keys, "_v.*")
-    )
+    _run_each(stream, write, folder)
+    fields = [*(stream.schema[k] for k in keys), T.StructField("n", T.LongType()), *(stream.schema[c] for c in largest)]
+    parts = spark.read.schema(T.StructType([*fields, T.StructField("epoch", T.LongType())])).parquet(f"{folder}/table")
+    return parts.groupBy(*keys).agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in largest))
 
 
 def retention(
-    spark: SparkSession,
-    registrations: DataFrame,
-    deliveries: Callable[[], DataFrame],
-    purpose: str,
-    n: int = rules.KEPT_ARTIFACTS,
-    keep: bool = False,
+    spark: SparkSession, stream: DataFrame, folder: str, n: int = rules.KEPT_ARTIFACTS, keep: bool = False
 ) -> DataFrame:
-    """Live artifacts after a stream of registrations and the deliveries known so far.
+    """Live artifacts after a stream of registrations and deliveries.
 
-    Each micro-batch reads the table the one before wrote (at most ``n`` rows), adds its
-    registrations, drops delivered tokens, keeps the newest and writes its own version.
+    ``stream`` holds ``(token, path, seq)`` for a registration and ``(token, delivered)`` with
+    ``delivered`` true for a complete delivery. Each micro-batch reads the table the one before
+    wrote (at most ``n`` rows), adds what is new, and writes its own version; nothing old is
+    read again. The capacity applies to what was registered; a delivery then ends a token.
     """
-    folder = shared_folder(spark, purpose)
+    columns = ("token", "path", "seq", "delivered")
 
     def step(batch: DataFrame, epoch: int) -> None:
-        table = batch
+        known = batch.where("seq is not null").select(*columns[:3], F.lit(False).alias("delivered"))
         if epoch > 0:
-            table = batch.unionByName(
-                spark.read.schema(batch.schema).parquet(f"{folder}/table/version={epoch - 1}")
-            )
-        # The capacity applies to what was registered; a delivery then ends a token.
-        A.live(A.newest(table, n), deliveries(), keep).write.mode("overwrite").parquet(
-            f"{folder}/table/version={epoch}"
-        )
+            known = known.unionByName(spark.read.schema(known.schema).parquet(f"{folder}/table/version={epoch - 1}"))
+        newest = known.orderBy(F.desc("seq")).limit(n)
+        sent = batch.where("delivered").select("token").distinct().withColumn("_sent", F.lit(not keep))
+        out = newest.join(sent, "token", "left").withColumn("delivered", F.col("delivered") | F.coalesce("_sent", F.lit(False)))
+        out.select(*columns).write.mode("overwrite").parquet(f"{folder}/table/version={epoch}")
 
-    last = _run_each(registrations, step, folder, "append")
-    return spark.read.schema(registrations.schema).parquet(f"{folder}/table/version={last}")
+    last = _run_each(stream, step, folder)
+    schema = "token string, path string, seq bigint, delivered boolean"
+    return spark.read.schema(schema).parquet(f"{folder}/table/version={last}").where("not delivered").drop("delivered")
 
 
-def _run_each(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str, mode: str) -> int:
+def _run_each(stream: DataFrame, write: Callable[[DataFrame, int], None], folder: str) -> int:
+    """Run to the end of what is there; the number of the last micro-batch, of this run or an earlier one."""
     query = (
         stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", f"{folder}/checkpoint")
-        .outputMode(mode)
+        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
     progress_ = query.lastProgress
-    return int(progress_["batchId"]) if progress_ else 0
+    batch = int(progress_["batchId"]) if progress_ else 0
+    # A run that finds nothing new reports the number its next micro-batch would have.
+    return batch if not progress_ or progress_["numInputRows"] else max(batch - 1, 0)
