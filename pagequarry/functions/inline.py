@@ -16,13 +16,10 @@ MD_LINK = r"(!?)\[([^\[\]]*)\]\(([^()\s]*)\)"
 ANCHOR_OPEN, ANCHOR_CLOSE = r"(?i)<a\b", r"(?i)</a\s*+>"
 
 
-def attribute(tag: str, name: str) -> str:
-    """Value of an attribute in a tag: quoted either way or bare; null when missing."""
-    return null_if_empty(
-        "concat("
-        + ", ".join(extract(tag, rf"(?i)\s{name}\s*=\s*{value}") for value in ('"([^"]*)"', "'([^']*)'", r"([^\s\"'>]+)"))
-        + ")"
-    )
+def attribute(tag: str, name: str, bare: bool = True) -> str:
+    """Value of an attribute in a tag, quoted either way or (with ``bare``) unquoted; null when missing."""
+    values = ['"([^"]*)"', "'([^']*)'", *([r"([^\s\"'>]+)"] if bare else [])]
+    return null_if_empty("concat(" + ", ".join(extract(tag, rf"(?i)\s{name}\s*=\s*{value}") for value in values) + ")")
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -84,18 +81,18 @@ def _marked(text: str, names: str, mark: str) -> str:
 def markdown_text(piece: str, links: bool = True, images: bool = True) -> str:
     """Markdown of a piece without block tags.
 
-    Links and images with a target become Markdown; an anchor that is never closed keeps only
+    Links and images with a quoted target become Markdown; an anchor that is never closed keeps only
     its text. ``links=False`` keeps anchor texts, ``images=False`` drops images.
     """
     md = piece
     if images:
         tag = "concat('<img', substring_index(_im, '>', 1), '>')"
-        shown = f"concat('![', coalesce({attribute('_it', 'alt')}, ''), '](', {attribute('_it', 'src')}, ')')"
+        shown = f"concat('![', coalesce({attribute('_it', 'alt', bare=False)}, ''), '](', {attribute('_it', 'src', bare=False)}, ')')"
         md = _rewritten(md, r"(?i)<img\b", "_im", let(tag, "_it", f"concat(coalesce({shown}, ''), {after_tag('_im')})"))
     if links:
         tag = "concat('<a', substring_index(_lk, '>', 1), '>')"
         cut = f"split({after_tag('_lk')}, {lit(ANCHOR_CLOSE)}, 2)"
-        shown = f"if(size(_lp) = 2, concat('[', _lp[0], '](', {attribute(tag, 'href')}, ')', _lp[1]), null)"
+        shown = f"if(size(_lp) = 2, concat('[', _lp[0], '](', {attribute(tag, 'href', bare=False)}, ')', _lp[1]), null)"
         md = _rewritten(md, ANCHOR_OPEN, "_lk", let(cut, "_lp", f"coalesce({shown}, concat('<a', _lk))"))
     md = _marked(md, "b|strong", "**")
     md = _marked(md, "i|em", "_")
