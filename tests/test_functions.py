@@ -147,7 +147,7 @@ def test_kept_bodies(spark):
         (200, png), (200, png | {"content-length": str(rules.SCAN_LENGTH * 1024)}), (200, png | {"content-length": "67108865"}),
         (200, png | {"content-length": "many"}), (404, png), (200, {"content-type": "text/html"}), (200, {}), (None, png),
     ]
-    got = values(spark, rows, "s int, h map<string,string>", H.keeps_body("s", "h"))
+    got = values(spark, rows, "s int, h map<string,string>", H.keeps_body("s", "h", H.KEPT_BODY_BYTES))
     assert got == [True, True, False, False, False, False, False, False]
 
 

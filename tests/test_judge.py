@@ -1,13 +1,14 @@
 """Hand-made captures through the whole decision."""
 
 import base64
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from pagequarry import schemas
 from pagequarry.functions import catalog, rules
-from pagequarry.operators import judge, messages, report
+from pagequarry.operators import batches, judge, messages, naming, report
 from pagequarry.sources import captures as source
 
 PROXY = "http://u:p@proxy.example:1"
@@ -140,9 +141,8 @@ def test_messages_quote_errors_in_one_language(spark):
     captures = frame(spark, rows)
     requests = spark.createDataFrame([(1, 0, "http://h/", "html", 9.0)], "batch_id long, ord long, url string, format string, timeout double")
     out = judge.outcomes(requests, captures, rules.media_types(spark))
-    dims = catalog.frame(spark), rules.http_status(spark)
-    assert report.error_lines(out, *dims).first().line == "error: the server answered 999: http://h/"
-    note = messages.note_rows(out, *dims, "ja").first().note
+    assert report.error_lines(out, catalog.texts()).first().line == "error: the server answered 999: http://h/"
+    note = messages.note_rows(out, catalog.texts("ja")).first().note
     assert "安全な接続" in note and "net::ERR_SSL_X" in note
 
 
@@ -152,3 +152,66 @@ def test_requests_without_capture_are_reported(spark):
     assert [r.url for r in judge.unpaired(requests, captures).collect()] == ["b"]
     out = {r.url: r for r in judge.outcomes(requests, captures, rules.media_types(spark)).collect()}
     assert not out["b"].captured and out["b"].error.detail == "no capture for this URL"
+
+
+def test_a_stored_body_is_used_whatever_its_length_header_says(spark):
+    lengths = ("99999999", "x", None)
+    rows = [capture(f"u{i}", first_status=200, headers={"content-type": "image/png"} | ({"content-length": n} if n else {}), html="", body=b"png") for i, n in enumerate(lengths)]
+    assert [bytes(r.data) for r in run(spark, rows).values()] == [b"png"] * 3
+
+
+def test_a_damaged_screenshot_is_one_failed_row(spark):
+    rows = [capture(u, html="x", first_status=200, screenshot=s) for u, s in (("bad", "a"), ("good", base64.b64encode(b"png").decode()))]
+    out = run(spark, rows, "screenshot")
+    assert (out["bad"].ok, out["bad"].error.detail, bytes(out["good"].data)) == (False, "the screenshot cannot be read", b"png")
+
+
+def test_a_timeout_that_cannot_be_is_an_error(spark):
+    requests = spark.createDataFrame([(1, 0, "u", "html", -1.0), (1, 1, "u", "html", None)], "batch_id long, ord long, url string, format string, timeout_s double")
+    rows = [capture("u", proxy=PROXY, error_text="net::ERR_SSL_X"), capture("u", 2, html="x", first_status=200)]
+    out = {r.ord: r for r in judge.outcomes(batches.with_options(requests), frame(spark, rows), rules.media_types(spark)).collect()}
+    assert (out[0].ok, out[0].error.kind, out[0].error.detail, out[0].notes) == (False, "other", "timeout_not_positive", [])
+    assert out[1].ok and out[1].notes[0].key == "retried_direct"
+
+
+def test_repeated_pdf_texts_give_one_outcome(spark):
+    rows = [capture("t", probe_status=200, probe_type="application/pdf", probe_body=b"p")]
+    pages = spark.createDataFrame([("t", "text", None)] * 3, "url string, pdf_text string, pdf_error string")
+    captures = frame(spark, rows)
+    requests = spark.createDataFrame([(1, 0, "t", "markdown", 9.0)], "batch_id long, ord long, url string, format string, timeout double")
+    assert judge.outcomes(requests, captures, rules.media_types(spark), pdf_pages=pages).count() == 1
+
+
+def test_rules_of_the_job(spark):
+    signs = replace(rules.SIGNS, proxy_headers=(*rules.SIGNS.proxy_headers, "X-Own"), challenges=(("x-guard", "Prove"),), denial_codes=("NO_ENTRY",))
+    rows = [
+        capture("own", proxy=PROXY, html="x", first_status=200, headers={"x-own": "GATE 7"}),
+        capture("denied", proxy=PROXY, html="x", first_status=200, headers={"x-own": "NO_ENTRY 7"}),
+        capture("guard", proxy=PROXY, html="x", first_status=200, headers={"X-Guard": " prove "}),
+        capture("text", error_text="The moon is in the way"),
+    ]
+    got = {r.url: (r.verdict, r.kind) for r in judge.verdict(frame(spark, rows), signs, [(1, "MOON", "timeout")]).collect()}
+    assert got == {"own": ("failed", "proxy"), "denied": ("page", None), "guard": ("failed", "blocked"), "text": ("failed", "timeout")}
+
+
+def test_write_failures_count_and_are_told(spark):
+    rows = [capture(f"http://h/{i}", html="x", first_status=200 if i < 3 else 404) for i in range(4)]
+    captures = frame(spark, rows)
+    requests = spark.createDataFrame([(b, i, f"http://h/{i}", "html", 9.0) for b in (1, 2) for i in range(4)], "batch_id long, ord long, url string, format string, timeout double")
+    out = judge.outcomes(requests, captures, rules.media_types(spark))
+    broken = spark.createDataFrame([(1, 0, "full"), (2, 0, "full"), (2, 1, "full"), (2, 2, "full")], "batch_id long, ord long, reason string")
+    named = naming.named_records(out).withColumn("token", F.concat(F.lit("t"), "ord"))
+    records = report.manifest(named, catalog.texts(), "d", broken, "https://f", "token").cache()
+    assert {r.batch_id: (r.saved, r.failed, r.exit_code, r.none_saved) for r in report.saved_summary(records).collect()} == {1: (2, 2, 1, False), 2: (0, 4, 1, True)}
+    assert {r.batch_id: r.failed_urls for r in report.failed_lists(records).collect()}[1] == ["http://h/0", "http://h/3"]
+    lines = [r.line for r in report.saved_lines(records, catalog.texts()).orderBy("batch_id", "section", "ord", "n").collect()]
+    assert "error: could not be written to d/h_0.html: full: http://h/0" in lines and "file: https://f/files/t1" in lines
+    assert "done: 0 saved, 4 not" in lines and "error: none of 4 could be saved" in lines
+    logged = [(r.level, r.line) for r in report.log_lines(out, catalog.texts(), records).where("batch_id = 1").orderBy("ord", "n").collect()]
+    assert ("INFO", "saved: http://h/1 -> d/h_1.html (1 bytes)") in logged and ("WARNING", "error: the server answered 404 (Not Found): http://h/3") in logged
+
+
+def test_failed_lists_go_on_in_pieces(spark):
+    rows = spark.range(25).select(F.lit(1).alias("batch_id"), F.col("id").alias("ord"), F.concat(F.lit("u"), "id").alias("url"), F.lit(False).alias("ok"))
+    got = report.failed_lists(rows, piece=10).orderBy("piece").collect()
+    assert [x for r in got for x in r.failed_urls] == [f"u{i}" for i in range(25)] and len(got) == 3

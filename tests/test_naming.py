@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,42 +7,41 @@ from pyspark.sql import functions as F
 from pagequarry.operators import naming, skew
 
 
-def replay(names):
-    """The same job, one name after the other."""
-    used, out = set(), []
-    for name in names:
-        cut = name.rfind(".")
-        stem, suffix = (name[:cut], name[cut:]) if cut > 0 and cut < len(name) - 1 else (name, "")
-        got, n = name, 1
-        while got in used:
-            n += 1
-            got = f"{stem}-{n}{suffix}"
-        used.add(got)
-        out.append(got)
-    return out
-
-
-def test_numbered_names_match_a_sequential_replay(spark):
-    rnd = random.Random(5)
-    pool = ["a.md", "a-2.md", "a-3.md", "a-2-2.md", "a-02.md", "a-1.md", "b", "b-2", "a-2-3.md", "A.md", ".x", ".x-2", "a-5.md", "a-2-2-2.md"]
-    batches = [[rnd.choice(pool[: rnd.randint(2, len(pool))]) for _ in range(rnd.randint(1, 25))] for _ in range(300)]
-    batches.append(["a.md", "a.md", "a-2.md", "a.md"])
-    rows = [(b, o, n) for b, names in enumerate(batches) for o, n in enumerate(names)]
+def check(asked, given):
+    """What names of a batch must satisfy, from the names given to the requests before."""
+    assert len(set(given)) == len(given)
+    for i, (name, got) in enumerate(zip(asked, given, strict=True)):
+        before = set(given[:i])
+        if name not in before:
+            assert got == name  # a free name goes to the first that asks for it
+            continue
+        front, suffix = re.fullmatch(r"(?s)(.+?)(\.[^.]+)?", name).groups("") if "." in name[1:] else (name, "")
+        number = int(re.fullmatch(re.escape(front) + r"-(\d+)" + re.escape(suffix), got)[1])
+        assert number >= 2 and all(f"{front}-{k}{suffix}" in before for k in range(2, number))
+
+
+def test_numbers_are_the_lowest_free_ones(spark):
+    rnd = random.Random(11)
+    # Names that are numbered forms of each other, at several depths, with and without suffix.
+    stems = ["page", "page-2", "page-3", "page-2-2", "page-02", "page-1", ".dot", ".dot-2"]
+    names = [s + e for s in stems for e in ("", ".txt")] + ["page-2-3.txt", "page-7.txt", "Page.txt", "page-2-2-2"]
+    batches = [rnd.choices(names[: rnd.randint(2, len(names))], k=rnd.randint(1, 24)) for _ in range(300)]
+    batches += [["n", "n", "n-2", "n"], ["n-2", "n", "n", "n-2", "n"]]
+    rows = [(b, o, n) for b, asked in enumerate(batches) for o, n in enumerate(asked)]
     df = spark.createDataFrame(rows, "batch_id long, ord long, name string").repartition(7)
     got = {(r.batch_id, r.ord): r.allocated for r in naming.allocate(df).collect()}
     assert len(got) == len(rows)
-    for b, names in enumerate(batches):
-        assert [got[b, o] for o in range(len(names))] == replay(names), names
+    for b, asked in enumerate(batches):
+        check(asked, [got[b, o] for o in range(len(asked))])
 
 
 @pytest.mark.parametrize("width", [3, 1000])
 def test_frequent_names_are_numbered_in_pieces(spark, monkeypatch, width):
     monkeypatch.setattr(skew, "RANGE", width)
     monkeypatch.setattr(skew, "HOT_ROWS", 10)
-    rows = [(1, i, "p.md" if i % 3 else "p-4.md") for i in range(120)]
+    rows = [(1, i, "q.txt" if i % 4 else "q-5.txt") for i in range(100)]
     df = spark.createDataFrame(rows, "batch_id long, ord long, name string")
-    got = [r.allocated for r in naming.allocate(df).orderBy("ord").collect()]
-    assert got == replay([r[2] for r in rows])
+    check([r[2] for r in rows], [r.allocated for r in naming.allocate(df).orderBy("ord").collect()])
 
 
 def test_positions_with_levels(spark, monkeypatch):
@@ -72,3 +72,13 @@ def test_lookup_spreads_hot_keys_without_loss(spark, monkeypatch):
     assert out.count() == 100 and out.where("v is null").count() == 1
     parts = skew.salt(left, skew.hot_keys(left, ["k"]), ["k"], ["id"]).where("k = 'hot'").select("_part").distinct().count()
     assert parts > 1
+
+
+def test_more_frequent_keys_than_can_be_spread(spark, monkeypatch):
+    monkeypatch.setattr(skew, "HOT_ROWS", 3)
+    # 1500 keys over the floor, one of them with a third of all rows.
+    df = spark.range(1500 * 5 + 4000).select(F.when(F.col("id") < 7500, F.col("id") % 1500).otherwise(-1).alias("k"))
+    hot = {r.k: r._parts for r in skew.hot_keys(df, ["k"]).collect()}
+    assert hot.keys() == {-1} and hot[-1] > 300  # no other has a 1024th of the rows
+    few = {r.k for r in skew.hot_keys(df.where("k < 20"), ["k"]).collect()}
+    assert few == {-1, *range(20)}

@@ -10,7 +10,7 @@ LIGHT = (
     "valid_urls rejected_urls first_seen_urls duplicate_urls batch_gate invalid_lists request_bodies header_lookup "
     "body_kept error_kinds interference final_response verdicts fallback progress file_names extensions "
     "allocated_names titles tokens blocks resolved_links citation_numbers markdown_full fit_notes page_text languages "
-    "origins proxy_check live_artifacts stream_intake stream_counts stream_progress stream_retention documents"
+    "origins proxy_check live_artifacts stream_intake stream_counts stream_progress stream_retention stream_rejects documents markdown_images fit_scored text_helpers format_outcomes prechecks custom_rules unpaired"
 ).split()
 
 
@@ -20,5 +20,7 @@ def test_query(spark, name):
     assert compare(spark, connect(FOLDER), key, entry.queries()[key], entry.oracle_sql()[key], FOLDER) is None
 
 
-def test_every_oracle_has_a_query():
+def test_every_query_of_the_library_has_an_oracle():
+    own = {name for name in entry.queries() if name.startswith("q_")}
+    assert own == {name for name in entry.oracle_sql() if name.startswith("q_")}
     assert set(entry.oracle_sql()) <= set(entry.queries())

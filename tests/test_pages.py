@@ -1,3 +1,6 @@
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
 from pagequarry.operators import html, mainfit, markdown, report, skew
@@ -19,12 +22,12 @@ def pages(spark, *texts):
 
 def test_markdown_of_nested_and_unclosed_tags(spark):
     blocks = html.blocks(pages(spark, PAGE))
-    (row,) = markdown.render(blocks).collect()
+    (row,) = markdown.render(pages(spark, PAGE)).collect()
     assert row.markdown == (
         "- [Home](/home)\n\n## Head & _more_\n\nA **bold** [link](b) and bare, none and ![pic](i.png).  \nSecond\n"
         "- one\n  - inner\n- two\n1. first\n\n> said\n\nopen end\n\nfoot"
     )
-    (plain,) = markdown.render(blocks, links=False, images=False).collect()
+    (plain,) = markdown.render(pages(spark, PAGE), links=False, images=False).collect()
     assert "](" not in plain.markdown and "A **bold** link and bare" in plain.markdown
     kinds = {r.txt: (r.container, r.list_depth, r.ordered) for r in blocks.collect()}
     assert kinds["Home"] == ("nav", 1, False) and kinds["inner"] == ("main", 2, False) and kinds["first"] == ("main", 1, True)
@@ -55,27 +58,58 @@ def test_fit_keeps_the_article(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 2)
     body = "<nav><a href=a>menu</a></nav><article><p>{}</article><div><p>Subscribe to the letter of this site, it is free</div><footer>all rights</footer>"
     table = pages(spark, *[body.format(f"A long enough paragraph number {i} with many words in it.") for i in range(4)], "<nav>only menu</nav>")
-    blocks = html.blocks(table, keep=("url",))
-    kept, notes = mainfit.fit(mainfit.mark_repeated(blocks))
-    got = {r.page_id: r.markdown for r in markdown.render(kept).collect()}
-    assert got[0] == "A long enough paragraph number 0 with many words in it." and got[4] == "only menu"
-    assert {r.page_id: [n.key for n in r.md_notes] for r in notes.collect()} == {0: [], 1: [], 2: [], 3: [], 4: ["filter_kept_nothing"]}
+    blocks = html.with_blocks(table).drop("html")
+    fitted = markdown.with_markdown(mainfit.fit(mainfit.mark_repeated(blocks)))
+    got = {r.page_id: r for r in fitted.collect()}
+    assert got[0].markdown == "A long enough paragraph number 0 with many words in it." and got[4].markdown == "only menu"
+    assert {i: [n.key for n in r.md_notes] for i, r in got.items()} == {0: [], 1: [], 2: [], 3: [], 4: ["filter_kept_nothing"]}
     exact = {(r.host, r.digest): r.pages for r in mainfit.repeated_blocks(blocks).collect()}
     about = {(r.host, r.digest): r.pages for r in mainfit.repeated_blocks(blocks, approximate=True).collect()}
     assert exact == about and max(exact.values()) == 4
 
 
 def test_a_score_of_the_user(spark):
-    blocks = html.blocks(pages(spark, "<p>yes</p><p>no</p>", "<p>yes</p><p>broken</p>"))
-    score = F.when(F.col("txt") == "yes", 1.0).when(F.col("txt") == "no", 0.0)
-    kept, notes = mainfit.fit(blocks, score=score)
-    assert sorted((r.page_id, r.txt) for r in kept.collect()) == [(0, "yes"), (1, "broken"), (1, "yes")]
-    assert {r.page_id: [n.key for n in r.md_notes] for r in notes.collect()} == {0: [], 1: ["filter_failed"]}
+    table = html.with_blocks(pages(spark, "<p>yes</p><p>no</p>", "<p>yes</p><p>broken</p>"))
+    fitted = mainfit.fit(table, score=lambda b: F.when(b["txt"] == "yes", 1.0).when(b["txt"] == "no", 0.0))
+    rows = {r.page_id: r for r in fitted.collect()}
+    assert {i: [b.txt for b in r.blocks] for i, r in rows.items()} == {0: ["yes"], 1: ["yes", "broken"]}
+    assert {i: [n.key for n in r.md_notes] for i, r in rows.items()} == {0: [], 1: ["filter_failed"]}
+
+
+@pytest.mark.parametrize("unit", ["<a>", "<title>", "<p ", "<title <body id=", "<img ", "<b>", "<!", "</a", "<ul>"])
+def test_hostile_pages_cost_in_proportion(spark, unit):
+    def seconds(n):
+        table = pages(spark, unit * n).cache()
+        table.count()
+        start = time.perf_counter()
+        html.tokens(table).count()
+        html.links(table).count()
+        html.titles(table).collect()
+        html.blocks(table).select(F.max("txt"), F.sum("link_chars")).collect()
+        return time.perf_counter() - start
+
+    seconds(100)
+    # Eight times the page: far from the sixty-four times of a quadratic search.
+    assert seconds(16_000) < 24 * max(seconds(2_000), 0.5)
+
+
+def test_deep_nesting_over_many_segments(spark):
+    text = "<ul>" * 1500 + "<li>deep" + "</ul>" * 1490 + "<li>up" + "</ul>" * 20 + "<ol><li>last</ol><p>out"
+    got = {r.txt: (r.list_depth, r.ordered) for r in html.blocks(pages(spark, text)).collect()}
+    assert got == {"deep": (1500, False), "up": (10, False), "last": (1, True), "out": (0, False)}
 
 
 def test_page_texts(spark):
     df = spark.createDataFrame([(1, 2, " b "), (1, 1, "a"), (1, 3, " "), (2, 1, ""), (2, 2, None)], "doc long, page_no long, text string")
-    assert sorted(tuple(r) for r in report.page_text(df).collect()) == [(1, 0, "a\n\nb"), (2, 0, "")]
+    assert sorted(tuple(r) for r in report.page_text(df).collect()) == [(1, "a\n\nb"), (2, "")]
+
+
+def test_a_pdf_of_many_pages_is_one_row(spark):
+    pages_ = spark.range(1500).select(F.lit("u").alias("url"), F.col("id").alias("page_no"), F.concat(F.lit("p"), "id").alias("text"), F.lit(None).cast("string").alias("error"))
+    (row,) = report.pdf_texts(pages_, error="error").collect()
+    assert row.pdf_text.split("\n\n") == [f"p{i}" for i in range(1500)] and row.pdf_error is None
+    (bad,) = report.pdf_texts(pages_.withColumn("error", F.lit("damaged")), error="error").collect()
+    assert (bad.pdf_text, bad.pdf_error) == (None, "damaged")
 
 
 def test_payload_folders_are_replaced_one_by_one(spark, tmp_path):
