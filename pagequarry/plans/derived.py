@@ -179,17 +179,17 @@ FORWARDED_SQL = """case page_id % 5
   when 1 then '{"host":"only.example"}'
   when 2 then '{"X-Forwarded-Host":" , x","Host":"h.example"}'
   when 3 then '{"X-Forwarded-Proto":"https"}'
-  else concat('{"HOST":"h', page_id, '.example"}') end"""
+  else concat('{"HOST":"', split_part(url, '/', 3), '"}') end"""
 
 PROXY_SQL = """case page_id % 9
-  when 0 then concat('http://user:pw@proxy.example:', 8000 + page_id) when 1 then 'proxy.example:3128'
+  when 0 then concat('http://user:', length(url), '@', split_part(url, '/', 3), ':', 8000 + page_id) when 1 then 'proxy.example:3128'
   when 2 then 'SOCKS5://u@127.0.0.1:1080' when 3 then 'ftp://proxy.example:21'
   when 4 then 'http://:8080' when 5 then 'http://a:b@proxy.example:99999'
-  when 6 then concat('https://proxy', page_id, '.example') when 7 then ' a:b@c:d@proxy.example:1/x?y=z '
+  when 6 then concat('https://proxy', page_id, '.', split_part(url, '/', 3)) when 7 then ' a:b@c:d@proxy.example:1/x?y=z '
   else concat('https://p.example:', page_id % 70000, '/path#f') end"""
 
-DIRECTORY_SQL = """case page_id % 8 when 0 then '' when 1 then 'a/b' when 2 then '/abs' when 3 then '../x'
-  when 4 then 'a/../b' when 5 then 'a/../../b' when 6 then './a//..' else concat('d', page_id, '/../../..') end"""
+DIRECTORY_SQL = """case page_id % 8 when 0 then '' when 1 then concat('a/', split_part(url, '/', 4)) when 2 then '/abs' when 3 then '../x'
+  when 4 then 'a/../b' when 5 then 'a/../../b' when 6 then './a//..' else concat(split_part(url, '/', 3), '/../../..') end"""
 
 FORMAT_SQL = """case doc_id % 6 when 0 then 'pdf' when 1 then 'screenshot' when 2 then 'mhtml' when 3 then 'raw'
   when 4 then 'html' else 'screenshot' end"""

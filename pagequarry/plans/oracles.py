@@ -598,7 +598,7 @@ ORACLES["q_languages"] = f"""with d as (select doc_id, {_LOC} from documents),
  f as (select *, case when code in ('en', 'ja') then code end as loc from e)
  select doc_id, loc as from_locale, coalesce(case when explicit in ('en', 'ja') then explicit end, setting, loc, 'en') as language from f"""
 ORACLES["q_origins"] = """select page_id, case page_id % 5 when 0 then 'https://a.example' when 1 then 'http://only.example'
-  when 2 then 'http://h.example' when 3 then null else 'http://h' || page_id || '.example' end as origin from pages"""
+  when 2 then 'http://h.example' when 3 then null else 'http://' || split_part(url, '/', 3) end as origin from pages"""
 ORACLES["q_redacted"] = f"""with p as (select page_id, {D.PROXY_SQL} as proxy from pages)
   select page_id, regexp_replace(proxy, '^([a-zA-Z][a-zA-Z0-9+.\\-]*://)?[^/\\s]+@', '\\1***@') as shown, starts_with(lower(proxy), 'socks5:') as socks from p"""
 ORACLES["q_proxy_check"] = f"""with p as (select page_id, trim({D.PROXY_SQL}) as t from pages),
