@@ -16,6 +16,7 @@ from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -74,14 +75,6 @@ class Model:
     unseen: np.ndarray  # of a trigram no language has
     scripts: dict[str, np.ndarray]  # script -> which languages use it
 
-    def word(self, word: str) -> np.ndarray:
-        """The score of each language: 0 for the best, down to ``-WORST``; 0 for all if none uses the script."""
-        uses = self.scripts.get(script(word))
-        if uses is None or not word[0].isalpha():
-            return np.zeros(len(self.languages), np.float32)
-        total = sum(self.scores.get(g, self.unseen) for g in trigrams(word))
-        return np.where(uses, np.maximum(total - total[uses].max(), -WORST), -WORST).astype(np.float32)
-
 
 def train(labelled: DataFrame, sample: int = SAMPLE, grams: int = GRAMS, lang: str = "lang", text: str = "text") -> Model:
     """Learn from ``(lang, text)``; rows where either is null teach nothing.
@@ -186,8 +179,13 @@ def viterbi(scores: np.ndarray, sizes: np.ndarray, switch: float) -> np.ndarray:
 
 
 class Labeller:
+    """Labels texts, remembering the scores of the words it has met."""
+
     def __init__(self, model: Model, switch: float):
         self.model, self.switch = model, switch
+        self.rows = {gram: i for i, gram in enumerate(model.scores)}
+        self.table = np.array([*model.scores.values(), model.unseen]).reshape(len(model.scores) + 1, len(model.languages))
+        self.nowhere = np.zeros(len(model.languages), bool)
         self.forget()
 
     def forget(self) -> None:
@@ -201,12 +199,27 @@ class Labeller:
         return np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
 
     def learn(self) -> None:
-        new = list(self.known)[len(self.scores) :]
+        new = list(islice(self.known, len(self.scores), None))
         if new:
-            self.scores = np.concatenate([self.scores, np.array([self.model.word(w) for w in new])])
+            self.scores = np.concatenate([self.scores, self.score(new)])
             letters = [len(w) if any(map(str.isalpha, w)) else 0 for w in new]
             self.letters = np.concatenate([self.letters, np.array(letters, np.int64)])
 
+    def score(self, words: list[str]) -> np.ndarray:
+        """The score of each language for each word: 0 for the best, down to ``-WORST``.
+
+        0 for all if no language uses the script of the word.
+        """
+        unseen, get = len(self.rows), self.rows.get
+        grams = [get(gram, unseen) for word in words for gram in trigrams(word)]
+        starts = np.cumsum([0, *map(len, words)])[:-1]  # a word has as many trigrams as letters
+        totals = np.add.reduceat(self.table[grams], starts)
+        uses = np.array([self.model.scripts.get(script(w), self.nowhere) if w[0].isalpha() else self.nowhere for w in words])
+        best = np.where(uses, totals, -np.inf).max(1, initial=-np.inf, keepdims=True)
+        known = uses.any(1)[:, None]
+        kept = np.where(uses, np.maximum(totals - np.where(known, best, 0), -WORST), -WORST)
+        return np.where(known, kept, 0).astype(np.float32)
+
     def label(self, numbers: list[np.ndarray]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
         """Of each text: its language, a score, and the spans ``(first word, end, language)``."""
         self.learn()
