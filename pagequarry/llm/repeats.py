@@ -269,11 +269,13 @@ def _ranked(shape: Shape, size: int):
             yield _found(rows, ends, shape, size, part, False, np.where(alone[ends], [0, 1], [2, 3]))
             return
         # Ranks with several outer strings, or that may go on beyond the partition, are not
-        # settled: one row of each outer string stays.
+        # settled: one place of each outer string stays, with all its rows.
         run_of = np.cumsum(new_inner) - 1
         several = np.bincount(run_of, new_outer) > 1
         several[[0, -1]] = True
-        yield _found(rows, np.nonzero(new_outer & several[run_of])[0], shape, size, part, False)
+        moves = np.cumsum(moved)
+        first_place = moves == moves[begin][np.cumsum(new_outer) - 1]
+        yield _found(rows, np.nonzero(first_place & several[run_of])[0], shape, size, part, False)
 
     return run
 

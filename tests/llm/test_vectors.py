@@ -17,7 +17,7 @@ def clustered(n, seed, dims=16):
     centers = rng.normal(size=(6, dims))
     kind = rng.integers(0, 9, n)
     noise = rng.normal(size=(n, dims))
-    vectors = np.where((kind < 6)[:, None], centers[np.minimum(kind, 5)] + 0.33 * noise, 2 * noise).astype(np.float32)
+    vectors = np.where((kind < 6)[:, None], centers[np.minimum(kind, 5)] + 0.25 * noise, 2 * noise).astype(np.float32)
     return vectors, rng.integers(0, 3, n)
 
 
