@@ -34,7 +34,8 @@ def after_tag(piece: str) -> str:
 
 def plain_text(piece: str) -> str:
     """Text of a piece of HTML: tags out, entities decoded, white space collapsed."""
-    return collapse(let(replace_all(piece, TAG, " "), "_pt", decode_entities("_pt")))
+    bare = f"if(contains({piece}, '<'), {replace_all(piece, TAG, ' ')}, {piece})"
+    return collapse(let(bare, "_pt", decode_entities("_pt")))
 
 
 def element_text(html: str, name: str) -> str:

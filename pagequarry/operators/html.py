@@ -48,7 +48,7 @@ def tokens(pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "ht
     ``tag`` is null for text. No shuffle: a page is taken apart where it is read.
     """
     rows = pages.selectExpr(
-        *keys, f"posexplode(regexp_extract_all({without_hidden(html)}, {lit(TOKEN)}, 0)) as (pos, tok)"
+        *keys, f"posexplode_outer(regexp_extract_all({without_hidden(html)}, {lit(TOKEN)}, 0)) as (pos, tok)"
     )
     is_tag = matches("tok", r"^</?[A-Za-z]")
     return rows.where(f"{is_tag} or {strip('tok')} <> ''").selectExpr(
@@ -96,7 +96,12 @@ def with_blocks(pages: DataFrame, html: str = "html", name: str = "blocks") -> D
         + ", _ac -> _ac.seen)"
     )
     state = f"substr(_sa[cast(_p div {_CHUNK} as int)], cast(_p % {_CHUNK} as int) * {9 * _WIDTH} + 1, {9 * _WIDTH})"
-    container = "case " + " ".join(f"when {_depth('_st', i)} > 0 then {lit(c)}" for i, c in enumerate(CONTAINERS)) + " else 'body' end"
+    is_open = "substr(_st, {} * {} + 1, {}) <> " + lit("0" * _WIDTH)
+    container = (
+        f"case when startswith(_st, {lit('0' * _WIDTH * len(CONTAINERS))}) then 'body' "
+        + " ".join(f"when {is_open.format(i, _WIDTH, _WIDTH)} then {lit(c)}" for i, c in enumerate(CONTAINERS))
+        + " end"
+    )
     is_ad = f"contains(_u.open_tag, ' ') and not _u.closing and coalesce({matches(f'lower({attribute("_u.open_tag", "class")})', AD_CLASS)}, false)"
     has_image = matches("_b.inner", r"(?i)<img\b")
     steps = (
@@ -143,7 +148,10 @@ def blocks(
     pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html", keep: Sequence[str] = ()
 ) -> DataFrame:
     """Blocks with text: ``(keys, pos, tag, container, list_depth, ordered, inner, txt, link_chars)``."""
-    return with_blocks(pages, html, "_blocks").selectExpr(*keys, *keep, "inline(_blocks)")
+    # An inner explode would make the optimizer compute the blocks a second time, to filter by
+    # their number; so would a filter on any other computed column.
+    rows = with_blocks(pages, html, "_blocks").selectExpr(*keys, *keep, "inline_outer(_blocks)")
+    return rows.where("pos is not null")
 
 
 def links(
@@ -151,7 +159,7 @@ def links(
 ) -> DataFrame:
     """Links in page order: ``(keys, pos, href, anchor, resolved)``. No shuffle."""
     # Anchors are a small part of a page; only they are carried beyond this point.
-    rows = pages.selectExpr(*keys, f"{base} as _base", f"posexplode({anchors(without_hidden(html))}) as (pos, _a)")
+    rows = pages.selectExpr(*keys, f"{base} as _base", f"posexplode_outer({anchors(without_hidden(html))}) as (pos, _a)")
     found = rows.selectExpr(
         *keys, "pos", "_base", f"{attribute('_a.tag', 'href')} as href", f"{plain_text('_a.inner')} as anchor"
     ).where("href is not null")

@@ -19,7 +19,8 @@ KEEP_SCORE = 0.5
 def _digests(pages: DataFrame, keys: Sequence[str], blocks: str) -> DataFrame:
     """Each distinct block text of a page: ``(keys, host, digest)``. Texts stay where they are."""
     own = F.array_distinct(F.transform(blocks, lambda b: F.md5(b["txt"])))
-    return pages.select(*keys, F.expr(urls.host("url")).alias("host"), F.explode(own).alias("digest"))
+    rows = pages.select(*keys, F.expr(urls.host("url")).alias("host"), F.explode_outer(own).alias("digest"))
+    return rows.where("digest is not null")
 
 
 def repeated_blocks(pages: DataFrame, blocks: str = "blocks", approximate: bool = False) -> DataFrame:

@@ -10,20 +10,18 @@ from pyspark.sql import Window as W
 
 from pagequarry.functions import urls
 from pagequarry.functions.inline import MD_LINK, markdown_text
-from pagequarry.functions.text import lit
+from pagequarry.functions.text import keep_if, lit
 from pagequarry.operators import html as pages_html
 
 
-def with_markdown(
-    df: DataFrame, blocks: str = "blocks", name: str = "markdown", links: bool = True, images: bool = True
-) -> DataFrame:
-    """Add the Markdown of a column of blocks; null without any text. Lines are never wrapped.
+def _with_lines(df: DataFrame, blocks: str, links: bool, images: bool) -> DataFrame:
+    """Add ``_lines``: the Markdown of each block with what stands before it.
 
     List items and line breaks stay close to the block before, other blocks do not.
     """
     bodies = (
         f"transform(filter({blocks}, _b -> _b.container <> 'head'), _b -> struct(_b.tag as tag, _b.list_depth as list_depth, "
-        f"_b.ordered as ordered, {markdown_text('_b.inner', links, images)} as body))"
+        f"_b.ordered as ordered, if(contains(_b.inner, '<'), {markdown_text('_b.inner', links, images)}, _b.txt) as body))"
     )
     lines = """transform(filter(_bodies, _l -> _l.body <> ''), _l -> concat(
         case _l.tag when 'li' then '\\n' when 'br' then '  \\n' else '\\n\\n' end,
@@ -31,20 +29,31 @@ def with_markdown(
             when _l.tag = 'li' then concat(repeat('  ', greatest(_l.list_depth - 1, 0)), if(_l.ordered, '1. ', '- '), _l.body)
             when _l.tag = 'blockquote' then concat('> ', _l.body)
             else _l.body end))"""
-    return (
-        df.withColumn("_bodies", F.expr(bodies))
-        .withColumn("_lines", F.expr(lines))
-        .withColumn(name, F.expr("if(size(_lines) > 0, regexp_replace(array_join(_lines, ''), '^\\\\s+', ''), null)"))
-        .drop("_bodies", "_lines")
-    )
+    return df.withColumn("_bodies", F.expr(bodies)).withColumn("_lines", F.expr(lines)).drop("_bodies")
+
+
+_JOINED = "if(size(_lines) > 0, regexp_replace(array_join(_lines, ''), '^\\\\s+', ''), null)"
+
+
+def with_markdown(
+    df: DataFrame, blocks: str = "blocks", name: str = "markdown", links: bool = True, images: bool = True
+) -> DataFrame:
+    """Add the Markdown of a column of blocks; null without any text. Lines are never wrapped."""
+    return _with_lines(df, blocks, links, images).withColumn(name, F.expr(_JOINED)).drop("_lines")
+
+
+def rendered(
+    df: DataFrame, keep: Sequence[str], blocks: str = "blocks", links: bool = True, images: bool = True
+) -> DataFrame:
+    """``(keep, markdown)`` of the rows whose blocks have any text."""
+    return _with_lines(df, blocks, links, images).selectExpr(*keep, keep_if(_JOINED, "markdown", "_v is not null"))
 
 
 def render(
     pages: DataFrame, keys: Sequence[str] = ("page_id",), html: str = "html", links: bool = True, images: bool = True
 ) -> DataFrame:
     """One Markdown text per page that has any: ``(keys, markdown)``."""
-    made = with_markdown(pages_html.with_blocks(pages, html, "_blocks"), "_blocks", "markdown", links, images)
-    return made.where("markdown is not null").select(*keys, "markdown")
+    return rendered(pages_html.with_blocks(pages, html, "_blocks"), keys, "_blocks", links, images)
 
 
 def numbers(links: DataFrame, keys: Sequence[str] = ("page_id",)) -> DataFrame:

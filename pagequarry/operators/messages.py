@@ -75,7 +75,8 @@ def note_rows(
 ) -> DataFrame:
     """One row per note with its text: ``(keep, n, key, note)``."""
     both = f"zip_with(notes, {note_texts(texts)}, (_nz, _tz) -> struct(_nz.key as key, _tz as note))"
-    return outcomes.selectExpr(*keep, f"posexplode({both}) as (n, _z)").select(*keep, "n", "_z.key", "_z.note")
+    rows = outcomes.selectExpr(*keep, f"posexplode_outer({both}) as (n, _z)").where("n is not null")
+    return rows.select(*keep, "n", "_z.key", "_z.note")
 
 
 def locale_language(columns: dict[str, str]) -> str:

@@ -148,7 +148,7 @@ def saved_lines(records: DataFrame, texts: Mapping[str, str]) -> DataFrame:
         + f"concat('{DONE_PREFIX}', " + messages.message(texts, "summary_saved", succeeded="string(saved)", failed="string(failed)") + "), "
         + f"if(none_saved, concat('{ERROR_PREFIX}', " + messages.message(texts, "none_saved", failed="string(failed)") + "), null)), _l -> _l is not null)"
     ))
-    done = counts.select("batch_id", F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("ord"), F.posexplode("lines").alias("n", "line"))
+    done = counts.select("batch_id", F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("ord"), F.posexplode_outer("lines").alias("n", "line"))
     failed = records.where("not ok").select(
         "batch_id", F.lit(3).alias("section"), "ord", F.lit(0).alias("n"), F.concat(F.lit(FAILED_PREFIX), "url").alias("line")
     )
@@ -254,7 +254,7 @@ def download_lines(records: DataFrame, texts: Mapping[str, str]) -> DataFrame:
         F.col("ok"),
         F.filter(F.array(saved, F.concat(F.lit(FILE_PREFIX), F.col("file_url"))), lambda x: x.isNotNull()),
     ).otherwise(F.array(F.concat(F.lit(ERROR_PREFIX), with_url(failure, F.col("url")))))
-    return records.select("batch_id", "ord", F.posexplode(F.concat(notes, lines)).alias("n", "line"))
+    return records.select("batch_id", "ord", F.posexplode_outer(F.concat(notes, lines)).alias("n", "line"))
 
 
 def with_url(message: Column, url: Column) -> Column:
@@ -281,7 +281,7 @@ def log_lines(outcomes: DataFrame, texts: Mapping[str, str], records: DataFrame
         F.expr(messages.note_texts(texts)), lambda x: _logged("INFO", F.concat(F.lit(NOTE_PREFIX), "url", F.lit(": "), x))
     )
     first = F.when(F.col("ok"), _logged("INFO", fetched)).otherwise(_logged("WARNING", failed))
-    lines = outcomes.select("batch_id", "ord", F.posexplode(F.concat(F.array(first), notes)).alias("n", "_l"))
+    lines = outcomes.select("batch_id", "ord", F.posexplode_outer(F.concat(F.array(first), notes)).alias("n", "_l"))
     if records is not None:
         saved = F.concat(F.lit(SAVED_PREFIX), F.expr(messages.message(texts, "saved", url="url", path="path", size="string(bytes)")))
         unsaved = F.concat(F.lit(ERROR_PREFIX), with_url(F.col("error"), F.col("url")))
@@ -348,7 +348,7 @@ def page_blocks(outcomes: DataFrame, sizes: DataFrame, texts: Mapping[str, str])
         )
         .otherwise(text_with_head(message))
     )
-    return rows.select("batch_id", "ord", F.posexplode(made).alias("n", "_b")).select("batch_id", "ord", "n", "_b.*")
+    return rows.select("batch_id", "ord", F.posexplode_outer(made).alias("n", "_b")).select("batch_id", "ord", "n", "_b.*")
 
 
 def long_timeout_lines(

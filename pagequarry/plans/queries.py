@@ -556,8 +556,8 @@ def cited_markdown(spark, sf):
 
 def _blocks(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with their blocks, which counting and marking both read."""
-    pages = P.with_blocks(D.pages(spark, sf)).select("page_id", "url", "blocks")
-    return written(pages.where(F.size("blocks") > 0), "blocks")
+    pages = written(P.with_blocks(D.pages(spark, sf)).select("page_id", "url", "blocks"), "blocks")
+    return pages.where(F.size("blocks") > 0)
 
 
 @query
@@ -566,21 +566,20 @@ def repeated_blocks(spark, sf):
 
 
 def _fit(spark: SparkSession, sf: str, **options) -> DataFrame:
-    fitted = mainfit.fit(mainfit.mark_repeated(_blocks(spark, sf)), **options)
-    return markdown.with_markdown(fitted)
+    return mainfit.fit(mainfit.mark_repeated(_blocks(spark, sf)), **options)
 
 
 @query
 def fit(spark, sf):
     """Markdown of the main content."""
-    return _fit(spark, sf).where("markdown is not null").select("page_id", "markdown")
+    return markdown.rendered(_fit(spark, sf), ["page_id"])
 
 
 @query
 def fit_scored(spark, sf):
     """Main content by a score of the caller: the length of a block."""
     rows = _fit(spark, sf, score=lambda b: F.length(b["txt"]) / 60.0, keep=1.0)
-    return rows.select("page_id", "markdown", F.get("md_notes", 0)["key"].alias("note"))
+    return markdown.with_markdown(rows).select("page_id", "markdown", F.get("md_notes", 0)["key"].alias("note"))
 
 
 @query
@@ -591,8 +590,7 @@ def fit_notes(spark, sf):
 @query
 def fit_cited(spark, sf):
     """Main content with citations, numbered on what was kept."""
-    rows = _fit(spark, sf).where("markdown is not null").select("page_id", F.col("url").alias("base"), "markdown")
-    return markdown.cite(rows)
+    return markdown.cite(markdown.rendered(_fit(spark, sf), ["page_id", "url as base"]))
 
 
 @query
