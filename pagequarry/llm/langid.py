@@ -26,6 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagequarry.llm.fields import with_fields
+from pagequarry.session import written
 
 UNKNOWN = "und"
 SAMPLE = 4000  # texts per language
@@ -85,17 +86,18 @@ def train(labelled: DataFrame, sample: int = SAMPLE, grams: int = GRAMS, lang: s
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     )
-    # The texts with the smallest digests: first a share that leaves few too many, then the rank.
-    sizes = labelled.where(F.col(lang).isNotNull()).groupBy(F.col(lang).cast("string").alias("lang")).count()
-    share = F.col("_share").cast("double")
-    limits = sizes.select("lang", (F.lit(2.0 * sample) / F.col("count")).alias("_share"))
+    # The texts with the smallest digests: a share of the distinct ones, then the rank among these.
     digest = F.xxhash64("text")
-    near = rows.join(F.broadcast(limits) if _few(sizes) else limits, "lang").where(
-        (share >= 1) | (F.pmod(digest, F.lit(1 << 30)) < share * (1 << 30))
-    )
-    near = near.select("lang", "text", digest.alias("_digest")).dropDuplicates(["lang", "_digest"])
-    order = W.partitionBy("lang").orderBy("_digest")
-    chosen = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select("lang", "text")
+    place = F.pmod(F.col("_digest"), F.lit(1 << 30))
+    distinct = written(rows.select("lang", digest.alias("_digest")).distinct(), "languages-digests")
+    sizes = distinct.groupBy("lang").count()
+    limits = sizes.select("lang", ((2.0 * sample + 100) / F.col("count") * (1 << 30)).alias("_share"))
+    near = distinct.join(F.broadcast(limits) if _few(sizes) else limits, "lang").where(place < F.col("_share"))
+    order = W.partitionBy("lang").orderBy(place, "_digest")
+    chosen = near.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= sample).select("lang", "_digest")
+    # Copies go before the texts are shuffled: a digest keeps one of each task's.
+    chosen = rows.withColumn("_digest", digest).join(F.broadcast(chosen) if _few(sizes, 100) else chosen, ["lang", "_digest"])
+    chosen = chosen.groupBy("lang", "_digest").agg(F.first("text").alias("text")).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: defaultdict[str, Counter] = defaultdict(Counter)

@@ -95,3 +95,17 @@ def test_accuracy_on_documents_kept_from_training(spark):
     known = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "lang")
     found = language_id(spark, folder).where("held_out").join(known, "doc_id")
     assert found.agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("int"))).first()[0] > 0.95
+
+
+def test_copies_do_not_shrink_the_sample(spark):
+    # Nearly all rows of one language are copies of a few texts.
+    rng = random.Random(4)
+    few = {x: [text_of(x, rng, 12) for _ in range(20)] for x in ("de", "en")}
+    rows = [("de", few["de"][i % 20]) for i in range(20_000)] + [("en", t) for t in few["en"]]
+    labelled = spark.createDataFrame(rows, "lang string, text string")
+    got = langid.train(labelled, sample=20)
+    assert got.languages == ["de", "en"]
+    once = spark.createDataFrame([(x, t) for x in few for t in few[x]], "lang string, text string")
+    want = langid.train(once, sample=20)
+    assert got.scores.keys() == want.scores.keys()
+    assert all(np.array_equal(got.scores[g], want.scores[g]) for g in want.scores)
