@@ -6,9 +6,12 @@ cosine reaches the threshold are verified links. Each task unites what it has fo
 a spanning forest, the forests of all passes are united by :mod:`components`, and the members of
 a component are then compared in tiles, which gives exact link counts however large it is.
 
-How many passes it takes follows from the largest group: two vectors at the threshold's angle
-agree in a sign with probability ``p``, lie within a window when about ``log2(rows / window)``
-first signs agree, and a pair is missed by all passes with a probability of at most ``miss``.
+How many passes a group takes is measured: in the first passes, how many signs a vector shares
+with the one ``window`` places on. Two vectors that agree in more signs than any of these lie
+within a window; at the threshold's angle they agree in a sign with probability ``p``, and all
+passes miss a pair with a probability of at most ``miss``. Vectors that lie in a cone share many
+signs and so take many passes. Where passes would compare as many pairs as there are, all
+pairs of the group are compared instead, in tiles.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ WINDOW = 128  # rows each row is compared with, in each pass
 MISS = 1e-6  # chance that no pass compares a pair just at the threshold
 SIGNS = 60  # in a key
 TOGETHER = 5  # passes that are shuffled at once
+PREFIX = 8  # signs by which a group is dealt out to be measured
 PART = 50_000  # rows of a sorted partition
 TILE = 1024  # members of a component compared at once
 EDGES = "src bigint, dst bigint"
@@ -156,16 +160,66 @@ def _across(threshold: float, window: int):
     return run
 
 
+def _shared_signs(keys: np.ndarray, window: int) -> int:
+    """The most leading signs that a sorted key shares with the one ``window`` places on; -1 if there is none."""
+    if len(keys) <= window:
+        return -1
+    apart = int((keys[window:] ^ keys[:-window]).min())
+    return SIGNS - apart.bit_length()
+
+
+def _depths(passes: int, window: int, seed: int):
+    """Rows ``(group, dims, key, pass)`` for the depth of each pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keyed in _keys(range(passes), seed)(batches):
+            yield keyed.select(["pass", "group", "dims", "key"])
+
+    return run
+
+
+def passes_of(rows: DataFrame, threshold: float, window: int, miss: float, seed: int) -> DataFrame:
+    """``(group, dims, rows, passes)`` of each group; ``passes`` is null where all pairs are to be compared."""
+    agree = 1 - math.acos(threshold) / math.pi
+    sizes = rows.groupBy("group", "dims").agg(F.count("*").alias("rows"))
+    # A group in which even one sign more than chance gives takes no fewer comparisons than all pairs.
+    least = F.greatest(F.lit(0.0), F.log2(F.col("rows") / window))
+    hit = F.least(F.lit(1 - 1e-9), F.pow(F.lit(agree), least))
+    large = written(sizes.where(F.col("rows") > 2 * window * F.ceil(F.lit(math.log(miss)) / F.log1p(-hit))), "vector-large")
+    measured = rows.join(large.select("group", "dims"), ["group", "dims"], "left_semi").select("_row", "group", "dims", "vec")
+    keys = measured.mapInArrow(_depths(TOGETHER, window, seed), "pass int, `group` bigint, dims int, key bigint")
+    # The key that many places on, of parts of a group that share their first signs.
+    shift = SIGNS - PREFIX
+    parts = keys.groupBy("pass", "group", "dims", F.shiftright("key", shift).alias("prefix"))
+
+    def depth(part: pa.Table) -> pa.Table:
+        found = _shared_signs(np.sort(part.column("key").to_numpy()), window)
+        return part.slice(0, 1).select(["pass", "group", "dims"]).append_column("depth", pa.array([max(found, PREFIX)], pa.int32()))
+
+    depths = parts.applyInArrow(depth, "pass int, `group` bigint, dims int, depth int").groupBy("pass", "group", "dims").agg(F.max("depth").alias("depth"))
+    rate = F.avg(F.log1p(-F.least(F.lit(1 - 1e-9), F.pow(F.lit(agree), F.col("depth") + 1)))).alias("rate")
+    needed = depths.groupBy("group", "dims").agg(F.max("depth").alias("depth"), rate)
+    passes = F.ceil(F.lit(math.log(miss)) / F.col("rate"))
+    fits = (F.col("depth") < SIGNS) & (passes * 2 * window < F.col("rows"))
+    known = needed.join(large, ["group", "dims"]).select("group", "dims", F.when(fits, passes).cast("int").alias("passes"))
+    return written(sizes.join(known, ["group", "dims"], "left"), "vector-groups")
+
+
 def found_links(rows: DataFrame, threshold: float, window: int = WINDOW, miss: float = MISS, seed: int = 1) -> DataFrame:
-    """``(src, dst)``: forests of the verified links of all passes over ``(_row, group, dims, vec)``."""
-    total, largest = rows.groupBy("group", "dims").count().agg(F.sum("count"), F.max("count")).first()
-    passes = passes_for(largest or 0, threshold, window, miss)
-    forests = []
-    for first in range(0, passes, TOGETHER):
-        some = range(first, min(passes, first + TOGETHER))
-        parts = max(1, -(-(total or 0) * len(some) // PART))
+    """``(src, dst)``: forests of the verified links over ``(_row, group, dims, vec)``."""
+    groups = passes_of(rows, threshold, window, miss, seed)
+    whole = rows.join(groups.where("passes is null").select("group", "dims"), ["group", "dims"], "left_semi")
+    whole = whole.select("_row", F.col("group").alias("component"), "dims", "vec")
+    forests = [_tiled(whole).applyInArrow(_all_links(threshold), EDGES)]
+    most = groups.agg(F.max("passes")).first()[0] or 0
+    for first in range(0, most, TOGETHER):
+        some = range(first, min(most, first + TOGETHER))
+        open_groups = groups.where(F.col("passes") > first)
+        total = open_groups.agg(F.sum("rows")).first()[0]
+        parts = max(1, -(-total * len(some) // PART))
         kind = rows.schema["vec"].dataType.simpleString()
-        keyed = rows.select("_row", "group", "dims", "vec").mapInArrow(
+        left = rows.join(open_groups.select("group", "dims"), ["group", "dims"], "left_semi")
+        keyed = left.select("_row", "group", "dims", "vec").mapInArrow(
             _keys(some, seed), f"pass int, _row bigint, `group` bigint, dims int, vec {kind}, key bigint"
         )
         ordered = keyed.repartitionByRange(max(parts, 1), "pass", "group", "dims", "key", "_row").sortWithinPartitions(
@@ -179,6 +233,35 @@ def found_links(rows: DataFrame, threshold: float, window: int = WINDOW, miss: f
     return reduce(DataFrame.union, forests)
 
 
+def _near(rows: pa.Table, threshold: float) -> Iterator[tuple[int, int, np.ndarray]]:
+    """``(first row, first column, links)`` of each component in a sorted pair of tiles."""
+    component, tile = rows.column("component").to_numpy(), rows.column("tile").to_numpy()
+    low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
+    units = unit(matrix(rows.column("vec").combine_chunks()))
+    cuts = np.nonzero(component[1:] != component[:-1])[0] + 1
+    for start, end in zip([0, *cuts], [*cuts, len(rows)]):
+        middle = start if low == high else start + int((tile[start:end] == low).sum())
+        first = units[start : end if low == high else middle]
+        yield start, middle, first @ units[middle:end].T >= threshold
+
+
+def _all_links(threshold: float):
+    """Links within a pair of tiles, as a forest."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("component", "ascending"), ("tile", "ascending"), ("_row", "ascending")])
+        ids = rows.column("_row").to_numpy()
+        forest = Forest(len(rows))
+        for start, middle, near in _near(rows, threshold):
+            a, b = np.nonzero(near)
+            forest.link(start + a, middle + b)
+        root = forest.roots()
+        at = np.nonzero(root != np.arange(len(root)))[0]
+        return pa.table({"src": pa.array(ids[at], pa.int64()), "dst": pa.array(ids[root[at]], pa.int64())})
+
+    return run
+
+
 def _count(threshold: float):
     """Link counts within a pair of tiles, for each component in it."""
 
@@ -204,12 +287,8 @@ def _count(threshold: float):
     return run
 
 
-def link_counts(members: DataFrame, threshold: float) -> DataFrame:
-    """``(_row, n_links)`` of ``(_row, component, dims, vec)``: links to others of the component.
-
-    Components larger than a tile are compared tile by tile, each pair of tiles in a group of its
-    own; small ones are packed, about a tile's rows to a group.
-    """
+def _tiled(members: DataFrame):
+    """Groups of two tiles of ``(_row, component, dims, vec)``, or of one tile of many small components."""
     sizes = members.groupBy("component", "dims").agg(F.count("*").alias("_size"))
     total = members.count()
     tiles = F.ceil(F.col("_size") / TILE).cast("int")
@@ -221,7 +300,16 @@ def link_counts(members: DataFrame, threshold: float) -> DataFrame:
         F.least("tile", "_other").alias("low"), F.greatest("tile", "_other").alias("high"),
         F.when(F.col("_tiles") > 1, F.col("component")).otherwise(-1 - F.pmod(F.xxhash64("component"), F.lit(1 + total // TILE))).alias("pack"),
     )
-    partial = placed.groupBy("pack", "dims", "low", "high").applyInArrow(_count(threshold), "_row bigint, n bigint")
+    return placed.groupBy("pack", "dims", "low", "high")
+
+
+def link_counts(members: DataFrame, threshold: float) -> DataFrame:
+    """``(_row, n_links)`` of ``(_row, component, dims, vec)``: links to others of the component.
+
+    Components larger than a tile are compared tile by tile, each pair of tiles in a group of its
+    own; small ones are packed, about a tile's rows to a group.
+    """
+    partial = _tiled(members).applyInArrow(_count(threshold), "_row bigint, n bigint")
     return partial.groupBy("_row").agg(F.sum("n").alias("n_links"))
 
 

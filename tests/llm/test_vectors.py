@@ -113,3 +113,41 @@ def test_index_meets_every_code_within_the_radius():
         for code in codes[:10]:
             want = np.nonzero(np.bitwise_count(codes ^ code).sum(1, dtype=int) <= radius)[0]
             assert index.within(code, radius).tolist() == want.tolist()
+
+
+def test_pairs_in_a_cone_are_found(spark, cone=0.85):
+    # Background vectors at a cosine of ``cone``, and pairs just above the threshold.
+    rng = np.random.default_rng(11)
+    n, pairs, dims = 6000, 100, 64
+    unit = lambda x: x / np.linalg.norm(x, axis=1)[:, None]
+    axis = np.eye(dims)[:1]
+    vectors = unit(np.sqrt(cone) * axis + np.sqrt(1 - cone) * unit(rng.normal(size=(n, dims)) * (np.arange(dims) > 0)))
+    side = rng.normal(size=(pairs, dims))
+    side = unit(side - (side * vectors[:pairs]).sum(1)[:, None] * vectors[:pairs])
+    vectors = np.concatenate([vectors, 0.935 * vectors[:pairs] + np.sqrt(1 - 0.935**2) * side])
+    near = np.triu(vectors @ vectors.T >= 0.93, 1)
+    rows = [(i, v, 0) for i, v in enumerate(vectors.tolist())]
+    got = {r["vec_id"]: r["component_id"] for r in veclinks.near_vectors(table(spark, rows), window=8).collect()}
+    want = reach(len(rows), list(zip(*(x.tolist() for x in np.nonzero(near)))))
+    assert got == dict(enumerate(want))
+
+
+def test_depth_is_that_of_sorted_keys(spark):
+    vectors, _ = clustered(1500, 3)
+    rows = spark.createDataFrame([(i, 1, 16, v) for i, v in enumerate(vectors.astype(float).tolist())], "_row long, `group` long, dims int, vec array<double>")
+    groups = veclinks.passes_of(rows, 0.93, 8, 0.5, 1).collect()
+    assert [r["rows"] for r in groups] == [1500]
+    # The depth is that of the sorted keys.
+    keys = np.sort(np.random.default_rng(1).integers(0, 1 << 60, 500))
+    plain = max(next((i for i in range(60) if (int(a) ^ int(b)) >> (59 - i)), 60) for a, b in zip(keys, keys[8:]))
+    assert veclinks._shared_signs(keys, 8) == plain
+
+
+def test_passes_over_partition_borders(spark, monkeypatch):
+    monkeypatch.setattr(veclinks, "PART", 700)
+    rng = np.random.default_rng(12)
+    vectors = np.repeat(rng.normal(size=(1500, 32)), 2, 0) + 1e-4 * rng.normal(size=(3000, 32))
+    rows = spark.createDataFrame([(i, 1, 32, v) for i, v in enumerate(vectors.tolist())], "_row long, `group` long, dims int, vec array<double>")
+    assert veclinks.passes_of(rows, 0.93, 8, 0.05, 1).first()["passes"] > 5
+    links = {tuple(sorted(r)) for r in veclinks.found_links(rows, 0.93, 8, 0.05).collect()}
+    assert links == {(i, i + 1) for i in range(0, 3000, 2)}
