@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagequarry.llm import ann, bpe, langid, mixing, packing, passages, repeats, secretscan, simhash, veclinks
+from pagequarry.llm import ann, bpe, dialogue, langid, mixing, packing, passages, periods, repeats, secretscan, simhash, textprints, veclinks
 
 
 BPE_FILE = "word_bpe_49k.json"
@@ -101,6 +101,61 @@ def near_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", F.size("spans").alias("n_spans"), listed.alias("spans"), "component_id")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Rows dropped, emptied, stripped of their ends, repeated or given a role, by a CRC of id and turn."""
+    shown = [F.coalesce(F.col(name).cast("string"), F.lit(" ")) for name in ("conv_id", "turn")]
+    rows = rows.select("*", (F.crc32(F.concat_ws(":", *shown).cast("binary")) % 20).alias("_damage")).where("_damage <> 0")
+    text = F.expr("case _damage when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '') else coalesce(text, ' ') end")
+    role = F.expr("if(_damage = 4, 'user', coalesce(role, ' '))")
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.expr("if(_damage = 3, array(0, 1), array(0))")))
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    turns, summary = dialogue.repair(damaged(rows))
+    found = summary.join(dialogue.transcripts(turns).withColumnRenamed("conv", "_conv"), F.col("conv").eqNullSafe(F.col("_conv")), "left")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left")
+    numbers = [F.coalesce(name, F.lit(0)).cast("bigint").alias(name) for name in ("gaps", *dialogue.COUNTS, "cost")]
+    digest = F.coalesce("sha256", sha256(F.lit("")))
+    return every.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), digest.alias("repaired_sha256"))
+
+
+def last_third_replaced(text: str, following: str) -> str:
+    """The text with its last third replaced by the start of the following one, as long if that is long enough."""
+    third = len(text) // 3
+    return text[: len(text) - third] + following[:third]
+
+
+def document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = textprints.against_edit(documents(spark, sf_dir), last_third_replaced)
+    shown = [F.lower(F.hex(name)).alias(name) for name in ("fingerprint", "edited_fingerprint")]
+    return found.select("doc_id", "n_chars", "edited_sha256", *shown, "near_edited", "near_next")
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """Every tenth text, by the CRC of its id, goes in circles from one of its words on."""
+    words = r"filter(split(text, r'[\x20\x09-\x0D]+'), w -> w <> '')"
+    circle = "w[if(i < a, i, a + (i - a) % (1 + (n - a) div (3 + g % 8)))]"
+    made = f"array_join(transform(sequence(0, n - 1), i -> {circle}), ' ')"
+    for name, value in (("a", "cast(g % n as int)"), ("g", "crc32(cast(cast(doc_id as string) as binary)) div 10"), ("n", "size(w)"), ("w", words)):
+        made = f"get(transform(array({value}), {name} -> {made}), 0)"
+    hit = "crc32(cast(cast(doc_id as string) as binary)) % 10 = 0 and text rlike r'[^\\x20\\x09-\\x0D]'"
+    return docs.select("doc_id", F.expr(f"if({hit}, {made}, text)").alias("text"))
+
+
+def periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periods.runs(looped(documents(spark, sf_dir)))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    rows = found.select("*", longest.alias("_longest"))
+    length, period = F.col("_longest.length"), F.col("_longest.period")
+    return rows.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), F.col("_longest.start").alias("start"), length.alias("length"),
+        period.alias("period"), F.floor(F.lit(1000) * length / period).alias("exponent_milli"),
+        sha256(F.array_join(lines, "")).alias("runs_sha256"), sha256(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_near_dedup": vector_near_dedup,
     "op2_secret_scan": secret_scan,
@@ -112,5 +167,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packed_tokens": packed_tokens,
     "op10_substring_dedup": substring_dedup,
     "op8_mix_sources": mix_sources,
+    "op11_conversation_repair": conversation_repair,
+    "op12_document_fingerprints": document_fingerprints,
+    "op13_periodic_runs": periodic_runs,
 }
 ORACLES: dict[str, str] = {"op8_mix_sources": mixing.ORACLE}
