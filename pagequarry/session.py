@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _own_folders: set[str] = set()
 
 
@@ -56,8 +57,15 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write a table to the shared folder once and read it back.
 
     For results with several consumers: each reads the columns it needs instead of running
-    the job again, and a lost executor costs no more than reading files.
+    the job again, and a lost executor costs no more than reading files. The shuffle files of the
+    job, which nothing reads any more, go when the table is there.
     """
-    folder = shared_folder(df.sparkSession, purpose)
-    df.write.mode("overwrite").parquet(folder)
-    return df.sparkSession.read.schema(df.schema).parquet(folder)
+    spark = df.sparkSession
+    folder = shared_folder(spark, purpose)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(folder)
