@@ -98,11 +98,11 @@ class Index:
         return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=int) <= radius]
 
 
-def _search(codes: dict, k: int):
+def _search(codes: dict[int, dict], k: int):
     def run(block: pa.Table, asked: pa.Table) -> pa.Table:
-        model = Codes(**codes)
         found: list[tuple[int, int, int, float]] = []
         if len(block) and len(asked):
+            model = Codes(**codes[block.column("dims")[0].as_py()])
             rows, keys = block.column("_row").to_numpy(), block.column("key").to_numpy()
             units = unit(matrix(block.column("vec").combine_chunks()))
             index = Index(model.of(units))
@@ -130,35 +130,36 @@ def nearest(
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest of every row for which ``asked`` holds.
 
     ``asked`` is a condition on the key, named ``key``. ``score`` is the cosine in double
-    precision; ties go to the smaller key. Every row but the query's own is a candidate; a query
-    with fewer candidates gets all. Vectors that are null, empty, zero or hold null or non-finite
-    components take no part, nor do rows without a key; only vectors of the commonest length do.
-    Repeated rows are queries and candidates of their own. An empty table gives an empty table.
+    precision; ties go to the smaller key. Every row of the query's length but its own is a
+    candidate; a query with fewer candidates gets all. Vectors that are null, empty, zero or hold
+    null or non-finite components take no part, nor do rows without a key. Vectors of each length
+    have codes of their own; the lengths should be few. Repeated rows are queries and candidates of
+    their own. An empty table gives an empty table.
     """
     rows = numbered(df, "ann-rows", key=key, vec=vector).where(F.col("key").isNotNull() & usable("vec"))
-    sizes = rows.groupBy(F.size("vec").alias("dims")).count().orderBy(F.desc("count"), "dims").limit(1).collect()
+    rows = rows.select("_row", F.col("key").cast("bigint").alias("key"), "vec", F.size("vec").alias("dims"))
+    queries = rows.where(F.expr(asked))
+    counts = rows.groupBy("dims").agg(F.count("*").alias("rows"), F.count_if(F.expr(asked)).alias("asked")).where("asked > 0").collect()
     out = "_asked bigint, _row bigint, key bigint, score double"
-    if not sizes:
+    if not counts:
         found = df.sparkSession.createDataFrame([], out)
     else:
-        rows = rows.where(F.size("vec") == sizes[0]["dims"]).withColumn("key", F.col("key").cast("bigint"))
-        sample = rows.select("vec").orderBy(F.xxhash64("_row", F.lit(seed))).limit(fit_rows).collect()
-        codes = learn(unit(np.array([r["vec"] for r in sample], np.float64)), k, seed=seed)
-        queries = rows.where(F.expr(asked))
-        blocks = max(1, -(-sizes[0]["count"] // BLOCK))
-        chunks = max(1, -(-queries.count() // CHUNK))
-        part = F.pmod(F.xxhash64("_row"), F.lit(blocks)).alias("block")
-        piece = F.pmod(F.xxhash64("_row"), F.lit(chunks)).alias("chunk")
-        placed = rows.select("*", part, F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"))
-        asking = queries.select("*", piece, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-        found = (
-            placed.groupBy(F.col("block").cast("int").alias("block"), F.col("chunk").cast("int").alias("chunk"))
-            .cogroup(asking.groupBy(F.col("block").cast("int").alias("block"), F.col("chunk").cast("int").alias("chunk")))
-            .applyInArrow(_search(vars(codes), k), out)
-        )
+        mix = F.xxhash64("_row", F.lit(seed))
+        drawn = rows.where(F.col("dims").isin([c["dims"] for c in counts])).withColumn("mix", mix)
+        first = F.row_number().over(W.partitionBy("dims").orderBy("mix"))
+        samples: dict[int, list] = {c["dims"]: [] for c in counts}
+        for r in sorted(drawn.withColumn("place", first).where(F.col("place") <= fit_rows).select("dims", "place", "vec").collect(), key=lambda r: r["place"]):
+            samples[r["dims"]].append(r["vec"])
+        codes = {dims: vars(learn(unit(np.array(sample, np.float64)), k, seed=seed)) for dims, sample in samples.items()}
+        split = lambda count, size: F.create_map(*[F.lit(x) for c in counts for x in (c["dims"], -(-c[count] // size))])[F.col("dims")]
+        blocks, chunks = split("rows", BLOCK), split("asked", CHUNK)
+        part = F.pmod(F.xxhash64("_row"), blocks).cast("int").alias("block")
+        piece = F.pmod(F.xxhash64("_row"), chunks).cast("int").alias("chunk")
+        placed = rows.where(chunks.isNotNull()).select("*", part, F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"))
+        asking = queries.select("*", piece, F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"))
+        keys = ["dims", "block", "chunk"]
+        found = placed.groupBy(*keys).cogroup(asking.groupBy(*keys)).applyInArrow(_search(codes, k), out)
     order = W.partitionBy("_asked").orderBy(F.desc("score"), "key", "_row")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    if not sizes:
-        return ranked.select(F.col("_asked").alias("query_id"), "rank", F.col("key").alias("vec_id"), "score")
     asker = queries.select(F.col("_row").alias("_asked"), F.col("key").alias("query_id"))
     return ranked.join(asker, "_asked").select("query_id", "rank", F.col("key").alias("vec_id"), "score")

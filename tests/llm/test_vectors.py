@@ -105,6 +105,28 @@ def test_ties_few_candidates_and_odd_rows(spark):
     assert got == [(50, 1, 2, 1.0), (50, 2, 3, 1.0), (50, 3, 7, 0.0)]
 
 
+def test_each_length_is_searched(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK", 40)
+    rng = np.random.default_rng(8)
+    sizes = [(16, 200), (24, 90), (8, 3)]
+    vectors = [v.tolist() for dims, n in sizes for v in rng.normal(size=(n, dims))]
+    found = {}
+    for r in ann.nearest(table(spark, [(i, v, 0) for i, v in enumerate(vectors)]), "key % 10 = 0").collect():
+        found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    assert found.keys() == set(range(0, 293, 10))
+    hits = total = base = 0
+    for dims, n in sizes:
+        units = np.array([v / np.linalg.norm(v) for v in map(np.array, vectors[base : base + n])])
+        ids = np.arange(base, base + n)
+        want = brute(units, ids, [i for i in range(n) if ids[i] % 10 == 0], 5)
+        for q, near in want.items():
+            got = [i for _, i in sorted(found[q])]
+            assert len(got) == len(near) and all(base <= i < base + n for i in got)
+            hits, total = hits + len(set(got) & {i for i, _ in near}), total + len(near)
+        base += n
+    assert hits >= 0.9 * total
+
+
 def test_index_meets_every_code_within_the_radius():
     rng = np.random.default_rng(5)
     codes = rng.integers(0, 256, (400, 4), dtype=np.uint8)
