@@ -21,13 +21,13 @@ from pagequarry.llm import bpe, langid, mixing, secretscan, simhash
 from pagequarry.llm.queries import BPE_FILE, documents, language_model, token_digests
 from pagequarry.session import written
 
-LEAST_SCORE = 0.25
+LEAST_SHARE = 0.25
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     found = langid.identify(rows, language_model(spark, docs), key="_row")
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("_row.*")
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("share") >= LEAST_SHARE)).select("_row.*")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

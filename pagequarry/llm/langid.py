@@ -222,15 +222,15 @@ class Labeller:
         kept = np.where(uses, np.maximum(totals - np.where(known, best, 0), -WORST), -WORST)
         return np.where(known, kept, 0).astype(np.float32)
 
-    def label(self, numbers: list[np.ndarray]) -> list[tuple[str, float, list[tuple[int, int, str]]]]:
-        """Of each text: its language, a score, and the spans ``(first word, end, language)``."""
+    def label(self, numbers: list[np.ndarray]) -> list[tuple[str, float, list[tuple[int, int, str]], float]]:
+        """Of each text: its language, a score, the spans ``(first word, end, language)``, and the share of letters."""
         self.learn()
         names = self.model.languages
         flat = np.concatenate(numbers)
         sizes = np.array([len(x) for x in numbers])
         letters = self.letters[flat]
         if not names or not len(flat):
-            return [(UNKNOWN, 0.0, [])] * len(numbers)
+            return [(UNKNOWN, 0.0, [], 0.0)] * len(numbers)
         scores = self.scores[flat]
         labels = viterbi(scores, sizes, self.switch)
         ends = np.cumsum(sizes)
@@ -249,11 +249,12 @@ class Labeller:
         for i in range(len(sizes)):
             total = weight[i].sum()
             if not total:
-                found.append((UNKNOWN, 0.0, []))
+                found.append((UNKNOWN, 0.0, [], 0.0))
                 continue
             base = int(ends[i] - sizes[i])
             spans = [(int(first[j]) - base, int(last[j]) - base, names[labels[first[j]]]) for j in range(cuts[i], cuts[i + 1])]
-            found.append((names[top[i]], float(weight[i, top[i]] / total / odds[i]), spans))
+            share = float(weight[i, top[i]] / total)
+            found.append((names[top[i]], share / float(odds[i]), spans, share))
         return found
 
 
@@ -261,10 +262,11 @@ SPANS = "array<struct<first:int,end:int,lang:string>>"
 
 
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(key, lang_pred, score, spans)``: one row per row of ``docs``; only the text is an input.
+    """``(key, lang_pred, score, spans, share)``: one row per row of ``docs``; only the text is an input.
 
-    ``spans`` are word ranges (end exclusive) with their languages. ``score`` is the share of
-    letters in spans of ``lang_pred``, times how much its words prefer it to the other languages.
+    ``spans`` are word ranges (end exclusive) with their languages. ``share`` is the share of
+    letters in spans of ``lang_pred``, ``score`` is that times how much its words prefer it to the
+    other languages, which depends on how many languages there are.
     A text that is null or has no letter is ``und`` with score 0 and no spans; so is every text
     if the model has no languages. A word in a script of no learnt language counts for the
     language of its neighbours. Repeated rows come out repeated; an empty table gives an empty
@@ -290,12 +292,13 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, key: str = "
                         pa.array([x[0] for x in found], pa.string()),
                         pa.array([x[1] for x in found], pa.float64()),
                         pa.array(spans, pa.list_(pa.struct({"first": pa.int32(), "end": pa.int32(), "lang": pa.string()}))),
+                        pa.array([x[3] for x in found], pa.float64()),
                     ],
-                    names=[key, "lang_pred", "score", "spans"],
+                    names=[key, "lang_pred", "score", "spans", "share"],
                 )
                 start, size, numbers = i + 1, 0, []
                 if len(labeller.known) > KNOWN_WORDS:
                     labeller.forget()
 
     rows = docs.select(F.col(key), F.col(text).cast("string"))
-    return rows.mapInArrow(run, with_fields(rows.schema[key], lang_pred="string", score="double", spans=SPANS))
+    return rows.mapInArrow(run, with_fields(rows.schema[key], lang_pred="string", score="double", spans=SPANS, share="double"))

@@ -26,7 +26,7 @@ def test_stages_keep_columns_and_take_effect(spark):
     rows = [{r["doc_id"]: r for r in x.collect()} for x in out]
     # Language: only documents it is sure of nothing about go.
     found = {r["doc_id"]: r for r in langid.identify(docs, language_model(spark, docs)).collect()}
-    assert rows[1].keys() == {i for i, r in found.items() if r["lang_pred"] != "und" and r["score"] >= 0.25}
+    assert rows[1].keys() == {i for i, r in found.items() if r["lang_pred"] != "und" and r["share"] >= 0.25}
     # Near copies: one of each group.
     ids = sorted(rows[1])
     bits = [plain_fingerprint(rows[1][i]["text"]) for i in ids]
@@ -53,6 +53,17 @@ def test_stages_keep_columns_and_take_effect(spark):
     assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, last))
 
 
+def test_the_number_of_languages_drops_no_text(spark):
+    """Texts that every language fits equally, or in a script of none, stay however many are learnt."""
+    learnt = [(i, f"wort{'abcdefghijkl'[i]} sache ding", f"l{i}", "s", 20) for i in range(12) for _ in range(3)]
+    texts = [(100, "Ωμέγα και άλφα", None, "s", 14), (101, "xq", None, "s", 2), (102, "sache ding", None, "s", 10), (103, "123", None, "s", 3)]
+    docs = spark.createDataFrame(learnt + texts, "doc_id long, text string, lang string, source string, n_chars int")
+    found = {r["doc_id"]: r for r in langid.identify(docs, language_model(spark, docs)).collect()}
+    assert found[100]["score"] < 0.25 <= found[100]["share"]
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_languages(spark, docs, "").collect()}
+    assert kept == {*range(12), 100, 101, 102}
+
+
 def test_awkward_rows(spark):
     docs = awkward(spark)
     kept = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
