@@ -30,8 +30,10 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from pagequarry.llm.fields import with_fields
 from pagequarry.session import written
@@ -167,7 +169,7 @@ class Repaired(NamedTuple):
 
 
 def fault(conversations: DataFrame) -> DataFrame:
-    """``(_at, fault)`` of the rows ``(conv, turn, role, digest, text, _at)``: the first fault of each."""
+    """``(conv, turn, role, digest, _at, fault)`` of rows that also have their ``text``: the first fault of each."""
     trimmed = F.expr(f"trim(trailing '{BLANKS}' from text)")
     first = conversations.groupBy("conv", "role", "digest").agg(F.min(F.struct("turn", "_at"))["_at"].alias("_at"))
     seen = conversations.join(first.select("_at", F.lit(True).alias("_first")), "_at", "left")
@@ -230,12 +232,6 @@ def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Itera
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
-def _arrow(schema) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def _stretches(grammar: Grammar, schema: pa.Schema):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         parser, part = Parser(grammar), TaskContext.get().partitionId()
@@ -333,9 +329,8 @@ def repair(
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["conv", "turn", "role", "digest", "_at"]
     ordered = fault(given).repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    schema = with_fields(conv=name)
-    schema = type(schema)([*schema, *type(schema).fromDDL(STRETCH)])
-    arrow = _arrow(schema)
+    schema = StructType([*with_fields(conv=name), *StructType.fromDDL(STRETCH)])
+    arrow = to_arrow_schema(schema)
     found = written(
         ordered.select("conv", "turn", F.substring("role", 1, 1), "fault", "_at").mapInArrow(_stretches(grammar, arrow), schema), "dialogue-stretches"
     )
@@ -343,7 +338,7 @@ def repair(
     settled = written(found.where("not open").unionByName(split), "dialogue-parses")
 
     kinds = with_fields(conv=name, part="int", place="bigint", edit="string", new_role="string", _at="bigint")
-    edits = settled.select("conv", "part", "initials", "ats", "state", "audit").mapInArrow(_edits(grammar, _arrow(kinds)), kinds)
+    edits = settled.select("conv", "part", "initials", "ats", "state", "audit").mapInArrow(_edits(grammar, to_arrow_schema(kinds)), kinds)
     turns = edits.join(given.select("_at", "role", "text"), "_at", "left").select(
         "conv", "part", "place", "edit", F.coalesce("new_role", "role").alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -363,7 +358,7 @@ def transcripts(turns: DataFrame) -> DataFrame:
     stream; a conversation's texts are never held together.
     """
     kinds = with_fields(turns.schema["conv"], sha256="string")
-    arrow = _arrow(kinds)
+    arrow = to_arrow_schema(kinds)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         now, digest = None, None
