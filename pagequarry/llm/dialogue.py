@@ -9,16 +9,17 @@ Weighted CYK parsing over spans of rows. The grammar is in Chomsky normal form:
     X(p, q) -> insert ... insert      no row: the closure of the insertions
 
 A cell holds, for each nonterminal, the least (cost, audit) of a span, the audit being the edits'
-initials in order. Two edits of the same rows at equal cost are never a prefix of one another, so
-the least audits of the parts make the least audit of the whole. The nonterminals of one row have
-the closure on both sides.
+initials in order. The nonterminals of one row have the closure before it, and the end of a
+conversation has it once more, so the edits of a span end with those of a row. Such audits of the
+same rows are never a prefix of one another: the least audits of the parts make the least audit of
+the whole, and the rank of an audit among those of its span stands for it in any comparison.
 
 Whatever lies between two places of a conversation leaves it in some state r, wherever the places
 are. So every way to split a span gives the same cell, one split is enough, and the cells are
 combined bottom-up by span length, 1, 2, 4, ..., in linear time. For the same reason a long
 conversation may be cut anywhere: rows are sorted over all tasks, each task parses the stretch it
 has, and the stretches of a conversation that lies in several tasks, at most one per task, are
-parsed as spans of their own.
+parsed as spans of their own, from the costs and ranks of their cells.
 """
 
 from __future__ import annotations
@@ -73,7 +74,8 @@ class Parser:
         self.grammar = grammar
         self.made: dict[tuple, Cell] = {}
         n = grammar.states
-        closure: Cell = [(0, "") if p == q else None for p in range(n) for q in range(n)]
+        self.empty: Cell = [(0, "") if p == q else None for p in range(n) for q in range(n)]
+        closure = list(self.empty)
         for (p, letter), q in grammar.steps.items():
             if letter in grammar.names:
                 closure[p * n + q] = (grammar.insert, "I")
@@ -110,7 +112,7 @@ class Parser:
                 edits += [(g.rerole + stays, "R")] if letter in g.names else []
                 edits += [cell[p * n + q]] if cell[p * n + q] else []
                 cell[p * n + q] = min(edits, default=None)
-        return self.joined(self.inserted, self.joined(cell, self.inserted))
+        return self.joined(self.inserted, cell)
 
     def span(self, rows: tuple) -> Cell:
         """The cell of consecutive rows."""
@@ -120,15 +122,15 @@ class Parser:
             half = 1 << ((len(rows) - 1).bit_length() - 1)
             cell = self.joined(self.span(rows[:half]), self.span(rows[half:]))
         else:
-            cell = self.row(*rows[0]) if rows else self.inserted
+            cell = self.row(*rows[0]) if rows else self.empty
         if len(rows) <= self.KEPT and len(self.made) < 1 << 16:
             self.made[rows] = cell
         return cell
 
-    def parsed(self, cells: list[Cell]) -> tuple[int, list[tuple[int, str]]]:
-        """The cost of the best parse of spans in a row, and the state before each and its audit."""
+    def ways(self, cells: list[Cell]) -> tuple[int, list[tuple[int, int]]]:
+        """The cost of the best parse of spans in a row, and the states before and after each, and the end."""
         n = self.grammar.states
-        levels = [cells]
+        levels = [[*cells, self.inserted]]
         while len(levels[-1]) > 1:
             last = levels[-1]
             levels.append([self.joined(*last[i : i + 2]) if i + 1 < len(last) else last[i] for i in range(0, len(last), 2)])
@@ -146,7 +148,16 @@ class Parser:
                 r = min((a[0] + b[0], a[1] + b[1], r) for a, b, r in both if a is not None and b is not None)[2]
                 parts += [(p, r), (r, q)]
             ways = parts
-        return top[goal][0], [(p, cell[p * n + q][1]) for (p, q), cell in zip(ways, cells)]
+        return top[goal][0], ways
+
+    def parsed(self, cells: list[Cell]) -> tuple[int, list[tuple[int, str]]]:
+        """The cost of the best parse of spans in a row, and the state before each and its audit."""
+        n = self.grammar.states
+        cost, ways = self.ways(cells)
+        audits = [cell[p * n + q][1] for (p, q), cell in zip(ways, [*cells, self.inserted])]
+        end = audits.pop()
+        audits[-1] += end
+        return cost, [(p, audit) for (p, _), audit in zip(ways, audits)]
 
     def edits(self, initials: Iterable[str], state: int, audit: str) -> Iterator[tuple[str, str | None]]:
         """Each edit with the initial of the role it gives; None for rows that go."""
@@ -169,14 +180,16 @@ class Repaired(NamedTuple):
 
 
 def fault(conversations: DataFrame) -> DataFrame:
-    """``(conv, turn, role, digest, _at, fault)`` of rows that also have their ``text``: the first fault of each."""
-    trimmed = F.expr(f"trim(trailing '{BLANKS}' from text)")
+    """``(conv, turn, role, digest, _at, fault)`` of rows that also have their ``text``: the first fault of each.
+
+    What a text says about its own row is found before rows are exchanged, so texts stay where they are.
+    """
+    last = F.substring(F.expr(f"trim(trailing '{BLANKS}' from text)"), -1, 1)
+    own = F.when(last == "", BLANK).when(~last.isin(".", "!", "?"), TRUNCATED).otherwise(NO_FAULT)
     first = conversations.groupBy("conv", "role", "digest").agg(F.min(F.struct("turn", "_at"))["_at"].alias("_at"))
-    seen = conversations.join(first.select("_at", F.lit(True).alias("_first")), "_at", "left")
-    kind = (
-        F.when(trimmed == "", BLANK).when(F.col("_first").isNull(), DUPLICATE)
-        .when(~F.substring(trimmed, -1, 1).isin(".", "!", "?"), TRUNCATED).otherwise(NO_FAULT)
-    )
+    rows = conversations.select("conv", "turn", "role", "digest", "_at", own.alias("_own"))
+    seen = rows.join(first.select("_at", F.lit(True).alias("_first")), "_at", "left")
+    kind = F.when((F.col("_own") != BLANK) & F.col("_first").isNull(), DUPLICATE).otherwise(F.col("_own"))
     return seen.select("conv", "turn", "role", "digest", "_at", kind.alias("fault"))
 
 
@@ -184,7 +197,14 @@ COUNTS = ("blank", "duplicate", "truncated", "illegal")
 STRETCH = (
     "part int, first boolean, initials string, ats array<bigint>, state int, audit string, cost bigint, "
     "low bigint, high bigint, turns bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, "
-    "open boolean, costs array<bigint>, audits array<string>"
+    "open boolean, costs array<bigint>, ranks array<int>, audits array<string>"
+)
+# What is known of a stretch without its rows, and what the parse of the whole conversation says of it.
+OUTLINE = ["part", "begin", "end", "low", "high", "turns", *COUNTS, "costs", "ranks"]
+SETTLED = ["conv", "part", "first", "initials", "ats", "state", "audit", "cost", "low", "high", "turns", *COUNTS]
+WAY = (
+    "part int, first boolean, state int, chosen int, inserted int, cost bigint, "
+    "low bigint, high bigint, turns bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint"
 )
 
 
@@ -216,9 +236,10 @@ class Stretch:
         row |= {"low": self.low, "high": self.high, "turns": self.turns, **self.counts}
         if whole:
             cost, [(state, audit)] = parser.parsed([cell])
-            return row | {"state": state, "audit": audit, "cost": cost, "costs": None, "audits": None}
-        found = {"costs": [c and c[0] for c in cell], "audits": [c and c[1] for c in cell]}
-        return row | {"state": None, "audit": None, "cost": None, **found}
+            return row | {"state": state, "audit": audit, "cost": cost}
+        audits = [c and c[1] for c in cell]
+        rank = {audit: i for i, audit in enumerate(sorted({a for a in audits if a is not None}))}
+        return row | {"costs": [c and c[0] for c in cell], "ranks": [rank.get(a) for a in audits], "audits": audits}
 
 
 def _batches(rows: Iterator[dict], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
@@ -251,19 +272,25 @@ def _stretches(grammar: Grammar, schema: pa.Schema):
 
 
 def _joined(grammar: Grammar, schema: pa.Schema):
+    """The parse of conversations from the outlines of their stretches: rows ``WAY``, one per stretch."""
+
     def settled(group: list[dict], parser: Parser) -> Iterator[dict]:
-        cells = [[None if c is None else (c, a) for c, a in zip(g["costs"], g["audits"])] for g in group]
-        cost, ways = parser.parsed(cells)
-        total = group[0] | {"cost": cost, "first": True}
+        # One letter stands for the audit of a stretch, the one of its rank.
+        cells = [[None if c is None else (c, chr(r)) for c, r in zip(g["costs"], g["ranks"])] for g in group]
+        cost, [*ways, end] = parser.ways(cells)
+        inserted = len(parser.inserted[end[0] * grammar.states + end[1]][1])
+        total = group[0]
         for before, g in zip(group, group[1:]):
             for name in COUNTS:
                 total[name] += g[name]
-            total["illegal"] += before["initials"][-1] + g["initials"][0] not in grammar.pairs
+            total["illegal"] += before["end"] + g["begin"] not in grammar.pairs
             if g["turns"]:
                 total["turns"] += g["turns"] - (g["low"] == total["high"])
                 total |= {"low": g["low"] if total["low"] is None else total["low"], "high": g["high"]}
-        for g, (state, audit) in zip([total, *group[1:]], ways):
-            yield g | {"state": state, "audit": audit, "costs": None, "audits": None}
+        for i, (g, (state, after)) in enumerate(zip(group, ways)):
+            way = {"conv": g["conv"], "part": g["part"], "first": i == 0, "state": state, "chosen": state * grammar.states + after}
+            way["inserted"] = inserted if i + 1 == len(group) else 0
+            yield way | ({"cost": cost} | {name: total[name] for name in ("low", "high", "turns", *COUNTS)} if i == 0 else {})
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         parser = Parser(grammar)
@@ -312,9 +339,9 @@ def repair(
 
     A null conversation id is an id like any other; a null turn comes first and is no turn number;
     a null role or text counts as empty. Repeated rows are rows of their own (and duplicates). An
-    empty table gives empty tables; other columns are not read. Lengths are bounded by the sum of
-    what a task has: a conversation may be spread over any number of tasks. Of one that is, a task
-    holds 16 letters per row to join the stretches.
+    empty table gives empty tables; other columns are not read. A conversation may be spread over
+    any number of tasks: what joins its stretches is 16 costs and ranks per task that has some of
+    it. Only its audit, a letter per row, comes together in ``summary``.
     """
     grammar = grammar or Grammar()
     name = rows.schema[conv].dataType.simpleString()
@@ -334,8 +361,17 @@ def repair(
     found = written(
         ordered.select("conv", "turn", F.substring("role", 1, 1), "fault", "_at").mapInArrow(_stretches(grammar, arrow), schema), "dialogue-stretches"
     )
-    split = found.where("open").repartition("conv").sortWithinPartitions("conv", "part").mapInArrow(_joined(grammar, arrow), schema)
-    settled = written(found.where("not open").unionByName(split), "dialogue-parses")
+    ways = with_fields(conv=name).fields + StructType.fromDDL(WAY).fields
+    ends = [F.substring("initials", place, 1).alias(which) for which, place in (("begin", 1), ("end", -1))]
+    outlines = found.where("open").select("*", *ends).select("conv", *OUTLINE).repartition("conv").sortWithinPartitions("conv", "part")
+    chosen = outlines.mapInArrow(_joined(grammar, to_arrow_schema(StructType(ways))), StructType(ways))
+    # A task begins one stretch of this kind and ends one, so there are two of these short rows per task at most.
+    chosen = F.broadcast(chosen.select(F.col("conv").alias("_conv"), F.col("part").alias("_part"), *[F.col(f.name).alias(f"_{f.name}") for f in ways[2:]]))
+    met = found.where("open").join(chosen, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part")))
+    audit = F.concat(F.get("audits", F.col("_chosen")), F.repeat(F.lit("I"), F.col("_inserted")))
+    settling = [c for c in SETTLED if c not in ("conv", "part", "initials", "ats", "audit")]
+    split = met.withColumns({"audit": audit, **{c: F.col(f"_{c}") for c in settling}}).select(*SETTLED)
+    settled = written(found.where("not open").select(*SETTLED).unionByName(split), "dialogue-parses")
 
     kinds = with_fields(conv=name, part="int", place="bigint", edit="string", new_role="string", _at="bigint")
     edits = settled.select("conv", "part", "initials", "ats", "state", "audit").mapInArrow(_edits(grammar, to_arrow_schema(kinds)), kinds)
