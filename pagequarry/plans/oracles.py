@@ -620,5 +620,9 @@ ORACLES["q_stream_rejects"] = f"""with {_BODIES} select batch_id, cast(null as b
   union all select page_id, 3, 'mailto:x', 'invalid_url' from pages where page_id % 9 in (7, 8)"""
 ORACLES["q_stream_counts"] = """select strftime(time_bucket(interval '5 minutes', ts), '%Y-%m-%d %H:%M:%S') as window_start, event_type as kind, count(*) as n
   from events group by all"""
+ORACLES["q_stream_intake_once"] = ORACLES["q_stream_intake"]
+ORACLES["q_stream_closed_counts"] = """with w as (select time_bucket(interval '5 minutes', ts) as s, event_type as kind, count(*) as n from events group by all)
+  select strftime(s, '%Y-%m-%d %H:%M:%S') as window_start, kind, n from w
+  where s + interval '5 minutes' <= (select date_trunc('millisecond', max(ts)) - interval '10 minutes' from events)"""
 ORACLES["q_stream_progress"] = "select page_id // 20 as batch_id, count(*) as done, cast(20 as bigint) as total from pages group by all"
 ORACLES["q_stream_retention"] = f"""with {_ART} select * from (select * from rg order by seq desc limit 500) where token not in (select token from dv)"""

@@ -760,6 +760,27 @@ def stream_counts(spark, sf):
     return out.withColumn("window_start", F.col("window_start").cast("string"))
 
 
+@query
+def stream_intake_once(spark, sf):
+    """Every call is delivered twice, half an hour apart."""
+    def delivered(minutes: int) -> DataFrame:
+        at = F.expr(f"timestamp_seconds(1700000000 + page_id + {60 * minutes})")
+        return intake.read_files(spark, sf, _PAGES, "pages.parquet").select(
+            F.col("page_id").alias("batch_id"), F.expr(D.BODY_SQL).alias("body"), at.alias("at")
+        )
+
+    once = intake.intake_once(delivered(0).unionByName(delivered(30)))
+    return intake.run_append(spark, once, shared_folder(spark, "stream-intake-once")).select("batch_id", "ord", "url")
+
+
+@query
+def stream_closed_counts(spark, sf):
+    stream = intake.read_files(spark, sf, _EVENTS, "events.parquet")
+    closed = intake.closed_counts(stream, F.col("event_type"), F.col("ts"))
+    out = intake.run_append(spark, closed, shared_folder(spark, "stream-closed-counts"))
+    return out.withColumn("window_start", F.col("window_start").cast("string"))
+
+
 @query
 def stream_progress(spark, sf):
     stream = intake.read_files(spark, sf, _PAGES, "pages.parquet")

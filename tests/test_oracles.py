@@ -10,7 +10,7 @@ LIGHT = (
     "valid_urls rejected_urls first_seen_urls duplicate_urls batch_gate invalid_lists request_bodies header_lookup "
     "body_kept error_kinds interference final_response verdicts fallback progress file_names extensions "
     "allocated_names titles tokens blocks resolved_links citation_numbers markdown_full fit_notes page_text languages "
-    "origins proxy_check live_artifacts stream_intake stream_counts stream_progress stream_retention stream_rejects documents markdown_images fit_scored text_helpers format_outcomes prechecks custom_rules unpaired"
+    "origins proxy_check live_artifacts stream_intake stream_intake_once stream_counts stream_closed_counts stream_progress stream_retention stream_rejects documents markdown_images fit_scored text_helpers format_outcomes prechecks custom_rules unpaired"
 ).split()
 
 
