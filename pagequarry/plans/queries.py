@@ -738,7 +738,7 @@ _EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string,
 
 
 def _stream_bodies(spark: SparkSession, sf: str) -> DataFrame:
-    stream = intake.read_files(spark, sf, _PAGES, "pages.parquet")
+    stream = intake.read_table(spark, f"{sf}/pages.parquet", _PAGES)
     return stream.select(F.col("page_id").alias("batch_id"), F.expr(D.BODY_SQL).alias("body"))
 
 
@@ -754,7 +754,7 @@ def stream_rejects(spark, sf):
 
 @query
 def stream_counts(spark, sf):
-    stream = intake.read_files(spark, sf, _EVENTS, "events.parquet")
+    stream = intake.read_table(spark, f"{sf}/events.parquet", _EVENTS)
     counted = intake.counts(stream, F.col("event_type"), F.col("ts"))
     out = intake.run_sums(spark, counted, ["window_start", "kind"], shared_folder(spark, "stream-counts"))
     return out.withColumn("window_start", F.col("window_start").cast("string"))
@@ -765,7 +765,7 @@ def stream_intake_once(spark, sf):
     """Every call is delivered twice, half an hour apart."""
     def delivered(minutes: int) -> DataFrame:
         at = F.expr(f"timestamp_seconds(1700000000 + page_id + {60 * minutes})")
-        return intake.read_files(spark, sf, _PAGES, "pages.parquet").select(
+        return intake.read_table(spark, f"{sf}/pages.parquet", _PAGES).select(
             F.col("page_id").alias("batch_id"), F.expr(D.BODY_SQL).alias("body"), at.alias("at")
         )
 
@@ -775,7 +775,7 @@ def stream_intake_once(spark, sf):
 
 @query
 def stream_closed_counts(spark, sf):
-    stream = intake.read_files(spark, sf, _EVENTS, "events.parquet")
+    stream = intake.read_table(spark, f"{sf}/events.parquet", _EVENTS)
     closed = intake.closed_counts(stream, F.col("event_type"), F.col("ts"))
     out = intake.run_append(spark, closed, shared_folder(spark, "stream-closed-counts"))
     return out.withColumn("window_start", F.col("window_start").cast("string"))
@@ -783,7 +783,7 @@ def stream_closed_counts(spark, sf):
 
 @query
 def stream_progress(spark, sf):
-    stream = intake.read_files(spark, sf, _PAGES, "pages.parquet")
+    stream = intake.read_table(spark, f"{sf}/pages.parquet", _PAGES)
     finished = stream.select(F.floor(F.col("page_id") / 20).cast("bigint").alias("batch_id"), F.lit(20).cast("bigint").alias("total"))
     out = intake.run_sums(spark, finished, ["batch_id"], shared_folder(spark, "stream-progress"), ("total",))
     return out.withColumnRenamed("n", "done")
@@ -791,7 +791,7 @@ def stream_progress(spark, sf):
 
 @query
 def stream_retention(spark, sf):
-    events = intake.read_files(spark, sf, _EVENTS, "events.parquet")
+    events = intake.read_table(spark, f"{sf}/events.parquet", _EVENTS)
     sent = _deliveries(events).where((F.col("method") == "GET") & ~F.col("ranged") & F.col("complete"))
     stream = _registrations(events).withColumn("delivered", F.lit(False)).unionByName(
         sent.select("token", F.lit(True).alias("delivered")), allowMissingColumns=True

@@ -32,6 +32,14 @@ def read_files(spark: SparkSession, folder: str, schema: str, pattern: str, fmt:
     )
 
 
+def read_table(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
+    """A table as a stream with a fixed schema, whether ``path`` is one file or a folder of files.
+
+    A stream takes a single file only by a pattern, so the last letter of the name is one.
+    """
+    return spark.readStream.format(fmt).schema(schema).load(f"{path[:-1]}[{path[-1]}]")
+
+
 def _listed(bodies: DataFrame, *kept: str) -> DataFrame:
     """URLs of accepted bodies with their place: ``(batch_id, *kept, ord, url_raw, url, valid, first)``.
 

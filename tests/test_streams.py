@@ -105,3 +105,12 @@ def test_windows_come_out_once_when_closed(spark, tmp_path):
     assert run([(0, "a"), (4, "a"), (4, "b"), (7, "a"), (None, "a")]) == []
     assert run([(3, "a"), (15, "b")]) == [(0, "a", 3), (0, "b", 1)]  # 15 is ten minutes past the end of the first
     assert run([(1, "a"), (8, "a"), (40, "a")]) == [(0, "a", 3), (0, "b", 1), (5, "a", 2), (15, "b", 1)]
+
+
+def test_a_table_is_a_file_or_a_folder(spark, tmp_path):
+    spark.range(10).selectExpr("id as page_id").repartition(3).write.parquet(f"{tmp_path}/folder.parquet")
+    single = next((tmp_path / "folder.parquet").glob("part-*.parquet"))
+    (tmp_path / "file.parquet").write_bytes(single.read_bytes())
+    for name, rows in (("folder", 10), ("file", spark.read.parquet(str(single)).count())):
+        stream = intake.read_table(spark, f"{tmp_path}/{name}.parquet", "page_id long")
+        assert intake.run_append(spark, stream, f"{tmp_path}/out-{name}").count() == rows > 0
