@@ -16,12 +16,17 @@ single ones, whose inner and outer strings are the window itself.
 
 The sort keys end in the position, so a string that a third of all rows share is spread over many
 sorted partitions like any other, and no task sees more than a partition.
+
+The same rounds find the passages of ``WORDS`` words that another row has as well: strings of words
+instead of bytes, and only what stands in several rows counts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -42,20 +47,37 @@ PLACE_BITS = 24  # of a position in a buffer, beside the upper bits of a name
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SYMBOLS = np.random.default_rng(10).integers(0, 1 << 63, 257, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 OUTSIDE = 256  # stands for what is before and after a text
+WORDS = 51
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+BLOCK = 1 << 18  # bytes split into words at once
+WORD = 64  # bytes of a word that are named eight by eight; a longer word is named by a digest
+EIGHT = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # the first bytes of eight
 
 
 @dataclass(frozen=True)
 class Shape:
-    """The threshold, the anchor's size, and the windows named together in each round."""
+    """The threshold, the anchor's size, and the windows named together in each round.
+
+    With ``words`` they are counted in words, and what repeats within one row only is no repeat.
+    """
 
     length: int = LENGTH
     core: int = CORE
     rounds: tuple[int, ...] = ROUNDS
+    words: bool = False
 
     @property
     def gap(self) -> int:
         return self.length - self.core
 
+    @property
+    def least(self) -> int:
+        """The bytes of the shortest text with a window."""
+        return 2 * self.length - 1 if self.words else self.length
+
+
+PASSAGES = Shape(WORDS, 12, (40, 8, 1), True)
+
 
 def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The name of two strings one after the other, from theirs."""
@@ -66,16 +88,68 @@ def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return name
 
 
+def _split(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The first byte and the name of each word; words are separated by ASCII white space."""
+    padded = np.frombuffer(data + bytes(8), np.uint8)
+    blank = np.ones(len(data) + 2, bool)
+    blank[1:-1] = (padded[:-8] == 0x20) | (padded[:-8] - np.uint8(0x09) < 5)
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    first, size = edges[::2], edges[1::2] - edges[::2]
+    eights = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+    names = pair(eights[first] & EIGHT[np.minimum(size, 8)], size.view(np.uint64))
+    more = np.flatnonzero(size > 8)
+    for at in range(8, WORD, 8):
+        names[more] = pair(names[more], eights[first[more] + at] & EIGHT[np.minimum(size[more] - at, 8)])
+        more = more[size[more] > at + 8]
+    for i in more:
+        names[i] = int.from_bytes(blake2b(data[first[i] : first[i] + size[i]], digest_size=8).digest())
+    return first, names
+
+
+def word_names(texts: list[bytes]) -> list[np.ndarray]:
+    """The names of the words of each text, from all texts together."""
+    data = b" ".join(texts)
+    first, names, start = [np.empty(0, np.int64)], [np.empty(0, np.uint64)], 0
+    while start < len(data):
+        blank = BLANK.search(data, start + BLOCK) if len(data) - start > BLOCK else None
+        stop = blank.start() if blank else len(data)
+        at, name = _split(data[start:stop])
+        first.append(at + start)
+        names.append(name)
+        start = stop
+    words = np.concatenate(names)
+    upto = np.searchsorted(np.concatenate(first), np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+    return [words[a:b] for a, b in zip(upto, upto[1:])]
+
+
+def units(texts: Iterable[tuple[tuple, bytes]], shape: Shape) -> Iterator[tuple[tuple, bytes | np.ndarray]]:
+    """Texts as their bytes or the names of their words, with what came with them."""
+    if not shape.words:
+        yield from texts
+        return
+    about, held, size = [], [], 0
+    for what, text in texts:
+        about.append(what)
+        held.append(text)
+        size += len(text)
+        if size >= BLOCK:
+            yield from zip(about, word_names(held))
+            about, held, size = [], [], 0
+    yield from zip(about, word_names(held))
+
+
 class Names:
-    """Names of strings in a buffer of texts, by doubling up to ``longest`` bytes."""
+    """Names of strings in a buffer of texts, by doubling up to ``longest`` bytes (or words, given by their names)."""
 
-    def __init__(self, texts: list[bytes], gap: int, longest: int):
+    def __init__(self, texts: list[bytes] | list[np.ndarray], gap: int, longest: int):
         self.starts = np.cumsum([gap, *(len(t) + gap for t in texts)])[:-1] if texts else np.empty(0, int)
         self.sizes = np.array([len(t) for t in texts], np.int64)
-        symbols = np.full(int(self.sizes.sum()) + gap * (len(texts) + 1), OUTSIDE, np.int64)
+        words = bool(texts) and isinstance(texts[0], np.ndarray)
+        outside, kind = (SYMBOLS[OUTSIDE], np.uint64) if words else (OUTSIDE, np.int64)
+        symbols = np.full(int(self.sizes.sum()) + gap * (len(texts) + 1), outside, kind)
         for start, text in zip(self.starts, texts):
-            symbols[start : start + len(text)] = np.frombuffer(text, np.uint8)
-        self.levels = [SYMBOLS[symbols]]
+            symbols[start : start + len(text)] = text if words else np.frombuffer(text, np.uint8)
+        self.levels = [symbols if words else SYMBOLS[symbols]]
         n = 1
         while 2 * n <= longest:
             last = self.levels[-1]
@@ -127,8 +201,8 @@ def anchors(names: Names, shape: Shape, first: np.ndarray, last: np.ndarray) ->
     return texts[begin], at, at - windows[end], at - windows[begin], core[at]
 
 
-def pieces(text: bytes, shape: Shape, limit: int = PIECE) -> Iterator[tuple[int, bytes, int, int]]:
-    """``(offset, bytes, first window, last window)``: a long text in parts, with what lies around."""
+def pieces(text: bytes | np.ndarray, shape: Shape, limit: int = PIECE) -> Iterator[tuple[int, bytes | np.ndarray, int, int]]:
+    """``(offset, part, first window, last window)``: a long text in parts, with what lies around."""
     windows = len(text) - shape.length + 1
     for start in range(0, windows, limit):
         stop = min(start + limit, windows)
@@ -157,7 +231,7 @@ def _first_round(shape: Shape):
         met: dict[tuple[int, int], int] = {}
         part = TaskContext.get().partitionId()
 
-        def named(texts: list[bytes], about: list[tuple]) -> pa.RecordBatch:
+        def named(texts: list, about: list[tuple]) -> pa.RecordBatch:
             names = Names(texts, shape.gap, shape.core)
             k1, k2, salt, base, first, last = np.array(about, np.int64).reshape(-1, 6).T
             text, at, low, high, core = anchors(names, shape, first, last)
@@ -165,13 +239,16 @@ def _first_round(shape: Shape):
             place = at - names.starts[text] + base[text]
             return _rows(core, names, at, zero, shape.rounds[0], shape, k1[text], k2[text], place, low, high, salt[text])
 
-        for batch in batches:
-            texts, about, size = [], [], 0
+        def whole(batch: pa.RecordBatch) -> Iterator[tuple[tuple, bytes]]:
             for k1, k2, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 times = met[k1, k2] = met.get((k1, k2), 0) + 1
-                if times > 2:
-                    continue
-                for base, piece, first, last in pieces(value.as_py().encode(), shape):
+                if times <= 2:
+                    yield (k1, k2, times), value.as_py().encode()
+
+        for batch in batches:
+            texts, about, size = [], [], 0
+            for (k1, k2, times), data in units(whole(batch), shape):
+                for base, piece, first, last in pieces(data, shape):
                     texts.append(piece)
                     about.append((k1, k2, 2 * part + times - 1, base, first, last))
                     size += len(piece)
@@ -193,8 +270,8 @@ def _next_round(shape: Shape, before: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             around, about, total = [], [], 0
-            for k1, k2, value, copies, runs in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                text = value.encode()
+            rows = zip(*(batch.column(i).to_pylist() for i in range(5)))
+            for (k1, k2, copies, runs), text in units((((r[0], r[1], *r[3:]), r[2].encode()) for r in rows), shape):
                 for r in runs:
                     base = max(0, r["place"] - shape.gap)
                     around.append(text[base : r["place"] + shape.length])
@@ -206,7 +283,7 @@ def _next_round(shape: Shape, before: int, size: int):
             if about:
                 yield named(around, about)
 
-    def named(around: list[bytes], about: list[tuple]) -> pa.RecordBatch:
+    def named(around: list, about: list[tuple]) -> pa.RecordBatch:
         k1, k2, base, place, low, high, first, copies = np.array(about, np.int64).T
         names = Names(around, shape.gap, 256)
         steps = np.arange(0, before, size)
@@ -224,19 +301,19 @@ def _next_round(shape: Shape, before: int, size: int):
     return run
 
 
-FOUND = "k1 bigint, k2 bigint, start bigint, stop bigint, place bigint, low int, high int, first int, part int, side int, grp bigint, name bigint"
+FOUND = "k1 bigint, k2 bigint, start bigint, stop bigint, place bigint, low int, high int, first int, part int, side int, grp bigint, name bigint, salt bigint"
 FOUND_NAMES = [f.split()[0] for f in FOUND.split(", ")]
-FOUND_KINDS = [pa.int64()] * 5 + [pa.int32()] * 5 + [pa.int64()] * 2
+FOUND_KINDS = [pa.int64()] * 5 + [pa.int32()] * 5 + [pa.int64()] * 3
 
 
 def _found(rows: pa.Table, at: np.ndarray, shape: Shape, size: int, part: int, accepted: bool, side: np.ndarray | None = None) -> pa.RecordBatch:
-    col = {n: rows.column(n).to_numpy()[at] for n in ("k1", "k2", "place", "low", "high", "first", "grp", "outer_name")}
+    col = {n: rows.column(n).to_numpy()[at] for n in ("k1", "k2", "place", "low", "high", "first", "grp", "outer_name", "salt")}
     near = np.maximum(col["low"], col["first"])
     far = np.minimum(col["high"], col["first"] + size - 1)
     no = pa.nulls(len(at))
     start, stop = (col["place"] - far, col["place"] - near + shape.length) if accepted or side is not None else (no, no)
     todo = [no] * 4 if accepted or side is not None else [col[n] for n in ("place", "low", "high", "first")]
-    border = [no] * 4 if side is None else [np.full(len(at), part), side, col["grp"], col["outer_name"]]
+    border = [no] * 5 if side is None else [np.full(len(at), part), side, col["grp"], col["outer_name"], col["salt"]]
     columns = [col["k1"], col["k2"], start, stop, *todo, *border]
     return pa.RecordBatch.from_arrays([pa.array(c, k) if isinstance(c, np.ndarray) else c.cast(k) for c, k in zip(columns, FOUND_KINDS)], names=FOUND_NAMES)
 
@@ -256,25 +333,35 @@ def _ranked(shape: Shape, size: int):
         new_inner = np.concatenate([[True], turn("grp") | turn("inner_name")])
         new_outer = new_inner | np.concatenate([[True], turn("outer_name")])
         # A rank repeats if its rows are of several places, or of copies of a text; a place
-        # whose windows were named in two pieces has two rows of its own.
+        # whose windows were named in two pieces has two rows of its own. Words have to be of
+        # several texts, or of copies of a text.
         begin = np.nonzero(new_outer)[0]
-        moved = ~new_outer & np.concatenate([[False], turn("k1") | turn("k2") | turn("place")])
+        other = np.concatenate([[False], turn("k1") | turn("k2")])
+        moved = ~new_outer & (other if shape.words else other | np.concatenate([[False], turn("place")]))
         repeated = np.add.reduceat(moved.astype(np.int64), begin) > 0
         repeated |= np.minimum.reduceat(col["salt"], begin) != np.maximum.reduceat(col["salt"], begin)
         alone = ~repeated[np.cumsum(new_outer) - 1]
         yield _found(rows, np.nonzero(~alone)[0], shape, size, part, True)
         if size == 1:
-            # The first and the last row may have their equal in the partition beside.
+            # The first and the last row may have their equal in the partition beside. Places of
+            # one text with the same words are all as the first or the last.
             ends = np.array([0, n - 1])
             yield _found(rows, ends, shape, size, part, False, np.where(alone[ends], [0, 1], [2, 3]))
+            if shape.words:
+                rank = np.cumsum(new_outer)
+                more = np.nonzero(alone[1:-1] & ((rank[1:-1] == 1) | (rank[1:-1] == rank[-1])))[0] + 1
+                yield _found(rows, more, shape, size, part, False, np.zeros(len(more), np.int32))
             return
         # Ranks with several outer strings, or that may go on beyond the partition, are not
-        # settled: one place of each outer string stays, with all its rows.
+        # settled: one place of each outer string stays, with all its rows; of words, two texts,
+        # so that the places of one of them in another partition meet the other.
         run_of = np.cumsum(new_inner) - 1
         several = np.bincount(run_of, new_outer) > 1
+        if shape.words:
+            several &= np.bincount(run_of, ~new_inner & other) > 0
         several[[0, -1]] = True
         moves = np.cumsum(moved)
-        first_place = moves == moves[begin][np.cumsum(new_outer) - 1]
+        first_place = moves <= moves[begin][np.cumsum(new_outer) - 1] + shape.words
         yield _found(rows, np.nonzero(first_place & several[run_of])[0], shape, size, part, False)
 
     return run
@@ -292,6 +379,14 @@ def _across(found: DataFrame) -> DataFrame:
     return ends.withColumn("beside", beside).where("side < 2 and beside = struct(grp, name)").select("k1", "k2", "start", "stop")
 
 
+def _across_rows(found: DataFrame) -> DataFrame:
+    """Windows of words at a border of sorted partitions that another row has at such a border."""
+    ends = found.where("side is not null")
+    row = F.struct("k1", "k2", "salt")
+    several = ends.groupBy("grp", "name").agg(F.min(row).alias("least"), F.max(row).alias("most")).where("least <> most")
+    return ends.where("side < 2").join(several, ["grp", "name"], "left_semi").select("k1", "k2", "start", "stop")
+
+
 def _spans(found: DataFrame) -> DataFrame:
     return found.where("start is not null and side is null").select("k1", "k2", "start", "stop")
 
@@ -317,7 +412,29 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def cut_repeats(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text") -> DataFrame:
+def _first_found(long: DataFrame, shape: Shape) -> DataFrame:
+    """What the first round finds in the texts."""
+    named = long.where(F.octet_length("body") >= shape.least).select("k1", "k2", "body").mapInArrow(_first_round(shape), ROWS)
+    rows = written(named, "repeats-rows")
+    return written(_sorted(rows, rows.count()).mapInArrow(_ranked(shape, shape.rounds[0]), FOUND), "repeats-found")
+
+
+def _all_spans(found: DataFrame, texts: DataFrame, shape: Shape) -> DataFrame:
+    """``(k1, k2, start, stop)``: what repeats, from what the first round found on."""
+    spans = _spans(found)
+    for before, size in zip(shape.rounds, shape.rounds[1:]):
+        todo = found.where("place is not null").select("k1", "k2", "place", "low", "high", "first").distinct()
+        runs = todo.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "low", "high", "first")).alias("runs"))
+        left = texts.join(runs, ["k1", "k2"]).select("k1", "k2", "body", "copies", "runs")
+        rows = written(left.mapInArrow(_next_round(shape, before, size), ROWS), "repeats-rows")
+        found = written(_sorted(rows, rows.count()).mapInArrow(_ranked(shape, size), FOUND), "repeats-found")
+        spans = spans.union(_spans(found))
+    return spans.union(_across_rows(found) if shape.words else _across(found)).distinct()
+
+
+def cut_repeats(
+    docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", text: str = "text", passages: Shape | None = None
+) -> DataFrame:
     """``(key, n_bytes, spans, kept, whole_sha256)``: one row per row of ``docs``.
 
     ``spans`` are the maximal runs of bytes (``start``, ``stop``) covered by a string of
@@ -326,6 +443,10 @@ def cut_repeats(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", te
     ``whole_sha256`` is its digest). Null text counts as empty; shorter texts keep all bytes;
     copies and repeated rows lose what they share, each of them; an empty table gives an empty
     table; other columns are not read.
+
+    With ``passages``, a shape of words, ``n_shared_words`` follows: how many words of the text are
+    in a passage of ``passages.length`` words that another row has as well, whatever white space is
+    between them. It removes nothing.
     """
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     keyed = docs.select(F.col(key).alias("key"), body.alias("body")).select(
@@ -335,34 +456,26 @@ def cut_repeats(docs: DataFrame, shape: Shape = Shape(), key: str = "doc_id", te
         keyed.select("key", "k1", "k2", F.octet_length("body").cast("bigint").alias("n_bytes"), F.sha2(F.col("body").cast("binary"), 256).alias("whole_sha256")),
         "repeats-documents",
     )
-    total = narrow.agg(F.sum("n_bytes")).first()[0] or 0
-    long = keyed.where(F.octet_length("body") >= shape.length)
-    rows = written(long.select("k1", "k2", "body").mapInArrow(_first_round(shape), ROWS), "repeats-rows")
-    count = 2 * total // (shape.gap + 2)
-    spans, texts, todo = [], None, None
-    for i, size in enumerate(shape.rounds):
-        if i:
-            runs = todo.groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "low", "high", "first")).alias("runs"))
-            left = texts.join(runs, ["k1", "k2"]).select("k1", "k2", "body", "copies", "runs")
-            rows = written(left.mapInArrow(_next_round(shape, shape.rounds[i - 1], size), ROWS), "repeats-rows")
-            count = rows.count()
-        found = written(_sorted(rows, count).mapInArrow(_ranked(shape, size), FOUND), "repeats-found")
-        spans.append(_spans(found))
-        todo = found.where("place is not null").select("k1", "k2", "place", "low", "high", "first").distinct()
-        if texts is None:
-            # Only texts with a repeat, or something left to look at; each distinct text once.
-            some = found.select("k1", "k2").distinct()
-            once = long.groupBy("k1", "k2").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
-            texts = written(once.join(some, ["k1", "k2"]), "repeats-texts")
-    spans.append(_across(found))
-    united = spans[0]
-    for more in spans[1:]:
-        united = united.union(more)
-    per_text = united.distinct().groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
+    found = _first_found(keyed, shape)
+    some = found.select("k1", "k2")
+    if passages:
+        shared = _first_found(keyed, passages)
+        some = some.union(shared.where("place is not null").select("k1", "k2"))
+    # Only texts with a repeat, or something left to look at; each distinct text once.
+    least = min(s.least for s in (shape, passages) if s)
+    once = keyed.where(F.octet_length("body") >= least).groupBy("k1", "k2").agg(F.first("body").alias("body"), F.count("*").alias("copies"))
+    texts = written(once.join(some.distinct(), ["k1", "k2"]), "repeats-texts")
+    per_text = _all_spans(found, texts, shape).groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "stop")).alias("found"))
     cut = texts.join(per_text, ["k1", "k2"]).select("k1", "k2", "body", "found").mapInArrow(
         _cut, "k1 bigint, k2 bigint, spans array<struct<start:bigint,stop:bigint>>, kept binary"
     )
     none = F.expr("cast(array() as array<struct<start:bigint,stop:bigint>>)")
-    return narrow.join(cut, ["k1", "k2"], "left").select(
-        F.col("key").alias(key), "n_bytes", F.coalesce("spans", none).alias("spans"), "kept", "whole_sha256"
-    )
+    out = narrow.join(cut, ["k1", "k2"], "left")
+    columns = [F.col("key").alias(key), "n_bytes", F.coalesce("spans", none).alias("spans"), "kept", "whole_sha256"]
+    if passages:
+        before = F.max("stop").over(W.partitionBy("k1", "k2").orderBy("start", "stop").rowsBetween(W.unboundedPreceding, -1))
+        new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", before))
+        covered = _all_spans(shared, texts, passages).withColumn("new", new).groupBy("k1", "k2").agg(F.sum("new").alias("n_shared_words"))
+        out = out.join(covered, ["k1", "k2"], "left")
+        columns.append(F.coalesce("n_shared_words", F.lit(0)).cast("bigint").alias("n_shared_words"))
+    return out.select(*columns)
